@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.functions.windows import spread
+from shroud.session import materialize
 from shroud.operators import corpus, detect
 from shroud.plans import oracle as O
 from shroud.sources.tables import table
@@ -33,7 +34,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.generate(table(spark, sf, "customer", "c_custkey"), "c_custkey")
+    """Labelled cases, one per customer row; materialized once (it feeds many branches)."""
+    return materialize(corpus.generate(table(spark, sf, "customer", "c_custkey"), "c_custkey"))
 
 
 # ------------------------------------------------------------------ C: detection
@@ -53,3 +55,322 @@ def b1_eval_cases(spark, sf):
 @register("b1_eval_entities", corpus.oracle_entities_sql("customer", "c_custkey"))
 def b1_eval_entities(spark, sf):
     return corpus.eval_entities(customer_corpus(spark, sf))
+
+
+# ------------------------------------------------------------------ shared derived inputs
+from shroud.functions import idgen as _G  # noqa: E402
+from shroud.operators import evaluate as EV  # noqa: E402
+from shroud.operators import mask as MK  # noqa: E402
+from shroud.operators import ner as NR  # noqa: E402
+from shroud.operators import policy as PO  # noqa: E402
+from shroud.plans import derived as D  # noqa: E402
+
+# Scaled-down daily quotas so that denials occur on the driver's event volume
+# (10k events, 150 users, 30 days); the operator default is the proxy's.
+REPLAY_DAILY_LIMITS = {"free": 2, "pro": 4, "enterprise": 1000}
+REPLAY_EDGE_LIMITS = {"free": 1, "pro": 2, "enterprise": 50}
+
+
+def key_policy(spark, sf):
+    return D.key_policy(spark, table(spark, sf, "customer", "c_custkey", "c_name"))
+
+
+def requests(spark, sf):
+    return D.requests(spark, table(spark, sf, "events"))
+
+
+def scanned_requests(spark, sf):
+    """requests + C1 verdict + C2 secrets + NER reply (E5 inputs)."""
+    r = spread(requests(spark, sf))
+    v = detect.detect_pii("text")
+    r = r.select("*", v.alias("_v"), detect.secret_types("text").alias("secret_types"))
+    r = r.select("*", F.col("_v.detected").alias("regex_detected"), F.col("_v.types").alias("regex_types"),
+                 F.col("_v.matches").alias("regex_matches"),
+                 (F.size("secret_types") > 0).alias("has_secret")).drop("_v")
+    r = r.join(D.request_ner(spark, r), "request_id", "left")
+    return materialize(r)   # the Python scan runs once; routing reuses it in several branches
+
+
+def decided(spark, sf):
+    r = PO.authorize(scanned_requests(spark, sf), key_policy(spark, sf))
+    authd = PO.daily_quota(r.where("authorized"), REPLAY_DAILY_LIMITS)
+    unauth = r.where("NOT authorized")
+    for c, t in [("rl_day", "date"), ("rl_seq", "long"), ("rl_limit", "int"), ("rl_allowed", "boolean"),
+                 ("rl_remaining", "long"), ("rl_reset", "string")]:
+        unauth = unauth.withColumn(c, F.lit(None).cast(t))
+    both = authd.unionByName(unauth.withColumn("rl_allowed", F.lit(True)))
+    return PO.route(both, REPLAY_EDGE_LIMITS)
+
+
+def _sql_view(name: str, sql: str) -> str:
+    return f"{name} AS ({sql})"
+
+
+KP_SQL = D.KEY_POLICY_SQL.format(customer="customer")
+RQ_SQL = D.requests_sql("events")
+
+
+# ------------------------------------------------------------------ A: sources/sinks
+@register("a3_authorize", f"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL})
+SELECT rq.request_id, kp.user_id AS user_id, kp.tier AS tier, (kp.api_key IS NOT NULL) AS authorized
+FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')""")
+def a3_authorize(spark, sf):
+    r = PO.authorize(requests(spark, sf), key_policy(spark, sf))
+    return r.select("request_id", F.col("kp_user_id").alias("user_id"), F.col("kp_tier").alias("tier"), "authorized")
+
+
+@register("a4_key_info", f"""
+WITH kp AS ({KP_SQL})
+SELECT api_key, coalesce(provider, 'openai') AS provider, coalesce(provider_mode, 'managed') AS provider_mode,
+       cloud_model FROM kp""")
+def a4_key_info(spark, sf):
+    return PO.key_info(key_policy(spark, sf))
+
+
+# ------------------------------------------------------------------ E: policy replay
+@register("e1_resolve_strategy", f"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
+j AS (SELECT rq.request_id, rq.body_strategy, coalesce(kp.pii_strategy, 'anonymize') AS mode
+      FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_'))
+SELECT request_id, mode AS strategy_mode,
+  CASE WHEN mode = 'custom' THEN CASE WHEN body_strategy IN ('edge', 'anonymize') THEN body_strategy ELSE 'anonymize' END
+       ELSE mode END AS applied_strategy,
+  (mode <> 'custom' AND body_strategy IS NOT NULL AND body_strategy <> '' AND body_strategy <> mode) AS strategy_mismatch
+FROM j""")
+def e1_resolve_strategy(spark, sf):
+    r = PO.authorize(requests(spark, sf), key_policy(spark, sf)).where("authorized")
+    mode = PO.strategy_mode(F.col("kp_pii_strategy"))
+    return r.select("request_id", mode.alias("strategy_mode"),
+                    PO.resolve_strategy(mode, F.col("body_strategy")).alias("applied_strategy"),
+                    PO.strategy_mismatch(mode, F.col("body_strategy")).alias("strategy_mismatch"))
+
+
+_LIM = REPLAY_DAILY_LIMITS
+
+
+@register("e3_daily_quota", f"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
+j AS (SELECT rq.request_id, rq.ts, kp.user_id, kp.tier FROM rq
+      JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS seq,
+        CASE tier WHEN 'pro' THEN {_LIM['pro']} WHEN 'enterprise' THEN {_LIM['enterprise']} ELSE {_LIM['free']} END AS lim
+      FROM j)
+SELECT request_id, user_id, seq AS rl_seq, lim AS rl_limit, seq <= lim AS rl_allowed,
+       greatest(lim - seq, 0) AS rl_remaining, strftime(CAST(ts AS DATE), '%Y-%m-%d') || 'T23:59:59Z' AS rl_reset
+FROM n""")
+def e3_daily_quota(spark, sf):
+    r = PO.authorize(requests(spark, sf), key_policy(spark, sf)).where("authorized")
+    q = PO.daily_quota(r, REPLAY_DAILY_LIMITS)
+    return q.select("request_id", F.col("kp_user_id").alias("user_id"), "rl_seq", "rl_limit", "rl_allowed",
+                    "rl_remaining", "rl_reset")
+
+
+@register("e5_route_decisions")
+def e5_route_decisions(spark, sf):
+    d = decided(spark, sf)
+    return d.select("request_id", "outcome", "status_code", "routed_to", "anonymized", "applied_strategy",
+                    "strategy_mode", "ner_ran", F.array_join("pii_types", ",").alias("pii_types"),
+                    "pii_matches", "has_secret")
+
+
+@register("e12_request_log")
+def e12_request_log(spark, sf):
+    d = decided(spark, sf)
+    return PO.log_rows(d).withColumn("pii_types", F.array_join("pii_types", ","))
+
+
+@register("g17_usage_rollup")
+def g17_usage_rollup(spark, sf):
+    """Requests, anonymized share and PII types per day/strategy/provider (rollup)."""
+    logs = PO.log_rows(decided(spark, sf))
+    return (logs.rollup("log_date", "pii_strategy", "provider")
+            .agg(F.count(F.lit(1)).alias("requests"), F.sum(F.col("anonymized").cast("int")).alias("anonymized"),
+                 F.sum("pii_matches").alias("pii_matches"))
+            .withColumn("log_date", F.col("log_date").cast("string")))
+
+
+@register("a7_latest_logs")
+def a7_latest_logs(spark, sf):
+    """Newest N = min(limit or 100, 500) log rows, total order (ts desc, request_id desc)."""
+    logs = PO.log_rows(decided(spark, sf))
+    return (logs.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(min(100, 500))
+            .select("request_id", F.col("ts").cast("string").alias("ts"), "user_id", "status_code",
+                    F.array_join("pii_types", ",").alias("pii_types")))
+
+
+# ------------------------------------------------------------------ D: masking
+@register("d4_token_map_documents")
+def d4_token_map_documents(spark, sf):
+    m = MK.mask_texts(documents(spark, sf), "text", ["doc_id"])
+    return MK.token_map(m, ["doc_id"])
+
+
+@register("d7_token_counts_documents")
+def d7_token_counts_documents(spark, sf):
+    m = MK.mask_texts(documents(spark, sf), "text", ["doc_id"])
+    return (MK.token_type_counts(m, ["doc_id"]).groupBy("type")
+            .agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
+
+
+def planted_conversations(spark, sf):
+    """conversations + derived personal data per turn (the driver text has none)."""
+    c = table(spark, sf, "conversations")
+    ns = P_SPARK_NS()
+    k = F.col("conv_id") * 1000 + F.col("turn")
+    extra = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" Escríbeme a c"), F.col("conv_id").cast("string"),
+                                                     F.lit("t"), F.col("turn").cast("string"), F.lit("@example.org.")))
+             .otherwise(F.lit("")))
+    extra2 = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0,
+                    F.concat(F.lit(" Mi DNI es "), F.col("conv_id").cast("string"), F.lit(" y tel 6"),
+                             F.lpad((k % 100000000).cast("string"), 8, "0"), F.lit("."))).otherwise(F.lit(""))
+    extra3 = F.when(F.col("turn") == 1, F.concat(F.lit(" Otra vez: c"), F.col("conv_id").cast("string"),
+                                                 F.lit("t0@example.org"))).otherwise(F.lit(""))
+    del ns
+    return c.select("conv_id", "turn", "role",
+                    F.concat(F.coalesce("text", F.lit("")), extra, extra2, extra3).alias("text"))
+
+
+def P_SPARK_NS():
+    from shroud.functions import pools
+    return pools.spark_ns()
+
+
+@register("d2_conversation_token_map")
+def d2_conversation_token_map(spark, sf):
+    m = MK.anonymize(planted_conversations(spark, sf))
+    return MK.token_map(m, ["conv_id"])
+
+
+@register("d9_roundtrip", """
+SELECT count(*) AS messages, count(*) AS restored_exactly FROM conversations""")
+def d9_roundtrip(spark, sf):
+    src = planted_conversations(spark, sf)
+    m = MK.anonymize(src)
+    tm = MK.token_map(m, ["conv_id"])
+    resp = m.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("masked").alias("text"))
+    back = MK.restore(resp, tm)
+    orig = src.select(F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("text").alias("orig"))
+    j = back.join(orig, "resp_id")
+    return j.agg(F.count(F.lit(1)).alias("messages"),
+                 F.sum((F.col("restored") == F.col("orig")).cast("long")).alias("restored_exactly"))
+
+
+@register("d8_leak_check", "SELECT 0 AS leaks")
+def d8_leak_check(spark, sf):
+    m = MK.anonymize(planted_conversations(spark, sf))
+    return MK.leak_rows(m).agg(F.count(F.lit(1)).alias("leaks"))
+
+
+# ------------------------------------------------------------------ F/G: regex evaluation
+def scored(spark, sf):
+    return EV.score_entities(EV.masked_cases(customer_corpus(spark, sf)))
+
+
+def fps(spark, sf):
+    return EV.false_positives(EV.masked_cases(customer_corpus(spark, sf)))
+
+
+@register("f2_scored_entities")
+def f2_scored_entities(spark, sf):
+    return scored(spark, sf).select("case_id", "ord", "type", "value", "detected", "partial")
+
+
+@register("g1_recall_by_type")
+def g1_recall_by_type(spark, sf):
+    return EV.recall_by_type(scored(spark, sf))
+
+
+@register("g2_recall_breakdown")
+def g2_recall_breakdown(spark, sf):
+    return EV.recall_breakdown(scored(spark, sf))
+
+
+@register("g3_false_negatives")
+def g3_false_negatives(spark, sf):
+    return EV.false_negatives(scored(spark, sf))
+
+
+@register("f6_regex_false_positives")
+def f6_regex_false_positives(spark, sf):
+    return fps(spark, sf).select("case_id", "type", "value")
+
+
+@register("g5_fp_by_type")
+def g5_fp_by_type(spark, sf):
+    return EV.fp_by_type(fps(spark, sf))
+
+
+@register("g6_precision_by_type")
+def g6_precision_by_type(spark, sf):
+    m = EV.masked_cases(customer_corpus(spark, sf))
+    return EV.precision_by_type(EV.score_entities(m), EV.false_positives(m))
+
+
+@register("g7_gap_mismatches")
+def g7_gap_mismatches(spark, sf):
+    return EV.gap_mismatches(scored(spark, sf))
+
+
+@register("g4_regex_totals")
+def g4_regex_totals(spark, sf):
+    return EV.totals(EV.masked_cases(customer_corpus(spark, sf)))
+
+
+# ------------------------------------------------------------------ C3-C8 / F4-F5 / G8-G14: NER evaluation
+def case_ner(spark, sf):
+    return D.case_ner(spark, customer_corpus(spark, sf))
+
+
+@register("c3_case_ner_replies")
+def c3_case_ner_replies(spark, sf):
+    return case_ner(spark, sf).select("case_id", "model", "status", "latency_ms",
+                                      F.size(F.coalesce("ents", F.array())).alias("returned"))
+
+
+def ner_scored(spark, sf, model="ner-large"):
+    c = customer_corpus(spark, sf)
+    return EV.ner_scored(c, D.case_ner(spark, c), model)
+
+
+@register("g8_ner_recall")
+def g8_ner_recall(spark, sf):
+    return EV.ner_recall(ner_scored(spark, sf)).withColumn("type", F.coalesce("type", F.lit("ALL")))
+
+
+@register("f5_ner_false_positives")
+def f5_ner_false_positives(spark, sf):
+    return ner_scored(spark, sf).select("case_id", F.inline("false_pos"))
+
+
+@register("g12_ner_summary")
+def g12_ner_summary(spark, sf):
+    return EV.ner_summary(ner_scored(spark, sf))
+
+
+@register("g14_model_comparison")
+def g14_model_comparison(spark, sf):
+    c = customer_corpus(spark, sf)
+    return EV.model_comparison(EV.ner_scored(c, D.case_ner(spark, c)))
+
+
+@register("g13_combined_recall")
+def g13_combined_recall(spark, sf):
+    c = customer_corpus(spark, sf)
+    reg = EV.totals(EV.masked_cases(c))
+    ner_sum = EV.ner_summary(EV.ner_scored(c, D.case_ner(spark, c), "ner-large"))
+    labels = c.select(F.explode("entities").alias("e")).where(~F.col("e.ner_scope")).agg(F.count(F.lit(1)).alias("n"))
+    return EV.combined_recall(reg, ner_sum, labels)
+
+
+# ------------------------------------------------------------------ B24: identifier validity
+@register("b24_id_validity")
+def b24_id_validity(spark, sf):
+    e = corpus.eval_entities(customer_corpus(spark, sf))
+    ok = (F.when(F.col("value").rlike(r"^[XYZ]"), _G.nie_check_ok(F.col("value")))
+          .when(F.col("type") == "CIF", _G.cif_check_ok(F.col("value")))
+          .otherwise(_G.nif_check_ok(F.col("value"))))
+    return (e.where(F.col("type").isin("DNI", "CIF")).withColumn("valid", ok)
+            .groupBy("type").agg(F.count(F.lit(1)).alias("labels"),
+                                 F.count_if(F.col("valid")).alias("valid"),
+                                 F.count_if(F.col("valid").isNull()).alias("unchecked")))

@@ -28,6 +28,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", os.environ.get("SHROUD_DRIVER_MEMORY", "16g"))
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:
@@ -72,3 +75,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._shroud_shipped = True
     if root not in sys.path:
         sys.path.insert(0, root)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where one expensive intermediate (a Python text scan, a generated
+    corpus) feeds several branches of a plan: it is computed once, survives
+    executor loss, and later stages start from files instead of recomputing.
+    """
+    from pyspark.sql import SparkSession
+    ensure_checkpoint_dir(SparkSession.getActiveSession() or df.sparkSession)
+    return df.checkpoint(eager=True)
