@@ -145,9 +145,11 @@ def dotted_nif(ns, v):
 
 
 def spaced_nie(ns, v, double: bool = False):
-    """X1234567L -> X 1234567 L (or two spaces before the letter)."""
+    """X1234567L -> X 1234567 L, or X1234567  L (double space before the letter only)."""
     v = ns.let(v, 5)
-    return ns.concat(ns.substr(v, 1, 1), " ", ns.substr(v, 2, 7), "  " if double else " ", ns.substr(v, 9, 1))
+    if double:
+        return ns.concat(ns.substr(v, 1, 8), "  ", ns.substr(v, 9, 1))
+    return ns.concat(ns.substr(v, 1, 1), " ", ns.substr(v, 2, 7), " ", ns.substr(v, 9, 1))
 
 
 def short_phone(ns, key, slot: int, digits: int):
