@@ -15,6 +15,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     left alone; a small single-file table (one parquet row group) would
     otherwise run its Python kernel on one core.
     """
+    if df.isStreaming:   # micro-batches are sized by the source options instead
+        return df
     spark = SparkSession.getActiveSession()
     want = min_partitions or (spark.sparkContext.defaultParallelism if spark else 8)
     if df.rdd.getNumPartitions() >= want:

@@ -213,9 +213,9 @@ def d7_token_counts_documents(spark, sf):
             .agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
 
 
-def planted_conversations(spark, sf):
+def planted_conversations(spark, sf, c=None):
     """conversations + derived personal data per turn (the driver text has none)."""
-    c = table(spark, sf, "conversations")
+    c = table(spark, sf, "conversations") if c is None else c
     ns = P_SPARK_NS()
     k = F.col("conv_id") * 1000 + F.col("turn")
     extra = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" Escríbeme a c"), F.col("conv_id").cast("string"),
@@ -374,3 +374,75 @@ def b24_id_validity(spark, sf):
             .groupBy("type").agg(F.count(F.lit(1)).alias("labels"),
                                  F.count_if(F.col("valid")).alias("valid"),
                                  F.count_if(F.col("valid").isNull()).alias("unchecked")))
+
+
+# ------------------------------------------------------------------ H: streaming
+from shroud.streaming import stream as ST  # noqa: E402
+
+_STREAM_SEQ = [0]
+
+
+def _sink(stem: str) -> str:
+    _STREAM_SEQ[0] += 1
+    return f"shroud_{stem}_{_STREAM_SEQ[0]}"
+
+
+@register("h1_detect_stream")
+def h1_detect_stream(spark, sf):
+    """H1: documents as a stream, masked per row; token counts per type (= d7)."""
+    s = ST.detect_stream(ST.table_stream(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+    out = ST.run_to_table(s.select("doc_id", "tokens"), _sink("h1"))
+    return (MK.token_type_counts(out, ["doc_id"]).groupBy("type")
+            .agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
+
+
+@register("h2_conversation_mask_stream")
+def h2_conversation_mask_stream(spark, sf):
+    """H2: conversation-wide numbering continued across arriving turns (= d2)."""
+    s = planted_conversations(spark, sf, ST.table_stream(spark, sf, "conversations"))
+    out = ST.run_to_table(ST.conversation_mask_stream(s), _sink("h2"))
+    return MK.token_map(out, ["conv_id"])
+
+
+@register("h3_rate_limit_stream", f"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
+j AS (SELECT rq.request_id, rq.ts, kp.user_id, kp.tier FROM rq
+      JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS seq,
+        CASE tier WHEN 'pro' THEN {_LIM['pro']} WHEN 'enterprise' THEN {_LIM['enterprise']} ELSE {_LIM['free']} END AS lim
+      FROM j)
+SELECT request_id, user_id, seq AS rl_seq, seq <= lim AS rl_allowed, FALSE AS late FROM n""")
+def h3_rate_limit_stream(spark, sf):
+    """H3: daily quota on the request stream (= e3's ordinals)."""
+    ev = ST.table_stream(spark, sf, "events")
+    reqs = D.requests(spark, ev)
+    auth = PO.authorize(reqs, key_policy(spark, sf)).where("authorized")
+    out = ST.run_to_table(ST.rate_limit_stream(auth, REPLAY_DAILY_LIMITS), _sink("h3"))
+    return out.select("request_id", "user_id", "rl_seq", "rl_allowed", "late")
+
+
+@register("h5_usage_windows", """
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, sum(value) AS value_sum
+FROM events GROUP BY 1, 2""")
+def h5_usage_windows(spark, sf):
+    # complete mode: the batch-equivalent table, including windows the watermark has not closed yet
+    return ST.run_to_table(ST.usage_windows(ST.table_stream(spark, sf, "events")), _sink("h5"), "complete")
+
+
+@register("h6_chunked_restore", """
+SELECT count(*) AS messages, count(*) AS restored_exactly FROM conversations""")
+def h6_chunked_restore(spark, sf):
+    """H6: masked replies cut into 7-character chunks (tokens split across chunks),
+    reassembled per response, then restored; all must equal the originals."""
+    src = planted_conversations(spark, sf)
+    m = MK.anonymize(src)
+    tm = MK.token_map(m, ["conv_id"])
+    resp = m.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("masked").alias("text"))
+    chunks = resp.select("resp_id", "conv_id", F.posexplode(F.expr(
+        "transform(sequence(0, CAST(greatest(ceil(length(text) / 7.0) - 1, 0) AS INT)), i -> substr(text, i * 7 + 1, 7))"))
+        .alias("chunk_no", "text"))
+    back = MK.restore(ST.reassemble_chunks(chunks), tm)
+    orig = src.select(F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("text").alias("orig"))
+    return back.join(orig, "resp_id").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.sum((F.coalesce("restored", F.lit("")) == F.col("orig")).cast("long")).alias("restored_exactly"))
