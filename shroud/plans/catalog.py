@@ -200,13 +200,18 @@ def a7_latest_logs(spark, sf):
 
 
 # ------------------------------------------------------------------ D: masking
-@register("d4_token_map_documents")
+_D4_SQL = O.token_rows_sql("SELECT doc_id, text FROM documents", ["doc_id"])
+_D7_SQL = f"SELECT type, count(DISTINCT doc_id) AS docs, count(*) AS tokens FROM ({_D4_SQL}) GROUP BY type"
+_D2_SQL = O.token_rows_sql(O.PLANTED_CONVERSATIONS_SQL, ["conv_id", "turn"], conv_keys=["conv_id"], order_keys=["turn"])
+
+
+@register("d4_token_map_documents", _D4_SQL)
 def d4_token_map_documents(spark, sf):
     m = MK.mask_texts(documents(spark, sf), "text", ["doc_id"])
     return MK.token_map(m, ["doc_id"])
 
 
-@register("d7_token_counts_documents")
+@register("d7_token_counts_documents", _D7_SQL)
 def d7_token_counts_documents(spark, sf):
     m = MK.mask_texts(documents(spark, sf), "text", ["doc_id"])
     return (MK.token_type_counts(m, ["doc_id"]).groupBy("type")
@@ -236,7 +241,7 @@ def P_SPARK_NS():
     return pools.spark_ns()
 
 
-@register("d2_conversation_token_map")
+@register("d2_conversation_token_map", _D2_SQL)
 def d2_conversation_token_map(spark, sf):
     m = MK.anonymize(planted_conversations(spark, sf))
     return MK.token_map(m, ["conv_id"])
@@ -387,7 +392,7 @@ def _sink(stem: str) -> str:
     return f"shroud_{stem}_{_STREAM_SEQ[0]}"
 
 
-@register("h1_detect_stream")
+@register("h1_detect_stream", _D7_SQL)
 def h1_detect_stream(spark, sf):
     """H1: documents as a stream, masked per row; token counts per type (= d7)."""
     s = ST.detect_stream(ST.table_stream(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
@@ -396,7 +401,7 @@ def h1_detect_stream(spark, sf):
             .agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
 
 
-@register("h2_conversation_mask_stream")
+@register("h2_conversation_mask_stream", _D2_SQL)
 def h2_conversation_mask_stream(spark, sf):
     """H2: conversation-wide numbering continued across arriving turns (= d2)."""
     s = planted_conversations(spark, sf, ST.table_stream(spark, sf, "conversations"))
@@ -446,3 +451,58 @@ def h6_chunked_restore(spark, sf):
     return back.join(orig, "resp_id").agg(
         F.count(F.lit(1)).alias("messages"),
         F.sum((F.coalesce("restored", F.lit("")) == F.col("orig")).cast("long")).alias("restored_exactly"))
+
+
+# ------------------------------------------------------------------ A1/A2, C2, C9, A11
+from shroud.sources import messages as MS  # noqa: E402
+
+
+def request_bodies(spark, sf):
+    """JSON bodies built from the requests (some malformed: not JSON / non-array messages)."""
+    r = requests(spark, sf)
+    good = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+                              .alias("messages"), "model", F.col("body_strategy").alias("pii_strategy")))
+    body = (F.when(~F.col("body_ok"), F.lit("not json {"))
+            .when(F.col("request_id") % 59 == 0, F.lit('{"messages": "nope"}')).otherwise(good))
+    return r.select("request_id", body.alias("body"))
+
+
+@register("a1_read_messages")
+def a1_read_messages(spark, sf):
+    return MS.read_messages(request_bodies(spark, sf))
+
+
+@register("a2_flatten_segments", """
+WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS content FROM conversations)
+SELECT conv_id, turn, content,
+  CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  sum(length(content) + 1) OVER (PARTITION BY conv_id) - 1 AS total_length
+FROM m""")
+def a2_flatten_segments(spark, sf):
+    return MS.flatten_segments(table(spark, sf, "conversations"))
+
+
+@register("c2_secret_types", f"""
+WITH rq AS ({RQ_SQL})
+SELECT request_id, 'SECRET_CLOUD_KEY' AS secret_types FROM rq WHERE regexp_matches(text, 'AKIA[0-9A-Z]{{16}}')""")
+def c2_secret_types(spark, sf):
+    r = requests(spark, sf).select("request_id", F.array_join(detect.secret_types("text"), ",").alias("secret_types"))
+    return r.where(F.col("secret_types") != "")
+
+
+@register("c9_detect_report")
+def c9_detect_report(spark, sf):
+    """C9 (/v1/detect): per request token counts from the masking map, secrets, NER flags."""
+    r = PO.authorize(requests(spark, sf), key_policy(spark, sf)).where("authorized")
+    ran = NR.ner_ran(F.col("kp_tier"))
+    m = MK.mask_texts(r.select("request_id", "text", "kp_tier"), "text", ["request_id", "kp_tier"])
+    counts = MK.token_type_counts(m, ["request_id"])
+    per = counts.groupBy("request_id").agg(
+        F.array_join(F.sort_array(F.collect_list("type")), ",").alias("pii_types"),
+        F.sum("tokens").alias("pii_count"))
+    base = r.select("request_id", ran.alias("ner_ran"),
+                    (F.size(detect.secret_types("text")) > 0).alias("has_secret"))
+    return base.join(per, "request_id", "left").select(
+        "request_id", F.coalesce("pii_types", F.lit("")).alias("pii_types"),
+        F.coalesce("pii_count", F.lit(0)).alias("pii_count"), "has_secret", "ner_ran")

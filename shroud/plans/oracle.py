@@ -31,3 +31,46 @@ def pattern_matches_sql(table: str, key: str, text: str, family: str = "pii") ->
             sel = f"SELECT * FROM ({sel}) WHERE NOT regexp_matches(value, {q(f.exclude)})"
         parts.append(sel)
     return "\nUNION ALL\n".join(parts)
+
+
+def token_rows_sql(source: str, keys: list[str], text: str = "text", conv_keys: list[str] | None = None,
+                   order_keys: list[str] | None = None) -> str:
+    """DuckDB token map ``keys.., token_ord, token, type, n, value`` from per-pattern extraction.
+
+    Secrets then PII, in catalogue order, each pattern's matches in text order.
+    Numbering is per ``conv_keys`` (default: all keys) ordered by
+    ``order_keys`` (e.g. the turn), pattern rank, match position. Equals the
+    sequential masking when no pattern's match overlaps an earlier one's.
+    """
+    from shroud.functions.patterns import catalogue
+    conv_keys = conv_keys or keys
+    order_keys = order_keys or []
+    kcols = ", ".join(keys)
+    parts = []
+    for p in catalogue():
+        if p.type == "ROUTING":
+            continue
+        f = re2_form(p.family, p.idx)
+        ex = f"list_filter(regexp_extract_all({text}, {q(f.pattern)}, {f.group}), lambda x: NOT regexp_matches(x, {q(f.exclude)}))" \
+            if f.exclude else f"regexp_extract_all({text}, {q(f.pattern)}, {f.group})"
+        parts.append(f"SELECT {kcols}, '{p.type}' AS type, {p.rank} AS rank, {ex} AS vals FROM src")
+    union = "\nUNION ALL\n".join(parts)
+    part = ", ".join(conv_keys)
+    order = ", ".join(order_keys + ["rank", "pos"])
+    return f"""
+WITH src AS ({source}),
+m AS ({union}),
+u AS (SELECT {kcols}, type, rank, unnest(vals) AS value, generate_subscripts(vals, 1) AS pos FROM m WHERE len(vals) > 0),
+nn AS (SELECT *, row_number() OVER (PARTITION BY {part}, type ORDER BY {order}) AS n,
+              row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS token_ord FROM u)
+SELECT {', '.join(conv_keys)}, CAST(token_ord AS INTEGER) AS token_ord, '[' || type || '_' || CAST(n AS VARCHAR) || ']' AS token,
+       type, CAST(n AS INTEGER) AS n, value FROM nn"""
+
+
+PLANTED_CONVERSATIONS_SQL = """
+SELECT conv_id, turn, role, coalesce(text, '')
+  || CASE WHEN turn % 3 = 0 THEN ' Escríbeme a c' || CAST(conv_id AS VARCHAR) || 't' || CAST(turn AS VARCHAR) || '@example.org.' ELSE '' END
+  || CASE WHEN (conv_id + turn) % 4 = 0 THEN ' Mi DNI es ' || CAST(conv_id AS VARCHAR) || ' y tel 6'
+          || lpad(CAST((conv_id * 1000 + turn) % 100000000 AS VARCHAR), 8, '0') || '.' ELSE '' END
+  || CASE WHEN turn = 1 THEN ' Otra vez: c' || CAST(conv_id AS VARCHAR) || 't0@example.org' ELSE '' END AS text
+FROM conversations"""

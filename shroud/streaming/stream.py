@@ -42,7 +42,9 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> D
     """Run ``stream`` over everything available now into a memory table; return it."""
     spark = stream.sparkSession
     from shroud.session import ensure_checkpoint_dir
-    ck = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    import uuid
+    # memory sinks cannot recover, so every run gets its own checkpoint folder
+    ck = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("memory").queryName(name).outputMode(output_mode)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
