@@ -506,3 +506,69 @@ def c9_detect_report(spark, sf):
     return base.join(per, "request_id", "left").select(
         "request_id", F.coalesce("pii_types", F.lit("")).alias("pii_types"),
         F.coalesce("pii_count", F.lit(0)).alias("pii_count"), "has_secret", "ner_ran")
+
+
+# ------------------------------------------------------------------ NER oracles (DuckDB)
+def _ner_base_sql() -> str:
+    cases = corpus.oracle_cases_sql("customer", "c_custkey")
+    ents = corpus.oracle_entities_sql("customer", "c_custkey")
+    rep, er = D.case_ner_sql("cases", "ents")
+    return f"""
+WITH cases AS ({cases}),
+ents AS ({ents}),
+rep AS ({rep}),
+er AS ({er}),
+ex AS (SELECT case_id, ord, type, value, lower(value) AS norm FROM ents WHERE ner_scope),
+verb AS (SELECT er.case_id, er.model, er.type, er.value, lower(er.value) AS norm
+         FROM er JOIN cases c ON c.case_id = er.case_id
+         JOIN rep r ON r.case_id = er.case_id AND r.model = er.model
+         WHERE r.status <> 'error' AND er.value IS NOT NULL AND length(er.value) > 0
+           AND instr(lower(c.text), lower(er.value)) > 0)"""
+
+
+_NER_BASE = _ner_base_sql()
+
+_C3_SQL = _NER_BASE + """
+SELECT r.case_id, r.model, r.status, r.latency_ms, coalesce(n.cnt, 0) AS returned
+FROM rep r LEFT JOIN (SELECT case_id, model, count(*) AS cnt FROM er GROUP BY case_id, model) n
+  ON n.case_id = r.case_id AND n.model = r.model"""
+
+_G8_SQL = _NER_BASE + """,
+hits AS (SELECT ex.type, CASE WHEN r.status <> 'error' AND EXISTS (
+            SELECT 1 FROM verb v WHERE v.case_id = ex.case_id AND v.model = r.model AND v.type = ex.type
+              AND (instr(v.norm, ex.norm) > 0 OR instr(ex.norm, v.norm) > 0)) THEN 1 ELSE 0 END AS hit
+         FROM ex JOIN rep r ON r.case_id = ex.case_id AND r.model = 'ner-large')
+SELECT coalesce(type, 'ALL') AS type, count(*) AS expected, sum(hit) AS found,
+       CASE WHEN count(*) > 0 THEN round(100.0 * sum(hit) / count(*), 1) END AS pct
+FROM hits GROUP BY ROLLUP (type)"""
+
+_F5_SQL = _NER_BASE + """
+SELECT v.case_id, v.type, v.value FROM verb v
+WHERE v.model = 'ner-large' AND NOT EXISTS (
+  SELECT 1 FROM ex WHERE ex.case_id = v.case_id AND ex.type = v.type
+    AND (instr(v.norm, ex.norm) > 0 OR instr(ex.norm, v.norm) > 0))"""
+
+_G14_SQL = _NER_BASE + """,
+per AS (
+  SELECT r.case_id, r.model, r.status, r.latency_ms,
+    (SELECT count(*) FROM ex WHERE ex.case_id = r.case_id) AS expected_n,
+    (SELECT count(*) FROM ex WHERE ex.case_id = r.case_id AND EXISTS (
+        SELECT 1 FROM verb v WHERE v.case_id = ex.case_id AND v.model = r.model
+          AND (instr(v.norm, ex.norm) > 0 OR instr(ex.norm, v.norm) > 0))) AS found_n,
+    (SELECT count(*) FROM er WHERE er.case_id = r.case_id AND er.model = r.model) AS returned_n,
+    (SELECT count(*) FROM verb v WHERE v.case_id = r.case_id AND v.model = r.model) AS verbatim_n
+  FROM rep r)
+SELECT model,
+  sum(CASE WHEN status <> 'error' THEN found_n ELSE 0 END) AS found,
+  sum(CASE WHEN status <> 'error' THEN expected_n ELSE 0 END) AS expected,
+  sum(CASE WHEN status <> 'error' THEN returned_n - verbatim_n ELSE 0 END) AS paraphrased,
+  count(*) FILTER (WHERE status = 'error') AS errors,
+  CAST(round(avg(CASE WHEN status <> 'error' THEN latency_ms END)) AS BIGINT) AS avg_latency_ms,
+  CASE WHEN sum(CASE WHEN status <> 'error' THEN expected_n ELSE 0 END) > 0 THEN
+    round(100.0 * sum(CASE WHEN status <> 'error' THEN found_n ELSE 0 END)
+          / sum(CASE WHEN status <> 'error' THEN expected_n ELSE 0 END), 1) END AS pct
+FROM per GROUP BY model"""
+
+for _name, _sql in [("c3_case_ner_replies", _C3_SQL), ("g8_ner_recall", _G8_SQL),
+                    ("f5_ner_false_positives", _F5_SQL), ("g14_model_comparison", _G14_SQL)]:
+    REGISTRY[_name] = (REGISTRY[_name][0], _sql)
