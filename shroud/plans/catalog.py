@@ -572,3 +572,87 @@ FROM per GROUP BY model"""
 for _name, _sql in [("c3_case_ner_replies", _C3_SQL), ("g8_ner_recall", _G8_SQL),
                     ("f5_ner_false_positives", _F5_SQL), ("g14_model_comparison", _G14_SQL)]:
     REGISTRY[_name] = (REGISTRY[_name][0], _sql)
+
+
+# ------------------------------------------------------------------ E5 oracle (DuckDB)
+def _e5_sql() -> str:
+    from shroud.functions.patterns import pii_patterns
+    from shroud.functions.patterns import re2_form as _re2
+    from shroud.functions.patterns import secret_patterns
+    types_in_order = []
+    for p in pii_patterns():
+        if p.type not in types_in_order and p.type != "ROUTING":
+            types_in_order.append(p.type)
+    cnt_cols = ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS c_{t}" for t in types_in_order)
+    type_list = "list_filter([" + ", ".join(f"CASE WHEN c_{t} > 0 THEN '{t}' END" for t in types_in_order) + \
+        "], lambda x: x IS NOT NULL)"
+    secret_any = " OR ".join(f"regexp_matches(text, {O.q(_re2(p.family, p.idx).pattern)})" for p in secret_patterns())
+    el = REPLAY_EDGE_LIMITS
+    dl = REPLAY_DAILY_LIMITS
+    return f"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
+rn AS ({D.request_ner_sql('rq')}),
+pm AS ({O.pattern_matches_sql('rq', 'request_id', 'text')}),
+pc AS (SELECT k, count(*) AS regex_matches, {cnt_cols} FROM pm GROUP BY k),
+j AS (
+  SELECT rq.*, kp.user_id AS kp_user_id, kp.tier AS kp_tier, kp.pii_strategy AS kp_pii_strategy,
+         kp.edge_limit AS kp_edge_limit, (kp.api_key IS NOT NULL) AS authorized,
+         coalesce(pc.regex_matches, 0) AS regex_matches,
+         CASE WHEN pc.k IS NULL THEN [] ELSE {type_list} END AS regex_types,
+         ({secret_any}) AS has_secret, rn.ner_status, rn.person
+  FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')
+  LEFT JOIN pc ON pc.k = rq.request_id LEFT JOIN rn ON rn.request_id = rq.request_id),
+q AS (
+  SELECT *, CASE WHEN authorized THEN row_number() OVER (PARTITION BY authorized, kp_user_id, CAST(ts AS DATE)
+                                                         ORDER BY ts, request_id) END AS rl_seq
+  FROM j),
+s AS (
+  SELECT *,
+    CASE WHEN NOT authorized THEN TRUE
+         ELSE rl_seq <= CASE kp_tier WHEN 'pro' THEN {dl['pro']} WHEN 'enterprise' THEN {dl['enterprise']} ELSE {dl['free']} END
+    END AS rl_allowed,
+    coalesce(kp_pii_strategy, 'anonymize') AS mode,
+    kp_tier IN ('pro', 'enterprise') AS ran
+  FROM q),
+t AS (
+  SELECT *,
+    CASE WHEN mode = 'custom' THEN CASE WHEN body_strategy IN ('edge', 'anonymize') THEN body_strategy ELSE 'anonymize' END
+         ELSE mode END AS applied,
+    CASE WHEN NOT ran THEN 'not_run' ELSE coalesce(ner_status, 'clean') END AS st
+  FROM s),
+u AS (
+  SELECT *, CASE WHEN ran AND st <> 'error' AND person IS NOT NULL THEN 1 ELSE 0 END AS n_ents FROM t),
+v AS (
+  SELECT *,
+    CASE WHEN NOT authorized THEN 'unauthorized'
+         WHEN NOT rl_allowed THEN 'rate_limited'
+         WHEN NOT body_ok THEN 'invalid_json'
+         WHEN mode <> 'custom' AND body_strategy IS NOT NULL AND body_strategy <> '' AND body_strategy <> mode
+              THEN 'strategy_mismatch'
+         WHEN ran AND st = 'error' AND applied = 'anonymize' THEN 'ner_unavailable'
+         WHEN NOT (len(regex_types) > 0 OR n_ents > 0 OR has_secret) THEN 'passthrough'
+         WHEN applied = 'edge' THEN 'edge'
+         ELSE 'anonymized' END AS pre,
+    list_concat(regex_types, CASE WHEN n_ents > 0 AND NOT list_contains(regex_types, 'PERSON') THEN ['PERSON'] ELSE [] END,
+                CASE WHEN has_secret THEN ['SECRET'] ELSE [] END) AS types
+  FROM u),
+w AS (
+  SELECT *, CASE WHEN pre = 'edge' THEN row_number() OVER (PARTITION BY pre = 'edge', kp_user_id, CAST(ts AS DATE)
+                                                        ORDER BY ts, request_id) END AS edge_seq,
+    coalesce(kp_edge_limit, CASE kp_tier WHEN 'free' THEN {el['free']} WHEN 'pro' THEN {el['pro']}
+                                          WHEN 'enterprise' THEN {el['enterprise']} END, 50) AS edge_lim
+  FROM v),
+x AS (SELECT *, CASE WHEN pre = 'edge' AND edge_seq > edge_lim THEN 'edge_rate_limited' ELSE pre END AS outcome FROM w)
+SELECT request_id, outcome,
+  CASE outcome WHEN 'unauthorized' THEN 401 WHEN 'rate_limited' THEN 429 WHEN 'invalid_json' THEN 400
+       WHEN 'strategy_mismatch' THEN 400 WHEN 'ner_unavailable' THEN 503 WHEN 'edge_rate_limited' THEN 429
+       ELSE 200 END AS status_code,
+  CASE WHEN outcome IN ('passthrough', 'anonymized') THEN 'cloud' WHEN outcome = 'edge' THEN 'edge' END AS routed_to,
+  outcome = 'anonymized' AS anonymized, applied AS applied_strategy, mode AS strategy_mode, ran AS ner_ran,
+  array_to_string(CASE WHEN pre = 'ner_unavailable' AND NOT list_contains(types, 'NER_ERROR')
+                       THEN list_append(types, 'NER_ERROR') ELSE types END, ',') AS pii_types,
+  regex_matches + n_ents AS pii_matches, has_secret
+FROM x"""
+
+
+REGISTRY["e5_route_decisions"] = (REGISTRY["e5_route_decisions"][0], _e5_sql())
