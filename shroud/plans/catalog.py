@@ -575,7 +575,7 @@ for _name, _sql in [("c3_case_ner_replies", _C3_SQL), ("g8_ner_recall", _G8_SQL)
 
 
 # ------------------------------------------------------------------ E5 oracle (DuckDB)
-def _e5_sql() -> str:
+def _e5_sql(final: str | None = None) -> str:
     from shroud.functions.patterns import pii_patterns
     from shroud.functions.patterns import re2_form as _re2
     from shroud.functions.patterns import secret_patterns
@@ -597,6 +597,8 @@ pc AS (SELECT k, count(*) AS regex_matches, {cnt_cols} FROM pm GROUP BY k),
 j AS (
   SELECT rq.*, kp.user_id AS kp_user_id, kp.tier AS kp_tier, kp.pii_strategy AS kp_pii_strategy,
          kp.edge_limit AS kp_edge_limit, (kp.api_key IS NOT NULL) AS authorized,
+         kp.api_key_id AS kp_api_key_id, kp.api_key_name AS kp_api_key_name, kp.edge_model AS kp_edge_model,
+         kp.provider_mode AS kp_provider_mode, kp.provider AS kp_provider, kp.cloud_model AS kp_cloud_model,
          coalesce(pc.regex_matches, 0) AS regex_matches,
          CASE WHEN pc.k IS NULL THEN [] ELSE {type_list} END AS regex_types,
          ({secret_any}) AS has_secret, rn.ner_status, rn.person
@@ -642,17 +644,68 @@ w AS (
     coalesce(kp_edge_limit, CASE kp_tier WHEN 'free' THEN {el['free']} WHEN 'pro' THEN {el['pro']}
                                           WHEN 'enterprise' THEN {el['enterprise']} END, 50) AS edge_lim
   FROM v),
-x AS (SELECT *, CASE WHEN pre = 'edge' AND edge_seq > edge_lim THEN 'edge_rate_limited' ELSE pre END AS outcome FROM w)
-SELECT request_id, outcome,
+x AS (SELECT *, CASE WHEN pre = 'edge' AND edge_seq > edge_lim THEN 'edge_rate_limited' ELSE pre END AS outcome FROM w),
+y AS (SELECT *, CASE WHEN pre = 'ner_unavailable' AND NOT list_contains(types, 'NER_ERROR')
+                     THEN list_append(types, 'NER_ERROR') ELSE types END AS types_final FROM x)
+""" + (final or """SELECT request_id, outcome,
   CASE outcome WHEN 'unauthorized' THEN 401 WHEN 'rate_limited' THEN 429 WHEN 'invalid_json' THEN 400
        WHEN 'strategy_mismatch' THEN 400 WHEN 'ner_unavailable' THEN 503 WHEN 'edge_rate_limited' THEN 429
        ELSE 200 END AS status_code,
   CASE WHEN outcome IN ('passthrough', 'anonymized') THEN 'cloud' WHEN outcome = 'edge' THEN 'edge' END AS routed_to,
   outcome = 'anonymized' AS anonymized, applied AS applied_strategy, mode AS strategy_mode, ran AS ner_ran,
-  array_to_string(CASE WHEN pre = 'ner_unavailable' AND NOT list_contains(types, 'NER_ERROR')
-                       THEN list_append(types, 'NER_ERROR') ELSE types END, ',') AS pii_types,
+  array_to_string(types_final, ',') AS pii_types,
   regex_matches + n_ents AS pii_matches, has_secret
-FROM x"""
+FROM y""")
 
 
 REGISTRY["e5_route_decisions"] = (REGISTRY["e5_route_decisions"][0], _e5_sql())
+
+_DEFAULT_EDGE = PO.DEFAULT_EDGE_MODEL
+_DEPRECATED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PO.DEPRECATED_EDGE_MODELS.items())
+_E12_FINAL = f"""
+SELECT request_id, ts, CAST(ts AS DATE) AS log_date, kp_user_id AS user_id,
+  CASE WHEN kp_api_key_id <> '' THEN kp_api_key_id END AS api_key_id,
+  CASE WHEN kp_api_key_name <> '' THEN kp_api_key_name END AS api_key_name,
+  outcome = 'anonymized' AS anonymized,
+  CASE WHEN outcome = 'passthrough' THEN '' ELSE array_to_string(types_final, ',') END AS pii_types,
+  CASE WHEN outcome = 'passthrough' THEN 0 ELSE regex_matches + n_ents END AS pii_matches,
+  CASE outcome WHEN 'ner_unavailable' THEN 503 ELSE 200 END AS status_code,
+  coalesce(applied, 'anonymize') AS pii_strategy,
+  CASE WHEN outcome = 'edge' THEN
+    coalesce(CASE coalesce(kp_edge_model, '{_DEFAULT_EDGE}') {_DEPRECATED} END, coalesce(kp_edge_model, '{_DEFAULT_EDGE}'))
+  END AS edge_model,
+  CASE WHEN outcome IN ('passthrough', 'anonymized', 'ner_unavailable') THEN coalesce(kp_provider_mode, 'managed') END
+    AS provider_mode,
+  CASE WHEN outcome IN ('passthrough', 'anonymized', 'ner_unavailable') THEN coalesce(kp_provider, 'openai') END AS provider,
+  CASE WHEN outcome IN ('passthrough', 'anonymized') THEN coalesce(model, kp_cloud_model) END AS cloud_model,
+  (outcome IN ('anonymized', 'ner_unavailable') AND has_secret) AS has_secret
+FROM y WHERE outcome IN ('ner_unavailable', 'passthrough', 'edge', 'anonymized')"""
+REGISTRY["e12_request_log"] = (REGISTRY["e12_request_log"][0], _e5_sql(_E12_FINAL))
+
+
+# ------------------------------------------------------------------ B24 oracle (DuckDB)
+def _b24_sql() -> str:
+    ents = corpus.oracle_entities_sql("customer", "c_custkey")
+    letters = "'TRWAGMYFPDXBNJZSQVHLCKE'"
+    dig = [f"CAST(substr(v, {2 + i}, 1) AS INTEGER)" for i in range(7)]
+    odd = " + ".join(f"(CASE WHEN {d} * 2 > 9 THEN {d} * 2 - 9 ELSE {d} * 2 END)" for d in (dig[0], dig[2], dig[4], dig[6]))
+    last = f"(({odd}) + {dig[1]} + {dig[3]} + {dig[5]}) % 10"
+    chk = f"(CASE WHEN {last} = 0 THEN 0 ELSE 10 - {last} END)"
+    cif_ok = (f"substr(v, 9, 1) = CASE WHEN substr(v, 1, 1) IN ('P', 'Q', 'S', 'K', 'W', 'N') "
+              f"THEN substr('JABCDEFGHI', {chk} + 1, 1) ELSE CAST({chk} AS VARCHAR) END")
+    nie_ok = (f"substr(v, 9, 1) = substr({letters}, CAST(((CASE substr(v, 1, 1) WHEN 'X' THEN 0 WHEN 'Y' THEN 1 ELSE 2 END)"
+              f" * 10000000 + CAST(substr(v, 2, 7) AS BIGINT)) % 23 AS INTEGER) + 1, 1)")
+    nif_ok = f"substr(v, 9, 1) = substr({letters}, CAST(CAST(substr(v, 1, 8) AS BIGINT) % 23 AS INTEGER) + 1, 1)"
+    return f"""
+WITH e AS ({ents}),
+x AS (SELECT type, value, regexp_replace(upper(value), '[^0-9A-Z]', '', 'g') AS v FROM e WHERE type IN ('DNI', 'CIF')),
+y AS (SELECT type,
+  CASE WHEN regexp_matches(value, '^[XYZ]') THEN (CASE WHEN regexp_matches(v, '^[XYZ][0-9]{{7}}[A-Z]$') THEN {nie_ok} END)
+       WHEN type = 'CIF' THEN (CASE WHEN regexp_matches(v, '^[A-Z][0-9]{{7}}[0-9A-J]$') THEN {cif_ok} END)
+       ELSE (CASE WHEN regexp_matches(v, '^[0-9]{{8}}[A-Z]$') THEN {nif_ok} END) END AS ok
+  FROM x)
+SELECT type, count(*) AS labels, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE ok IS NULL) AS unchecked
+FROM y GROUP BY type"""
+
+
+REGISTRY["b24_id_validity"] = (REGISTRY["b24_id_validity"][0], _b24_sql())
