@@ -195,7 +195,7 @@ def a7_latest_logs(spark, sf):
     """Newest N = min(limit or 100, 500) log rows, total order (ts desc, request_id desc)."""
     logs = PO.log_rows(decided(spark, sf))
     return (logs.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(min(100, 500))
-            .select("request_id", F.col("ts").cast("string").alias("ts"), "user_id", "status_code",
+            .select("request_id", "ts", "user_id", "status_code",
                     F.array_join("pii_types", ",").alias("pii_types")))
 
 
@@ -709,3 +709,17 @@ FROM y GROUP BY type"""
 
 
 REGISTRY["b24_id_validity"] = (REGISTRY["b24_id_validity"][0], _b24_sql())
+
+
+_G17_FINAL = "SELECT * FROM (" + _E12_FINAL.replace("FROM y WHERE", "FROM y WHERE") + ")"
+REGISTRY["g17_usage_rollup"] = (REGISTRY["g17_usage_rollup"][0], _e5_sql(f"""
+SELECT CAST(log_date AS VARCHAR) AS log_date, pii_strategy, provider, count(*) AS requests,
+       sum(CAST(anonymized AS INTEGER)) AS anonymized, sum(pii_matches) AS pii_matches
+FROM ({_E12_FINAL}) GROUP BY ROLLUP (log_date, pii_strategy, provider)"""))
+REGISTRY["a7_latest_logs"] = (REGISTRY["a7_latest_logs"][0], _e5_sql(f"""
+SELECT request_id, ts, user_id, status_code, pii_types
+FROM ({_E12_FINAL}) ORDER BY ts DESC, request_id DESC LIMIT 100"""))
+REGISTRY["a1_read_messages"] = (REGISTRY["a1_read_messages"][0], f"""
+WITH rq AS ({RQ_SQL})
+SELECT request_id, CAST(0 AS INTEGER) AS turn, 'user' AS role, text AS content
+FROM rq WHERE body_ok AND request_id % 59 <> 0""")
