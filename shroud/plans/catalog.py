@@ -723,3 +723,29 @@ REGISTRY["a1_read_messages"] = (REGISTRY["a1_read_messages"][0], f"""
 WITH rq AS ({RQ_SQL})
 SELECT request_id, CAST(0 AS INTEGER) AS turn, 'user' AS role, text AS content
 FROM rq WHERE body_ok AND request_id % 59 <> 0""")
+
+REGISTRY["g12_ner_summary"] = (REGISTRY["g12_ner_summary"][0], _NER_BASE + """,
+per AS (
+  SELECT r.case_id, r.status, r.latency_ms,
+    (SELECT count(*) FROM ex WHERE ex.case_id = r.case_id) AS expected_n,
+    CASE WHEN r.status = 'error' THEN 0 ELSE (SELECT count(*) FROM ex WHERE ex.case_id = r.case_id AND EXISTS (
+        SELECT 1 FROM verb v WHERE v.case_id = ex.case_id AND v.model = r.model AND v.type = ex.type
+          AND (instr(v.norm, ex.norm) > 0 OR instr(ex.norm, v.norm) > 0))) END AS found_n,
+    CASE WHEN r.status = 'error' THEN 0 ELSE
+      (SELECT count(*) FROM er WHERE er.case_id = r.case_id AND er.model = r.model) END AS returned_n,
+    (SELECT count(*) FROM verb v WHERE v.case_id = r.case_id AND v.model = r.model) AS verbatim_n,
+    (SELECT count(*) FROM verb v WHERE v.case_id = r.case_id AND v.model = r.model AND NOT EXISTS (
+        SELECT 1 FROM ex WHERE ex.case_id = v.case_id AND ex.type = v.type
+          AND (instr(v.norm, ex.norm) > 0 OR instr(ex.norm, v.norm) > 0))) AS fp_n
+  FROM rep r WHERE r.model = 'ner-large'),
+lat AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS n
+        FROM per WHERE status <> 'error' AND latency_ms IS NOT NULL)
+SELECT sum(found_n) AS found, sum(expected_n) AS expected, sum(returned_n) AS returned, sum(verbatim_n) AS verbatim,
+  sum(returned_n - verbatim_n) AS paraphrased, sum(fp_n) AS false_positives,
+  sum(CASE WHEN expected_n = 0 THEN fp_n ELSE 0 END) AS fp_on_clean_cases,
+  count(*) FILTER (WHERE status = 'error') AS errors, count(*) AS cases,
+  CAST(round(avg(CASE WHEN status <> 'error' THEN latency_ms END)) AS BIGINT) AS avg_latency_ms,
+  (SELECT latency_ms FROM lat WHERE i = least(n - 1, floor(n * 0.5))) AS p50_ms,
+  (SELECT latency_ms FROM lat WHERE i = least(n - 1, floor(n * 0.95))) AS p95_ms,
+  CASE WHEN sum(expected_n) > 0 THEN round(100.0 * sum(found_n) / sum(expected_n), 1) END AS pct
+FROM per""")
