@@ -749,3 +749,57 @@ SELECT sum(found_n) AS found, sum(expected_n) AS expected, sum(returned_n) AS re
   (SELECT latency_ms FROM lat WHERE i = least(n - 1, floor(n * 0.95))) AS p95_ms,
   CASE WHEN sum(expected_n) > 0 THEN round(100.0 * sum(found_n) / sum(expected_n), 1) END AS pct
 FROM per""")
+
+
+# ------------------------------------------------------------------ regex evaluation oracles (DuckDB)
+def _regex_eval_base() -> str:
+    cases = corpus.oracle_cases_sql("customer", "c_custkey")
+    ents = corpus.oracle_entities_sql("customer", "c_custkey")
+    seq = O.sequential_mask_sql("SELECT case_id, text FROM cases")
+    return f"""
+WITH cases AS ({cases}),
+ents AS ({ents}),
+mv AS (SELECT case_id, vals FROM ({seq})),
+vv AS (SELECT mv.case_id, v.type AS type, v.value AS value
+       FROM mv, unnest(mv.vals) AS u(v)),
+sc AS (
+  SELECT e.case_id, c.domain, c.kind, c.category, c.source, c.notes, e.ord, e.type, e.value, e.expected_match,
+    EXISTS (SELECT 1 FROM vv WHERE vv.case_id = e.case_id AND vv.value = e.value) AS detected,
+    NOT EXISTS (SELECT 1 FROM vv WHERE vv.case_id = e.case_id AND vv.value = e.value)
+      AND EXISTS (SELECT 1 FROM vv WHERE vv.case_id = e.case_id AND instr(e.value, vv.value) > 0
+                  AND length(vv.value) < length(e.value)) AS partial
+  FROM ents e JOIN cases c ON c.case_id = e.case_id WHERE NOT e.ner_scope),
+fp AS (
+  SELECT vv.case_id, vv.type, vv.value FROM vv
+  WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.case_id = vv.case_id AND e.value = vv.value)
+    AND NOT EXISTS (SELECT 1 FROM ents e WHERE e.case_id = vv.case_id AND instr(e.value, vv.value) > 0
+                    AND length(vv.value) < length(e.value)))"""
+
+
+_RB = _regex_eval_base()
+_PCT = "CASE WHEN {d} > 0 THEN round(100.0 * {n} / {d}, 1) END"
+_REGEX_ORACLES = {
+    "f2_scored_entities": "SELECT case_id, ord, type, value, detected, partial FROM sc",
+    "g1_recall_by_type": "SELECT type, count(*) AS expected, sum(CAST(detected AS INTEGER)) AS found, "
+                         + _PCT.format(n="sum(CAST(detected AS INTEGER))", d="count(*)") + " AS pct FROM sc GROUP BY type",
+    "g2_recall_breakdown": "SELECT CASE WHEN GROUPING(domain) = 1 THEN 'source' WHEN GROUPING(source) = 1 THEN 'domain' "
+                           "ELSE 'domain/source' END AS breakdown, domain, source, count(*) AS expected, "
+                           "sum(CAST(detected AS INTEGER)) AS found, "
+                           + _PCT.format(n="sum(CAST(detected AS INTEGER))", d="count(*)")
+                           + " AS pct FROM sc GROUP BY GROUPING SETS ((source), (domain), (domain, source))",
+    "g3_false_negatives": "SELECT case_id, domain, category, source, type, value, expected_match, "
+                          "partial AS partially_matched, notes FROM sc WHERE NOT detected",
+    "f6_regex_false_positives": "SELECT case_id, type, value FROM fp",
+    "g5_fp_by_type": "SELECT type, count(*) AS fp FROM fp GROUP BY type",
+    "g6_precision_by_type": "SELECT coalesce(a.type, b.type) AS type, coalesce(a.tp, 0) AS tp, coalesce(b.fp, 0) AS fp, "
+                            + _PCT.format(n="coalesce(a.tp, 0)", d="(coalesce(a.tp, 0) + coalesce(b.fp, 0))")
+                            + " AS pct FROM (SELECT type, sum(CAST(detected AS INTEGER)) AS tp FROM sc GROUP BY type) a "
+                            "FULL OUTER JOIN (SELECT type, count(*) AS fp FROM fp GROUP BY type) b ON a.type = b.type",
+    "g7_gap_mismatches": "SELECT case_id, type, value, notes FROM sc WHERE expected_match = FALSE AND detected",
+    "g4_regex_totals": "SELECT count(*) AS expected, sum(CAST(detected AS INTEGER)) AS found, "
+                       "count(*) FILTER (WHERE NOT detected AND partial) AS partial_misses, "
+                       "(SELECT count(*) FROM ents WHERE ner_scope) AS ner_scope_labels, "
+                       + _PCT.format(n="sum(CAST(detected AS INTEGER))", d="count(*)") + " AS pct FROM sc",
+}
+for _name, _sql in _REGEX_ORACLES.items():
+    REGISTRY[_name] = (REGISTRY[_name][0], _RB + "\n" + _sql)

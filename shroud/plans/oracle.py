@@ -74,3 +74,53 @@ SELECT conv_id, turn, role, coalesce(text, '')
           || lpad(CAST((conv_id * 1000 + turn) % 100000000 AS VARCHAR), 8, '0') || '.' ELSE '' END
   || CASE WHEN turn = 1 THEN ' Otra vez: c' || CAST(conv_id AS VARCHAR) || 't0@example.org' ELSE '' END AS text
 FROM conversations"""
+
+
+def sequential_mask_sql(source: str, key: str = "case_id", text: str = "text") -> str:
+    """DuckDB replay of the sequential masking: ``key, vals list<struct<type, value>>``.
+
+    Each pattern extracts from, then replaces in, the text left by the
+    previous ones (token placeholders keep later patterns' context).
+    Lookahead exclusions become temporary sentinel characters that stop the
+    excluded candidates from matching; the Spanish phone's digit lookarounds
+    become a captured non-digit boundary, applied twice so that candidates
+    separated by one character are both found. ROUTING is not replayed.
+    """
+    from shroud.functions.patterns import catalogue, translate
+    sent = "chr(1)"
+    stages = [f"s0 AS (SELECT {key}, {text} AS t, [] AS vals FROM ({source}))"]
+    i = 0
+
+    def add(expr_t: str, vals: str | None = None):
+        nonlocal i
+        i += 1
+        v = f"list_concat(vals, {vals})" if vals else "vals"
+        stages.append(f"s{i} AS (SELECT {key}, {expr_t} AS t, {v} AS vals FROM s{i - 1})")
+
+    for p in catalogue():
+        if p.type == "ROUTING":
+            continue
+        tok = q(f"[{p.type}_0]")
+        tag = lambda rx, g=0, typ=p.type: (
+            f"list_transform(regexp_extract_all(t, {q(rx)}, {g}), lambda x: {{'type': '{typ}', 'value': x}})")
+        if p.type == "PASSPORT":
+            mark = translate(r"\b(APP|BC|ID|BK|ACC|REF|TXN|ACCT|CASE|CLT)([-#\s]?[0-9])", "re2")
+            add(f"regexp_replace(t, {q(mark)}, '\\1' || {sent} || '\\2', 'g')")
+            rx = translate(r"\b[A-Z]{1,3}[-\s]?\d{6,9}\b", "re2")
+            add(f"regexp_replace(t, {q(rx)}, {tok}, 'g')", tag(rx))
+            add(f"replace(t, {sent}, '')")
+        elif p.type == "ID":
+            add(f"regexp_replace(t, '\\b(MRN|EMP)-', '\\1' || {sent} || '-', 'g')")
+            rx = re2_form(p.family, p.idx).pattern
+            add(f"regexp_replace(t, {q(rx)}, {tok}, 'g')", tag(rx))
+            add(f"replace(t, {sent}, '')")
+        elif p.type == "PHONE" and p.source.startswith("(?<!"):
+            rx = re2_form(p.family, p.idx).pattern
+            rx3 = rx[:-len("(?:[^0-9]|$)")] + "([^0-9]|$)"
+            rx3 = "(^|[^0-9])" + rx3[len("(?:^|[^0-9])"):]
+            for _ in range(2):
+                add(f"regexp_replace(t, {q(rx3)}, '\\1' || {tok} || '\\3', 'g')", tag(rx3, 2))
+        else:
+            rx = re2_form(p.family, p.idx).pattern
+            add(f"regexp_replace(t, {q(rx)}, {tok}, 'g')", tag(rx))
+    return "WITH " + ",\n".join(stages) + f"\nSELECT {key}, vals FROM s{i}"
