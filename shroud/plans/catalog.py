@@ -803,3 +803,23 @@ _REGEX_ORACLES = {
 }
 for _name, _sql in _REGEX_ORACLES.items():
     REGISTRY[_name] = (REGISTRY[_name][0], _RB + "\n" + _sql)
+
+
+def _c9_sql() -> str:
+    from shroud.functions.patterns import re2_form as _re2
+    from shroud.functions.patterns import secret_patterns
+    secret_any = " OR ".join(f"regexp_matches(rq.text, {O.q(_re2(p.family, p.idx).pattern)})" for p in secret_patterns())
+    seq = O.sequential_mask_sql("SELECT request_id, text FROM rq", key="request_id")
+    return f"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
+mv AS (SELECT request_id, vals FROM ({seq})),
+vv AS (SELECT mv.request_id, v.type AS type FROM mv, unnest(mv.vals) AS u(v)),
+t AS (SELECT request_id, string_agg(DISTINCT type, ',' ORDER BY type) AS pii_types, count(*) AS pii_count
+      FROM vv GROUP BY request_id)
+SELECT rq.request_id, coalesce(t.pii_types, '') AS pii_types, coalesce(t.pii_count, 0) AS pii_count,
+       ({secret_any}) AS has_secret, kp.tier IN ('pro', 'enterprise') AS ner_ran
+FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')
+LEFT JOIN t ON t.request_id = rq.request_id"""
+
+
+REGISTRY["c9_detect_report"] = (REGISTRY["c9_detect_report"][0], _c9_sql())
