@@ -194,3 +194,22 @@ def leak_rows(masked: DataFrame, keys: Sequence[str] = ("conv_id", "turn")) -> D
     t = masked.select(*keys, "masked", F.explode("tokens").alias("t"))
     return (t.where(F.instr("masked", F.col("t.value")) > 0)
             .select(*keys, F.col("t.type").alias("type"), F.col("t.value").alias("value")))
+
+
+def restore_choices(responses: DataFrame, tmap: DataFrame, key: str = "conv_id", resp_key: str = "resp_id",
+                    choices_col: str = "choices") -> DataFrame:
+    """Restore every choice's content; choices without content stay untouched.
+
+    Choices are exploded with their position, restored with :func:`restore`,
+    and gathered back per response (bounded by that response's choices).
+    """
+    ch = responses.select(resp_key, key, F.posexplode(choices_col).alias("_pos", "_c"))
+    ch = ch.select(resp_key, key, "_pos", "_c", F.concat_ws("#", F.col(resp_key), F.col("_pos")).alias("_cid"),
+                   F.col("_c.message.content").alias("text"))
+    r = restore(ch, tmap, key=key, resp_key="_cid")
+    fixed = F.when(F.col("_c.message.content").isNull(), F.col("_c")).otherwise(
+        F.col("_c").withField("message.content", F.col("restored")))
+    back = (r.select(resp_key, "_pos", fixed.alias("_c"))
+            .groupBy(resp_key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_c"))).alias("_l")))
+    out = back.select(resp_key, F.transform("_l", lambda x: x["_c"]).alias(choices_col))
+    return responses.drop(choices_col).join(out, resp_key, "left")

@@ -235,3 +235,41 @@ def classify_outcome(status_code: Column, code: Column) -> Column:
             .when((status_code == 400) & (code == "strategy_mismatch"), "strategy_mismatch")
             .when((status_code == 503) & (code == "ner_unavailable"), "ner_unavailable")
             .when(status_code >= 400, "api_error"))
+
+
+def outbound_body(df: DataFrame, prefix: Column | None = None) -> Column:
+    """E6-E8 + E11: the body sent upstream.
+
+    Model: request's non-empty model, else the key's (E6), provider-prefixed
+    unless already qualified (E7); ``max_tokens`` renamed to
+    ``max_completion_tokens`` (E8); the policy field ``pii_strategy`` is not
+    carried (E11).
+    """
+    model = resolve_model(F.col("model"), F.col("kp_cloud_model"))
+    if prefix is not None:
+        model = prefix_model(model, prefix)
+    return F.struct(model.alias("model"), F.col("temperature").alias("temperature"),
+                    F.col("max_tokens").alias("max_completion_tokens"))
+
+
+RESPONSE_SCHEMA = ("struct<id:string, object:string, model:string, routed_to:string, anonymized:boolean, "
+                   "pii_matches:int, latency_ms:int, ner_ran:boolean, ner_entities:array<string>, "
+                   "applied_strategy:string, strategy_mode:string, "
+                   "choices:array<struct<index:int, message:struct<role:string, content:string>, finish_reason:string>>>")
+
+
+def parse_response(body: Column) -> Column:
+    """provider/proxy response JSON -> typed struct with the client's defaults."""
+    r = F.from_json(body, RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
+    return F.struct(
+        F.coalesce(r["id"], F.lit("")).alias("id"), F.coalesce(r["model"], F.lit("")).alias("model"),
+        F.coalesce(r["routed_to"], F.lit("cloud")).alias("routed_to"),
+        F.coalesce(r["anonymized"], F.lit(False)).alias("anonymized"),
+        F.coalesce(r["pii_matches"], F.lit(0)).alias("pii_matches"),
+        F.coalesce(r["latency_ms"], F.lit(0)).alias("latency_ms"),
+        F.coalesce(r["ner_ran"], F.lit(False)).alias("ner_ran"),
+        F.coalesce(r["ner_entities"], F.array().cast("array<string>")).alias("ner_entities"),
+        r["applied_strategy"].alias("applied_strategy"), r["strategy_mode"].alias("strategy_mode"),
+        F.coalesce(r["choices"], F.array().cast(
+            "array<struct<index:int,message:struct<role:string,content:string>,finish_reason:string>>"))
+        .alias("choices"))

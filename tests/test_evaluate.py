@@ -46,3 +46,14 @@ def test_ner_summary_latency_index_rule(spark):
     lat = sorted([5, 1, 9, 3, 7, 7, 2])
     assert r.p50_ms == lat[min(6, int(7 * 0.5))] and r.p95_ms == lat[min(6, int(7 * 0.95))]
     assert r.avg_latency_ms == round(sum(lat) / 7) and r.errors == 1
+
+
+def test_combined_recall_rule(spark):
+    reg = spark.createDataFrame([(40, 50)], "found long, expected long")
+    ner_ = spark.createDataFrame([(9, 10)], "found long, expected long")
+    same = spark.createDataFrame([(50,)], "n long")
+    other = spark.createDataFrame([(51,)], "n long")
+    r = evaluate.combined_recall(reg, ner_, same).collect()[0]
+    assert (r.combined_found, r.combined_expected, r.combined_pct, r.skip_reason) == (49, 60, 81.7, None)
+    r = evaluate.combined_recall(reg, ner_, other).collect()[0]
+    assert r.combined_found is None and "51" in r.skip_reason

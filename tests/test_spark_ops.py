@@ -123,3 +123,16 @@ def test_strategy_and_models(spark):
     e = spark.createDataFrame([("@cf/meta/llama-3.1-8b-instruct",), (None,)], "m string")
     got = [r.v for r in e.select(policy.edge_model(F.col("m")).alias("v")).collect()]
     assert got == ["@cf/meta/llama-4-scout-17b-16e-instruct", policy.DEFAULT_EDGE_MODEL]
+
+
+def test_restore_choices_and_response_parsing(spark):
+    tm = spark.createDataFrame([(1, 1, "[EMAIL_1]", "EMAIL", 1, "a@b.co")],
+                               "conv_id long, token_ord int, token string, type string, n int, value string")
+    resp = spark.createDataFrame([(1, "r", '{"id":"x","choices":[{"index":0,"message":{"role":"assistant",'
+                                           '"content":"hi [EMAIL_1]"},"finish_reason":"stop"},'
+                                           '{"index":1,"message":{"role":"assistant"}}]}')],
+                                 "conv_id long, resp_id string, body string")
+    p = resp.select("conv_id", "resp_id", policy.parse_response(F.col("body")).alias("r"))
+    assert p.collect()[0].r.routed_to == "cloud"
+    out = mask.restore_choices(p.select("conv_id", "resp_id", "r.choices"), tm).collect()[0].choices
+    assert out[0].message.content == "hi a@b.co" and out[1].message.content is None
