@@ -87,7 +87,7 @@ def scanned_requests(spark, sf):
     r = r.select("*", F.col("_v.detected").alias("regex_detected"), F.col("_v.types").alias("regex_types"),
                  F.col("_v.matches").alias("regex_matches"),
                  (F.size("secret_types") > 0).alias("has_secret")).drop("_v")
-    r = r.join(D.request_ner(spark, r), "request_id", "left")
+    r = D.with_request_ner(spark, r)
     return materialize(r)   # the Python scan runs once; routing reuses it in several branches
 
 

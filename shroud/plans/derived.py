@@ -166,3 +166,17 @@ def case_ner(spark: SparkSession, corpus: DataFrame) -> DataFrame:
     lists = lists.select("case_id", "model", F.transform("_l", lambda x: F.struct(
         x["type"].alias("type"), x["value"].alias("value"))).alias("ents"))
     return replies.join(lists, ["case_id", "model"], "left")
+
+
+def with_request_ner(spark: SparkSession, reqs: DataFrame) -> DataFrame:
+    """``reqs`` + ``ner_status, ner_entities`` computed in-row (the reply depends only on the
+    request), so no join and no shuffle of request texts."""
+    from pyspark.sql import functions as F
+    v = _view(reqs, "reqs_all")
+    body = request_ner_sql(v).strip()
+    assert body.startswith("SELECT request_id,")
+    r = spark.sql("SELECT *," + body[len("SELECT request_id,"):])
+    ents = F.when(F.col("person").isNotNull(), F.array(F.struct(F.lit("PERSON").alias("type"),
+                                                                F.col("person").alias("value")))) \
+        .otherwise(F.array().cast("array<struct<type:string,value:string>>"))
+    return r.withColumn("ner_entities", ents).drop("person")
