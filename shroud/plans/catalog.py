@@ -823,3 +823,33 @@ LEFT JOIN t ON t.request_id = rq.request_id"""
 
 
 REGISTRY["c9_detect_report"] = (REGISTRY["c9_detect_report"][0], _c9_sql())
+
+
+def _g13_sql() -> str:
+    rep, er = D.case_ner_sql("cases", "ents")
+    return _RB + f""",
+rep AS ({rep}),
+er AS ({er}),
+ex AS (SELECT case_id, ord, type, value, lower(value) AS norm FROM ents WHERE ner_scope),
+verb AS (SELECT er.case_id, er.model, er.type, er.value, lower(er.value) AS norm
+         FROM er JOIN cases c ON c.case_id = er.case_id
+         JOIN rep r ON r.case_id = er.case_id AND r.model = er.model
+         WHERE r.status <> 'error' AND er.value IS NOT NULL AND length(er.value) > 0
+           AND instr(lower(c.text), lower(er.value)) > 0),
+hits AS (SELECT CASE WHEN r.status <> 'error' AND EXISTS (
+            SELECT 1 FROM verb v WHERE v.case_id = ex.case_id AND v.model = r.model AND v.type = ex.type
+              AND (instr(v.norm, ex.norm) > 0 OR instr(ex.norm, v.norm) > 0)) THEN 1 ELSE 0 END AS hit
+         FROM ex JOIN rep r ON r.case_id = ex.case_id AND r.model = 'ner-large'),
+t AS (SELECT (SELECT sum(CAST(detected AS INTEGER)) FROM sc) AS rf, (SELECT count(*) FROM sc) AS re,
+             (SELECT sum(hit) FROM hits) AS nf, (SELECT count(*) FROM hits) AS ne,
+             (SELECT count(*) FROM ents WHERE NOT ner_scope) AS labels_now)
+SELECT rf AS regex_found, re AS regex_expected, nf AS ner_found, ne AS ner_expected,
+  CASE WHEN re = labels_now THEN rf + nf END AS combined_found,
+  CASE WHEN re = labels_now THEN re + ne END AS combined_expected,
+  CASE WHEN re = labels_now AND re + ne > 0 THEN round(100.0 * (rf + nf) / (re + ne), 1) END AS combined_pct,
+  CASE WHEN re <> labels_now THEN 'regex run scored ' || CAST(re AS VARCHAR) || ' labels but the corpus has '
+       || CAST(labels_now AS VARCHAR) END AS skip_reason
+FROM t"""
+
+
+REGISTRY["g13_combined_recall"] = (REGISTRY["g13_combined_recall"][0], _g13_sql())
