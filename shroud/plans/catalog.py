@@ -853,3 +853,27 @@ FROM t"""
 
 
 REGISTRY["g13_combined_recall"] = (REGISTRY["g13_combined_recall"][0], _g13_sql())
+
+
+# ------------------------------------------------------------------ A11: regex-only baseline
+@register("a11_regex_only_baseline", f"""
+WITH tok AS ({_D4_SQL}),
+ty AS (SELECT doc_id, type, count(*) AS cnt FROM tok GROUP BY doc_id, type),
+firsts AS (SELECT doc_id, type, min(token_ord) AS first_ord FROM tok GROUP BY doc_id, type)
+SELECT ty.doc_id, sum(ty.cnt) AS matches,
+  string_agg(f.type, ',' ORDER BY f.first_ord) AS types,
+  string_agg(ty.type || ':' || CAST(ty.cnt AS VARCHAR), ',' ORDER BY ty.type) AS token_counts
+FROM ty JOIN firsts f ON f.doc_id = ty.doc_id AND f.type = ty.type
+GROUP BY ty.doc_id""")
+def a11_regex_only_baseline(spark, sf):
+    """Per document with findings - C1 match count and types, and D1 token counts
+    per type with no NER input (the free tier's view)."""
+    docs = documents(spark, sf)
+    v = docs.select("doc_id", detect.detect_pii("text").alias("v")).where("v.detected")
+    m = MK.mask_texts(docs, "text", ["doc_id"])
+    counts = (MK.token_type_counts(m, ["doc_id"]).groupBy("doc_id")
+              .agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "type", F.col("tokens").cast("string")))),
+                                ",").alias("token_counts")))
+    return v.join(counts, "doc_id").select(
+        "doc_id", F.col("v.matches").cast("long").alias("matches"),
+        F.array_join(F.array_distinct("v.types"), ",").alias("types"), "token_counts")
