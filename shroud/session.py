@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,35 +47,39 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we create one under the system temp folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    session (tests, ``bench.py``) gets a folder under the system's temp folder; on a
+    cluster that would be a different disk on every machine, so it is an error there.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="shroud-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="shroud-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if getattr(sc, "_shroud_checkpoints", None) != d:
+        sc.setCheckpointDir(d)
+        sc._shroud_checkpoints = d
     return d
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``shroud`` importable on executors (zip once, ``addPyFile``).
-
-    In local mode workers already see the driver's ``sys.path``; on a cluster
-    the package travels with the job instead of being installed per node.
-    """
-    import shutil
-    import sys
+    """Make ``shroud`` importable on executors, wherever the driver was started (zip once, ``addPyFile``)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_shroud_shipped", False):
+    if getattr(sc, "_shroud_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = tempfile.mkdtemp(prefix="shroud-pkg-")
-    archive = shutil.make_archive(os.path.join(base, "shroud"), "zip", root, "shroud")
+    base = os.path.realpath(tempfile.mkdtemp(prefix="shroud-pkg-"))
+    archive = os.path.join(base, "shroud.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "shroud")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
     sc.addPyFile(archive)
     sc._shroud_shipped = True
-    if root not in sys.path:
-        sys.path.insert(0, root)
 
 
 def materialize(df):
