@@ -12,7 +12,7 @@ U = np.uint64
 _P = U(0x9E3779B97F4A7C15)                       # odd: has an inverse modulo 2^64
 _P_INV = U(pow(int(_P), -1, 1 << 64))
 _Q = U(0xC2B2AE3D27D4EB4F)
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 _powers = {"p": np.ones(1, U), "q": np.ones(1, U)}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.llm import bpe, langid, packing, topk, warc
-from shroud.llm.storage import shared_path, stored
+from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,10 +19,15 @@ SQL: dict[str, str] = {}
 
 def register(sql: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql:
             SQL[fn.__name__] = sql
-        return fn
+        return run
     return add
 
 

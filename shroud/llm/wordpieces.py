@@ -139,7 +139,7 @@ class Encoder:
     """
 
     def __init__(self, split: Callable, encode_words: Callable[[list[str]], list], encode_text: Callable[[str], list],
-                 exotic: Callable[[], np.ndarray], specials: dict[str, int], limit: int = 3_000_000):
+                 exotic: Callable[[], np.ndarray], specials: dict[str, int], limit: int = 1_000_000):
         self.split, self.encode_words, self.encode_text = split, encode_words, encode_text
         self.exotic, self.specials, self.limit = exotic(), specials, limit
         self.cut = re.compile("(" + "|".join(map(re.escape, specials)) + ")")
@@ -171,7 +171,7 @@ class Encoder:
             self.lengths.add(lengths)
             self.flat.add(np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum())))
             self.new.update(zip(keys[rest].tolist(), out[rest].tolist(), strict=True))
-            if len(self.new) > 50_000 + len(self.old) // 8:
+            if len(self.new) > 30_000 + len(self.old) // 16:
                 keys = np.concatenate((self.old, np.fromiter(self.new, U, len(self.new))))
                 slots = np.concatenate((self.old_slot, np.fromiter(self.new.values(), np.int64, len(self.new))))
                 order = np.argsort(keys)
