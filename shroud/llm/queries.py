@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, langid, packing, topk, warc
+from shroud.llm import bpe, langid, packing, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -87,3 +87,22 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one, by integer inner product."""
     vectors = topk.scaled(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+     n AS (SELECT doc_id, words, len(words) AS n FROM w),
+     g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s FROM n, unnest(generate_series(1, n - 12)) AS t(i)),
+     l AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+     c AS (SELECT DISTINCT g.doc_id, g.i + k AS i FROM g JOIN l USING (s), unnest(generate_series(0, 12)) AS t(k) WHERE l.first < g.doc_id),
+     x AS (SELECT n.doc_id, t.i, n.words[t.i] AS word FROM n, unnest(generate_series(1, n)) AS t(i)),
+     k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_words, CAST(n.n - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)"""
+
+
+@register(OP6_SQL)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat 13 or more words of an earlier one are removed."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
