@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, langid, packing, substring, topk, warc
+from shroud.llm import bpe, langid, packing, partenum, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -106,3 +106,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat 13 or more words of an earlier one are removed."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register()
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by sharing at least 80 percent of their five-word shingles, as components."""
+    return partenum.similar_components(table(spark, sf_dir, "documents", "doc_id", "text"))
