@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, langid, packing, partenum, substring, topk, warc
+from shroud.llm import bpe, fingerprint, langid, packing, partenum, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -112,3 +112,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by sharing at least 80 percent of their five-word shingles, as components."""
     return partenum.similar_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register()
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-sensitive fingerprints of every text, its edit, and how near they are."""
+    out = fingerprint.with_edit(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
