@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, fingerprint, langid, packing, partenum, substring, topk, warc
+from shroud.llm import bpe, fingerprint, kneser, langid, packing, partenum, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -119,3 +119,9 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-sensitive fingerprints of every text, its edit, and how near they are."""
     out = fingerprint.with_edit(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@register()
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and whether it is kept."""
+    return kneser.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
