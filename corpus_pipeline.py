@@ -1,7 +1,10 @@
 """Corpus cleaning and packing: language ID, quality, near copies, repeated passages, sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
-Parquet to the cluster's shared folder and rereads it as the next stage's input.
+Parquet to the cluster's shared folder and rereads it as the next stage's input. All
+stages but the last return the columns of the documents they were given. Documents
+that a filtering stage says nothing against stay. Columns other than doc_id, text,
+lang and n_chars may have any name: operators don't see them.
 """
 
 from __future__ import annotations
@@ -10,26 +13,60 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shroud.llm import langid, packing
-from shroud.llm.storage import stored
+from shroud.llm import kneser, langid, packing, partenum, substring
+from shroud.llm.storage import small_batches, stored
 from shroud.sources.tables import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: ``und`` and ambiguous ones go."""
-    model = langid.fit(langid.train_rows(docs))
-    return langid.predict(docs, model).where(f"lang_pred <> '{langid.UNDETERMINED}' AND NOT ambiguous").select(*docs.columns)
+    """Documents whose language can be told: those without a letter and ambiguous ones go."""
+    small_batches(spark)
+    model = langid.fit(langid.train_rows(docs.select("doc_id", "text", "lang")))
+    row = docs.select("text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    kept = langid.predict(row, model).where(f"lang_pred <> '{langid.UNDETERMINED}' AND NOT ambiguous")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's limit (rows without a doc_id stay)."""
+    small_batches(spark)
+    judged = kneser.judge(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return docs.join(judged.where("NOT keep").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingle sets the one with the smallest doc_id, once."""
+    small_batches(spark)
+    groups = partenum.similar_components(docs.select("doc_id", "text"))
+    dropped = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; untouched texts stay as they are, emptied ones go."""
+    small_batches(spark)
+    out = substring.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    new = {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    out = out.where("n_removed = 0 OR n_removed < n_words")
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in a sequence."""
+    small_batches(spark)
     return packing.pack(stored(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language", language), ("pack", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language), ("quality", quality), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("pack", pack),
+]
 
-#: SQL cannot express the language model's scores.
+#: SQL cannot express the language model's and the quality model's scores.
 ORACLE_SQL = None
 
 

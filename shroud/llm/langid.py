@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shroud.llm.kernel import U, chunks, mix
 from shroud.llm.wordpieces import LETTER, classes, code_points
@@ -163,5 +164,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             scores, flags = np.concatenate([*scores, np.zeros(0)]), np.concatenate([*flags, np.zeros(0, bool)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(flags)], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    return docs.mapInArrow(run, out)

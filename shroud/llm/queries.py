@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, fingerprint, kneser, langid, packing, partenum, substring, topk, warc
+from shroud.llm import bpe, fingerprint, kneser, langid, license, packing, partenum, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -125,3 +125,9 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of the trusted ones, and whether it is kept."""
     return kneser.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+@register()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document, by alignment with the known templates."""
+    return license.scan(table(spark, sf_dir, "documents", "doc_id", "text"))

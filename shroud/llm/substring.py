@@ -100,13 +100,15 @@ def _smallest(one, two, doc):
 
 
 def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (words joined by one space), removed spans.
+    """One row per document: doc_id, text, n_words, n_removed, kept (words joined by one space), removed, row.
 
-    ``removed`` lists the maximal runs of removed words as (first, words).
+    ``removed`` lists the maximal runs of removed words as (first, words); ``row`` holds
+    the other columns of ``docs``, if there are any.
     """
     if 2 * anchor - 1 > window:
         raise ValueError("a window must hold a whole reference block wherever it lies")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")] if others else []))
     blocks, shards = X.sizes(docs)
     placed = X.deal(docs, blocks)
 
@@ -155,9 +157,16 @@ def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW)
 
     def cut(table, answers):
         docs = X.dealt(table)
-        return _removed(docs, answers, window) if docs else pa.table(_empty())
-
-    out = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:int,words:int>>"
+        if docs is None:                                     # answers only go to blocks with documents
+            raise ValueError("a block lost its documents")
+        found = _removed(docs, answers, window)
+        for c in docs.column_names[1:]:
+            found = found.append_column(c, docs.column(c))
+        return found.select(names)
+
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
+    names = ["doc_id", *docs.columns[1:], "n_words", "n_removed", "kept", "removed"]
+    out = f"doc_id long, {rest}, n_words long, n_removed long, kept string, removed array<struct<first:int,words:int>>"
     return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(cut, out)
 
 
@@ -177,10 +186,6 @@ def _unplanes(data: bytes) -> np.ndarray:
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
 
 
-def _empty():
-    return {"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "removed": pa.array([], SPANS)}
-
-
 def _removed(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     owner = X.ids(docs.column("doc_id"))
     parts = list(_texts(docs))
