@@ -3,16 +3,23 @@
 Sets are grouped into bands of near-equal size. With a Jaccard similarity of 0.8 or
 more, two sets of a band differ in at most ``k`` features. The feature domain is split
 into ``n1`` parts, each into three cells; some part holds at most one difference, so
-the features of two of its three cells are equal in both sets: those subsets, hashed,
+the features of three of its four cells are equal in both sets: those subsets, hashed,
 are the signatures. Subsets without features say nothing and are left out; ``n1`` is
 raised so that a similar pair also agrees on a subset with features, unless both sets
-have unusually many empty ones, and such sets send the empty ones too. No link is lost.
+have unusually many empty ones, and such sets send the empty ones too. No link is lost:
+``n1 - k // 2`` parts at least hold one difference or none, whatever the pair. For the
+same reason a set that shares signatures in fewer parts than that (less its parts with
+empty subsets) has no similar set, and its signatures are dropped.
 
 Equal sets are one node from the start. Signatures that only one block of documents
 has are dropped by a compact key exchange (see ``exchange``). Candidates of a signature
 are compared with one of them first (a star, not all pairs); what links is joined to
-components; pairs that share a signature and still are in different components are
-compared exhaustively at the end. Every comparison is exact on 64-bit shingle hashes.
+components. Pairs that share a signature and still are in different components are
+compared at the end; where a signature has many such sets (a subset that is only a
+common passage), they must also share one of a second, independent enumeration.
+A pair's parity bitmaps (a bit or two per feature) give a lower bound of its
+difference, so whole sets travel only for pairs that may be similar. Every comparison
+is exact on 64-bit shingle hashes.
 
 Defined results: null text, or text without words, is an empty set, linked with
 nothing; fewer words than a shingle are one shingle; rows that share a doc_id count
@@ -37,8 +44,10 @@ from shroud.llm.storage import stored
 
 SHINGLE = 5
 PERCENT = 80
-BAND = 1.5
-CELLS = 3
+BAND = 1.25
+CELLS = 4
+SPARE = 0.25        # further parts beyond those that the differences need
+CROWD = 4096          # a signature with more sets in different components is split by the second enumeration
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE):
@@ -47,16 +56,13 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE):
         words = Words(texts[i:j], LOWER_VALUES)
         h, at = words.windows(size)
         n = np.diff(words.first)
-        order = np.lexsort((h, words.doc[at]))
-        h, doc = h[order], words.doc[at][order]
-        keep = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-        h, doc = h[keep], doc[keep]
-        cuts = np.searchsorted(doc, np.arange(j - i + 1))
+        cuts = np.searchsorted(words.doc[at], np.arange(j - i + 1))
         for d in range(j - i):
             if 0 < n[d] < size:                              # the whole sequence as one shingle
                 yield window_hashes(words.hashes[words.first[d]:words.first[d + 1]], int(n[d]))
             else:
-                yield h[cuts[d]:cuts[d + 1]]
+                mine = np.sort(h[cuts[d]:cuts[d + 1]])
+                yield mine[np.append(True, mine[1:] != mine[:-1])] if len(mine) else mine
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -80,22 +86,26 @@ def parts(high: int) -> tuple[int, int]:
     """(k, n1) for the band whose largest size is ``high``."""
     k = 2 * high * (100 - PERCENT) // (100 + PERCENT)
     need = k // 2 + 1
-    return k, need + (0 if k < 8 else math.ceil(0.12 * need) + 1)
+    return k, need + (0 if k < 8 else math.ceil(SPARE * need) + 1)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set, for its own band and, where a larger partner may be in it, the next."""
+def signatures(s: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """All signatures of a set, for its own band and, where a larger partner may be in it, the next.
+
+    Also the part of each (band in the upper bits) and, by band, in how many parts a
+    similar set shares a signature at least. ``turn`` picks an independent enumeration.
+    """
     n = len(s)
     low, high = bands(1 << max(8, (2 * n).bit_length()))
     own = int(np.searchsorted(high, n))
-    out = []
+    out, where, least = [], [], {}
     for band in (own, own + 1):
         if band > own and n * 100 // PERCENT < low[band]:
             continue
         k, n1 = parts(int(high[band]))
         if not k:
             continue                                         # only equal sets are similar enough
-        seed = mix(np.array([band + 1], U))
+        seed = mix(np.array([band + 1 + (turn << 32)], U))
         v = mix(s ^ seed)
         cell = (((v >> U(32)) * U(n1 * CELLS)) >> U(32)).astype(np.int64)
         size = n1 * CELLS
@@ -107,10 +117,30 @@ def signatures(s: np.ndarray) -> np.ndarray:
         filled = (count.sum(1)[:, None] - count) > 0
         place = mix(np.arange(size, dtype=U) + seed[0]).reshape(n1, CELLS)
         sig = mix(subset + place)
-        spare = n1 - k // 2 - 1                              # parts that may have an empty subset
-        weak = int((~filled.all(1)).sum())
-        out.append(sig.ravel() if weak > spare else sig[filled])
-    return np.concatenate(out) if out else np.zeros(0, U)
+        part = np.broadcast_to((np.arange(n1) + (band << 32))[:, None], (n1, CELLS))
+        least[band] = n1 - k // 2 - int((~filled.all(1)).sum())
+        if least[band] < 1:                                  # too many empty subsets: they are sent as well
+            filled[:], least[band] = True, 1
+        out.append(sig[filled])
+        where.append(part[filled])
+    return (np.concatenate(out), np.concatenate(where), least) if out else (np.zeros(0, U), np.zeros(0, np.int64), {})
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of a power of two of bits, one per feature at least: whether a cell has an odd number of features."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((mix(s ^ U(0xBEEF)) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the number of features that only one of two sets has; the longer bitmap is folded."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        else:
+            y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -143,11 +173,11 @@ def _members(docs: pa.Table | None, info: pa.Table, size: int):
             yield doc_id, s
 
 
-CANDIDATES = "node long, n int, shingles binary, sigs array<long>"
+CANDIDATES = "node long, n int, parity binary, shingles binary, sigs array<long>"
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Sets that share a signature with another set: node, n, shingles, shared signatures.
+    """Sets that share a signature with another set: node, n, parity, shingles, shared signatures.
 
     ``nodes``: (node, h1), the doc_id that stands for each distinct set, and its hash.
     """
@@ -156,7 +186,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
     info = nodes.select(X.block_of(F.col("node"), blocks).alias("block"), F.lit(0).alias("kind"), "node", "h1", F.lit(None).cast("binary").alias("keys"))
 
     def ask(key, table, info):
-        sigs = [signatures(s) for _, s in _members(X.dealt(table), info, size)]
+        sigs = [signatures(s)[0] for _, s in _members(X.dealt(table), info, size)]
         every = np.concatenate([*sigs, np.zeros(0, U)])
         return X.requests((key[0]).as_py(), X.flagged(every, np.ones(len(every), bool)), shards)
 
@@ -164,10 +194,10 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
     answers = X.shared(asked).select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("h1"), "keys")
 
     def collect(table, info):
-        members = [(node, s, signatures(s)) for node, s in _members(X.dealt(table), info, size)]
+        members = [(node, s, *signatures(s)) for node, s in _members(X.dealt(table), info, size)]
         known = X.answered(info)
-        keys = np.concatenate([*(g for _, _, g in members), np.zeros(0, U)]) >> U(64 - X.KEY_BITS)
-        owner = np.repeat(np.arange(len(members)), [len(g) for _, _, g in members])
+        keys = np.concatenate([*(m[2] for m in members), np.zeros(0, U)]) >> U(64 - X.KEY_BITS)
+        owner = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
         keep = X.among(keys, known)
         if len(keys):
             order = np.lexsort((owner, keys))
@@ -176,77 +206,138 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
             more = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
             keep[order] |= np.repeat(more, np.diff(np.append(first, len(k))))
         rows, low = [], 0
-        for node, s, g in members:
-            mine = g[keep[low:low + len(g)]]
+        for node, s, g, part, least in members:
+            mine = keep[low:low + len(g)]
             low += len(g)
+            for band, n in least.items():
+                here = part >> 32 == band
+                if len(np.unique(part[mine & here])) < n:
+                    mine &= ~here
+            mine = g[mine]
             if len(mine):
-                rows.append((node, len(s), s.tobytes(), mine.astype(np.int64)))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table({"node": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int32()), "shingles": pa.array(cols[2], pa.binary()), "sigs": pa.array(cols[3], pa.list_(pa.int64()))})
+                rows.append((node, len(s), parity(s), s.tobytes(), mine.astype(np.int64)))
+        cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+        return pa.table({"node": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int32()), "parity": pa.array(cols[2], pa.binary()), "shingles": pa.array(cols[3], pa.binary()), "sigs": pa.array(cols[4], pa.list_(pa.int64()))})
 
     both = info.unionByName(answers)
     return placed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(collect, CANDIDATES)
 
 
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Adds the columns of both sets of each pair (a, b), with suffixes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, ...) that sizes and parity bitmaps don't rule out."""
+    kept = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            least = np.array([least_difference(x, y) for x, y in zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), strict=True)], np.int64)
+            # |A and B| = (n + m - d) / 2 at most, |A or B| = (n + m + d) / 2 at least
+            yield batch.select(kept).filter(pa.array(100 * (n + m - least) >= percent * (n + m + least)))
+
+    near = _sides(pairs, sets, "n", "parity").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return near.mapInArrow(run, pairs.schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole sets. Sizes are compared before sets travel."""
-    sizes = sets.select("node", "n")
-    close = (pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-             .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b"))
-    whole = sets.select("node", "shingles")
-    both = close.join(whole.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(whole.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
+    """The pairs (a, b) whose sets are similar enough, by their whole sets."""
 
     def run(batches):
         for batch in batches:
             good = []
-            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
+            for s, t in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
                 common = int(X.among(x, y).sum())
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return _sides(pairs.select("a", "b"), sets, "shingles").mapInArrow(run, "a long, b long")
+
+
+def second_signatures(sets: DataFrame) -> DataFrame:
+    """(node, second): signatures of an independent enumeration."""
+
+    def run(batches):
+        for batch in batches:
+            sigs = [signatures(np.frombuffer(v.as_buffer(), np.uint64), 1)[0] for v in batch.column("shingles")]
+            owner = np.repeat(batch.column("node").to_numpy(), [len(g) for g in sigs])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate([*sigs, np.zeros(0, U)]).view(np.int64))], ["node", "second"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, second long")
 
 
-def linked(found: DataFrame, known: DataFrame, percent: int = PERCENT, stars: int = 4) -> DataFrame:
-    """(node, component) of all candidates, ``known`` links (a, b) included."""
-    spark = found.sparkSession
-    sets = found.select("node", "n", "shingles")
+def linked(found: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the nodes with links, ``known`` links (a, b) included."""
     sigs = stored(found.select("node", F.explode("sigs").alias("sig")), "signatures")
-    nodes = found.select("node").distinct()
 
     def relabel(label: DataFrame, links: DataFrame) -> DataFrame:
-        name = lambda c: label.withColumnsRenamed({"node": c, "component": f"c_{c}"})
+        name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
         edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-        roots = components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        more = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("component"))
-        out = label.unionByName(more).join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        return stored(out, "labels")
-
-    label = relabel(nodes.select("node", F.col("node").alias("component")), known)
-    tested = spark.createDataFrame([], "a long, b long")
-    for turn in range(stars):
-        # Of each signature that still spans components, one candidate is the centre; every other is compared with
-        # the centre that it shares most signatures with.
-        now = sigs.join(label, "node")
+        roots = components(edges)                            # of components that links join, and of nodes without label
+        moved = label.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        return stored(moved.unionByName(roots.join(label, "node", "left_anti").select("node", "component")), "labels")
+
+    def labelled(label: DataFrame) -> DataFrame:
+        """Signatures of which sets are in different components."""
+        now = sigs.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        spans = now.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("sig", "members")
+        return now.join(spans, "sig")
+
+    label = components(known)
+    for turn in range(2):
+        # One set of a signature is the centre; the others are compared with it. First each
+        # only with the centre it shares most signatures with, then with all that are left.
+        live = labelled(label)
         key = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-        centre = (now.groupBy("sig").agg(F.min(F.struct(key.alias("k"), "node", "component")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                  .where("lo <> hi").select("sig", F.col("m.node").alias("b"), F.col("m.component").alias("c")))
-        open_pairs = now.join(centre, "sig").where("component <> c").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")).join(tested, ["a", "b"], "left_anti")
-        best = stored(open_pairs.groupBy("a").agg(F.max_by("b", F.struct("n", F.col("b"))).alias("b")), "pairs")
-        if best.isEmpty():
-            break
-        links = stored(verified(best, sets, percent), "links")
-        tested = stored(tested.unionByName(best).unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "tested")
-        if links.isEmpty():
-            break
-        label = relabel(label, links)
-    now = sigs.join(label, "node")
-    spans = now.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    live = now.join(spans, "sig")
-    rest = (live.select("sig", F.col("node").alias("a"), F.col("component").alias("c_a")).join(live.select("sig", F.col("node").alias("b"), F.col("component").alias("c_b")), "sig")
-            .where("a < b AND c_a <> c_b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    return relabel(label, stored(verified(rest, sets, percent), "links"))
+        centre = live.groupBy("sig").agg(F.min(F.struct(key.alias("k"), "node", "component")).alias("m")).select("sig", F.col("m.node").alias("b"), F.col("m.component").alias("c"))
+        pairs = live.join(centre, "sig").where("component <> c").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
+        near = plausible(pairs, found, percent)
+        if not turn:
+            near = near.groupBy("a").agg(F.max_by("b", F.struct("times", F.col("b"))).alias("b"))
+        label = relabel(label, stored(verified(near, found, percent), "links"))
+    live = stored(labelled(label), "live")
+    few = live.where(F.col("members") <= CROWD).select("sig", F.lit(0).cast("long").alias("second"), "node", "component")
+    many = live.where(F.col("members") > CROWD)
+    crowd = second_signatures(found.join(many.select("node").distinct(), "node", "left_semi"))
+    split = many.join(crowd, "node").select("sig", "second", "node", "component")
+    spans = split.groupBy("sig", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig", "second")
+    rest = within(few.unionByName(split.join(spans, ["sig", "second"])).join(found.select("node", "n", "parity"), "node"), percent).distinct()
+    return relabel(label, stored(verified(rest, found, percent), "links"))
+
+
+def within(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of a signature's sets in different components that sizes and bitmaps don't rule out.
+
+    ``members``: sig, second, node, component, n, parity; a signature has up to ``CROWD``
+    rows, or those that share a second one. Pairs are tested in place, not made as rows.
+    """
+    buckets = members.groupBy("sig", "second").agg(F.collect_list(F.struct("node", "component", "n", "parity")).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for sets in batch.column("m"):
+                sets = sets.values
+                node, component, n = (sets.field(i).to_numpy().astype(np.int64) for i in range(3))
+                maps = [np.frombuffer(v, np.uint64) for v in sets.field(3).to_pylist()]
+                width = min(map(len, maps))
+                bits = np.empty((len(maps), width), U)
+                for i, m in enumerate(maps):
+                    bits[i] = np.bitwise_xor.reduce(m.reshape(-1, width))
+                for i in range(len(maps) - 1):
+                    least = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(1, dtype=np.int64)
+                    total = n[i + 1:] + n[i]
+                    ok = np.flatnonzero((100 * (total - least) >= percent * (total + least)) & (component[i + 1:] != component[i]) & (100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i])))
+                    found += [(min(x, node[i]), max(x, node[i])) for x in node[i + 1 + ok]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in sorted(set(found))], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return buckets.select("m").mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
