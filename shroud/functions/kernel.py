@@ -153,12 +153,3 @@ def mask_text(text: str | None, ner: list[tuple[str, str]] | None = None,
         tok = make(t, value)
         result = result.replace(value, tok)
     return result, tokens
-
-
-def expand_value(value: str, lookup: dict[str, str], depth: int = 8) -> str:
-    """Replace tokens nested inside a map value by their originals (newest first)."""
-    for _ in range(depth):
-        if "[" not in value or not TOKEN_RE.search(value):
-            return value
-        value = TOKEN_RE.sub(lambda m: lookup.get(m.group(0), m.group(0)), value)
-    return value

@@ -13,69 +13,24 @@ from __future__ import annotations
 
 
 # --------------------------------------------------------------------------
-# Pools for synthetic Spanish documents (invented names/places).
+# Pools for synthetic documents. People, firms, courts and hospitals are invented.
 # --------------------------------------------------------------------------
-NAMES_M = [
-    "Antonio", "José", "Manuel", "Francisco", "David", "Juan", "Javier", "Daniel",
-    "José Antonio", "Carlos", "Miguel Ángel", "Rafael", "Pedro", "Ángel", "Alejandro",
-    "Fernando", "Sergio", "Pablo", "Jorge", "Alberto", "Luis", "Álvaro", "Adrián",
-    "Óscar", "Rubén", "Iñigo", "Íñigo", "Jesús", "Ramón", "Ignacio", "Eduardo",
-]
-NAMES_F = [
-    "María", "Carmen", "Josefa", "Isabel", "Ana", "María Carmen", "Laura", "Cristina",
-    "Marta", "María del Carmen", "Elena", "Paula", "Lucía", "Sara", "Sandra", "Raquel",
-    "Rosa María", "María José", "Beatriz", "Silvia", "Nuria", "Patricia", "Mónica",
-    "Rocío", "Yolanda", "Concepción", "María Ángeles", "Inés", "Águeda", "Begoña",
-]
+NAMES_M = ["Leandro", "Octavio", "Fermín", "Gaspar", "Ulises", "Néstor", "Bruno", "Efrén", "Saúl", "Teo", "Marcial", "Íker", "Dámaso"]
+NAMES_F = ["Alba", "Noelia", "Ximena", "Olalla", "Carlota", "Vera", "Martina", "Úrsula", "Jimena", "Nieves", "Candela", "Tamara"]
 SURNAMES = [
-    "García", "González", "Rodríguez", "Fernández", "López", "Martínez", "Sánchez",
-    "Pérez", "Gómez", "Martín", "Jiménez", "Ruiz", "Hernández", "Díaz", "Moreno",
-    "Álvarez", "Muñoz", "Romero", "Alonso", "Gutiérrez", "Navarro", "Torres",
-    "Domínguez", "Vázquez", "Ramos", "Gil", "Ramírez", "Serrano", "Blanco", "Suárez",
-    "Iglesias", "Prieto", "Casas", "León", "Santos", "Cortés", "Iglesia",
-    "de la Fuente", "de la Torre", "del Río", "de la Serna", "de los Santos",
-    "Fernández-Gómez de la Serna", "García-Alonso", "Ruiz-Domínguez",
-]
-STREET_TYPES = ["C/", "Calle", "Avda.", "Avenida", "Plaza", "Pza.", "Paseo", "Ronda", "Travesía"]
-STREETS = [
-    "Mayor", "Alcalá", "Gran Vía", "de la Constitución", "del Sol", "de Andalucía",
-    "Real", "de la Paz", "San Bernardo", "Princesa", "Serrano", "Goya",
-    "de Colón", "de Aragón", "de la Merced", "del Carmen", "de los Reyes Católicos",
-    "Doctor Fleming", "Cardenal Cisneros", "de la Rosa", "del Pilar", "de la Libertad",
-]
-CITIES = [
-    ("Madrid", "28001"), ("Madrid", "28045"), ("Barcelona", "08001"), ("Barcelona", "08025"),
-    ("Valencia", "46001"), ("Sevilla", "41001"), ("Zaragoza", "50001"), ("Málaga", "29001"),
-    ("Bilbao", "48001"), ("Alicante", "03001"), ("Murcia", "30001"), ("Vigo", "36201"),
-    ("Gijón", "33201"), ("A Coruña", "15001"), ("Granada", "18001"), ("León", "24001"),
-]
-HOSPITALS = [
-    "Hospital Universitario La Paz", "Hospital Clínico San Carlos", "Hospital de la Santa Creu i Sant Pau",
-    "Hospital Universitario 12 de Octubre", "Hospital Vall d'Hebron", "Hospital Ramón y Cajal",
-    "Hospital Universitario Virgen del Rocío", "Hospital Regional Universitario de Málaga",
-    "Hospital Universitario Central de Asturias", "Hospital Clínico Universitario de Valencia",
-    "Hospital Universitario Marqués de Valdecilla", "Hospital Son Espases",
-    "Complejo Hospitalario Universitario de A Coruña", "Hospital Universitario Miguel Servet",
-]
-COURTS = [
-    "Juzgado de Primera Instancia nº 3 de Madrid", "Juzgado de lo Social nº 7 de Barcelona",
-    "Juzgado de Instrucción nº 12 de Valencia", "Juzgado de lo Mercantil nº 2 de Sevilla",
-    "Juzgado de lo Contencioso-Administrativo nº 5 de Zaragoza", "Audiencia Provincial de Málaga",
-    "Juzgado de Primera Instancia nº 9 de Bilbao", "Juzgado de lo Penal nº 4 de Alicante",
-    "Tribunal Superior de Justicia de Madrid", "Juzgado de Familia nº 1 de Murcia",
-]
-LAW_FIRMS = [
-    "Bufete Ramírez & Asociados", "Despacho Jurídico Fernández-Blanco",
-    "Gómez Abogados S.L.P.", "Martínez de la Torre Abogados", "Cuatrecasas",
-    "Uría Menéndez", "Garrigues", "Pérez-Llorca", "Bufete López Serrano",
-    "Estudio Jurídico del Río y Asociados",
-]
-INSURERS = [
-    "Sanitas", "Adeslas", "DKV Seguros", "Asisa", "Mapfre", "Mutua Madrileña",
-    "Fremap", "Asepeyo", "Cigna", "Caser Seguros", "Axa Seguros", "Generali",
+    "Arribas", "Bermejo", "Calleja", "Dorado", "Escudero", "Frías", "Galindo", "Hinojosa", "Ibarra", "Jurado", "Lozano", "Mellado",
+    "Nogales", "Olmedo", "Peñalver", "Quintana", "Rebollo", "Solís", "Tejada", "Urrutia", "Valverde", "Yáñez", "Zamorano",
+    "del Olmo", "de la Vega", "Arribas-Solís",
 ]
-BAR_COLLEGES = ["ICAM", "ICAB", "ICAV", "ICAS", "ICAZ", "ICAMalaga"]
-FLOOR_DOORS = ["A", "B", "C", "Izda", "Dcha"]
+STREET_TYPES = ["Calle", "C/", "Camino", "Avenida", "Plaza", "Rambla"]
+STREETS = ["del Molino", "de los Tilos", "Fuente Nueva", "del Horno", "de las Eras", "Puerta Verde", "de la Acequia", "Cuesta Alta", "del Trigo", "Lavaderos"]
+CITIES = [("Villanueva", "45810"), ("Torrealba", "50369"), ("Montesol", "21440"), ("Riofrío", "40424"), ("Peñaclara", "39550"), ("Valdeoliva", "23640"), ("Puertomar", "12594")]
+HOSPITALS = ["Hospital Monte Claro", "Clínica Los Almendros", "Hospital Ribera Alta", "Centro Médico Torrealba", "Hospital Comarcal del Valle", "Clínica Santa Lía"]
+COURTS = ["Juzgado Civil nº 21 de Torrealba", "Juzgado Social nº 14 de Montesol", "Audiencia de Valdeoliva", "Juzgado Mercantil nº 8 de Puertomar", "Juzgado Penal nº 17 de Riofrío"]
+LAW_FIRMS = ["Olmedo y Frías Letrados", "Gabinete Cuesta Alta", "Nogales Jurídico", "Estudio Legal Puertomar", "Tejada Consultores", "Asesores del Valle S.L."]
+INSURERS = ["Seguros Atalaya", "Mutua del Sur", "Previsora Encina", "Salud Norte", "Aseguradora Faro"]
+BAR_COLLEGES = ["ICAM", "ICAB", "ICAV"]   # colleges that the LAWYER_ID detector knows
+FLOOR_DOORS = ["1", "2", "Centro", "Ático"]
 LANDLINE_PREFIXES = ["91", "93", "96", "95", "94"]
 # Check-letter tables of Spanish identifiers.
 CONTROL_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"

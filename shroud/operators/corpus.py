@@ -50,10 +50,9 @@ class Template:
     frags: list[Frag]
 
 
-_DIAG = ["dolor torácico con irradiación al brazo izquierdo", "fractura de cadera tras una caída",
-         "crisis hipertensiva con cefalea", "apendicitis aguda", "neumonía comunitaria",
-         "fibrilación auricular paroxística"]
-_MONTHS = ["enero", "marzo", "junio", "septiembre", "noviembre"]
+_REASONS = ["mareo al levantarse", "tos seca de tres semanas", "esguince de tobillo", "migraña con aura",
+            "erupción en ambos antebrazos", "control de tiroides"]
+_SEASONS = ["primavera", "verano", "otoño", "invierno"]
 
 
 def templates(ns, only: int | None = None) -> list[Template]:
@@ -80,99 +79,78 @@ def templates(ns, only: int | None = None) -> list[Template]:
     legal_or_health = ns.when(k % 2 == 0, ns.lit("legal"), ns.lit("sanidad"))
     thunks = [
         lambda: Template(0, ns.lit("sanidad"), "informe-alta", "synthetic", None, None, [
-            t(f"INFORME DE ALTA HOSPITALARIA{nl}{nl}Paciente: "), e("PERSON", G.full_name(ns, k, 1), True),
-            t(", edad "), tv(num(5, 18, 92)), t(f" años{nl}Historia clínica: "), e("NHC", G.nhc(ns, k, 6)),
-            t(f"{nl}DNI: "), e("DNI", G.nif(ns, k, 8)), t(f"{nl}Afiliación a la Seguridad Social: "),
-            e("SSN_ES", G.ssn_es(ns, k, 9)), t(f"{nl}Domicilio: "), e("ADDRESS", G.address(ns, k, 12), True),
-            t(", "), tv(cp0), t(" "), tv(city0), t(f"{nl}Teléfono: "), e("PHONE", G.phone(ns, k, 20)),
-            t(f"{nl}Aseguradora: "), e("ORG", pk(24, P.INSURERS), True), t(f"{nl}{nl}Centro: "),
-            e("ORG", pk(25, P.HOSPITALS), True), t(f"{nl}Facultativo responsable: Dr./Dra. "),
-            e("PERSON", G.full_name(ns, k, 26), True), t(f"{nl}{nl}Motivo del ingreso: "), tv(pk(30, _DIAG)),
-            t(f".{nl}Evolución sin complicaciones; alta con seguimiento en consultas externas.{nl}"),
+            t(f"Resumen de estancia{nl}Centro: "), e("ORG", pk(25, P.HOSPITALS), True), t(" · Firma: "),
+            e("PERSON", G.full_name(ns, k, 26), True), t(f"{nl}Persona atendida: "), e("PERSON", G.full_name(ns, k, 1), True),
+            t(" ("), tv(num(5, 18, 92)), t(f" años){nl}Contacto: "), e("PHONE", G.phone(ns, k, 20)), t(" | Vive en "),
+            e("ADDRESS", G.address(ns, k, 12), True), t(", "), tv(cp0), t(" "), tv(city0), t(f"{nl}Números de registro: hospital "),
+            e("NHC", G.nhc(ns, k, 6)), t("; identidad "), e("DNI", G.nif(ns, k, 8)), t("; afiliación "), e("SSN_ES", G.ssn_es(ns, k, 9)),
+            t("; póliza de "), e("ORG", pk(24, P.INSURERS), True), t(f"{nl}Acudió por "), tv(pk(30, _REASONS)),
+            t(f" y se marchó caminando.{nl}"),
         ]),
         lambda: Template(1, ns.lit("sanidad"), "nota-urgencias", "synthetic", None, None, [
-            t("NOTA DE URGENCIAS ("), tv(num(1, 0, 23)), t(":"), tv(P.pad(ns, rint(ns, k, 2, 0, 59), 2)),
-            t(f"h){nl}{nl}Paciente: "), e("PERSON", G.full_name(ns, k, 3), True), t(". "),
-            tv(ns.when(rbool(ns, k, 7), ns.lit("NIE"), ns.lit("DNI"))), t(": "),
-            e("DNI", ns.when(rbool(ns, k, 7), G.nie(ns, k, 8), G.nif(ns, k, 10))),
-            t(". NHC: "), e("NHC", G.nhc(ns, k, 11)), t(f".{nl}Teléfono de un familiar: "),
-            e("PHONE", G.phone(ns, k, 13)),
-            t(f".{nl}{nl}Triaje de nivel 2 con constantes estables. Se piden analítica y ecografía.{nl}"
-              "Atiende: Dr./Dra. "), e("PERSON", G.full_name(ns, k, 17), True), t(", Urgencias, "),
-            e("ORG", pk(21, P.HOSPITALS), True), t(f".{nl}"),
+            t("Entrada "), tv(num(1, 0, 23)), t("."), tv(P.pad(ns, rint(ns, k, 2, 0, 59), 2)), t(" en "),
+            e("ORG", pk(21, P.HOSPITALS), True), t(f"{nl}Recibe "), e("PERSON", G.full_name(ns, k, 17), True),
+            t(f"{nl}Ingresa "), e("PERSON", G.full_name(ns, k, 3), True), t(", documento "),
+            e("DNI", ns.when(rbool(ns, k, 7), G.nie(ns, k, 8), G.nif(ns, k, 10))), t(" y expediente "), e("NHC", G.nhc(ns, k, 11)),
+            t(f"{nl}Se ha avisado a su casa en el "), e("PHONE", G.phone(ns, k, 13)), t(f".{nl}Color de pulsera: verde.{nl}"),
         ]),
         lambda: Template(2, ns.lit("sanidad"), "interconsulta", "synthetic", None, None, [
-            t(f"SOLICITUD DE INTERCONSULTA{nl}{nl}Paciente: "), e("PERSON", G.full_name(ns, k, 1), True),
-            t(". NHC: "), e("NHC", G.nhc(ns, k, 5)), t(f".{nl}Centro: "), e("ORG", pk(7, P.HOSPITALS), True),
-            t(f".{nl}Tarjeta sanitaria: "), e("CARD_HEALTH", G.health_card(ns, k, 8)),
-            t(f".{nl}{nl}Solicita: "), e("PERSON", G.full_name(ns, k, 12), True),
-            t(f".{nl}Motivo: soplo sistólico en una exploración rutinaria; se pide ecocardiograma.{nl}Recibe: "),
-            e("PERSON", G.full_name(ns, k, 16), True), t(f", Cardiología.{nl}"),
+            t("Para "), e("PERSON", G.full_name(ns, k, 16), True), t(": ¿podrías ver a "), e("PERSON", G.full_name(ns, k, 1), True),
+            t("? Tarjeta "), e("CARD_HEALTH", G.health_card(ns, k, 8)), t(", carpeta "), e("NHC", G.nhc(ns, k, 5)),
+            t(f".{nl}Lo pide "), e("PERSON", G.full_name(ns, k, 12), True), t(" desde "), e("ORG", pk(7, P.HOSPITALS), True),
+            t(f"; no corre prisa, basta antes del mes que viene.{nl}"),
         ]),
         lambda: Template(3, ns.lit("legal"), "demanda", "synthetic", None, None, [
-            t(f"DEMANDA DE RECLAMACIÓN DE CANTIDAD{nl}{nl}AL "), e("ORG", pk(1, P.COURTS), True),
-            t(f"{nl}{nl}"), e("PERSON", G.full_name(ns, k, 2), True), t(", letrado/a con "),
-            e("LAWYER_ID", G.bar_number(ns, k, 6)), t(", del despacho "), e("ORG", pk(8, P.LAW_FIRMS), True),
-            t(", en representación de "), e("PERSON", G.full_name(ns, k, 9), True), t(", con DNI "),
-            e("DNI", G.nif(ns, k, 13)), t(", domiciliado/a en "), e("ADDRESS", G.address(ns, k, 14), True),
-            t(", "), tv(cp0), t(" "), tv(city0), t(", interpone demanda contra "),
-            e("PERSON", G.full_name(ns, k, 20), True), t(" por "), tv(num(24, 1000, 95000)),
-            t(f" €.{nl}{nl}El contrato se firmó el "), tv(num(25, 1, 28)), t("/"),
-            tv(num(26, 1, 12)), t("/"), tv(num(27, 2022, 2025)),
-            t(f" y sigue impagado.{nl}{nl}NIG: "), e("NIG", G.nig(ns, k, 28)), t(nl),
+            t("Asunto "), e("NIG", G.nig(ns, k, 28)), t(" ante "), e("ORG", pk(1, P.COURTS), True), t(f"{nl}Pide: "),
+            e("PERSON", G.full_name(ns, k, 9), True), t(" (identidad "), e("DNI", G.nif(ns, k, 13)), t(", casa en "),
+            e("ADDRESS", G.address(ns, k, 14), True), t(", "), tv(cp0), t(" "), tv(city0), t(f").{nl}Frente a: "),
+            e("PERSON", G.full_name(ns, k, 20), True), t(f".{nl}Escribe por quien pide: "), e("PERSON", G.full_name(ns, k, 2), True),
+            t(", "), e("LAWYER_ID", G.bar_number(ns, k, 6)), t(", "), e("ORG", pk(8, P.LAW_FIRMS), True), t(f"{nl}Deuda de "),
+            tv(num(24, 1000, 95000)), t(" euros desde el año "), tv(num(27, 2022, 2025)), t(f", sin respuesta a dos cartas.{nl}"),
         ]),
         lambda: Template(4, ns.lit("legal"), "contrato", "synthetic", None, None, [
-            t(f"CONTRATO DE SERVICIOS{nl}{nl}En "), tv(city0), t(", a "), tv(num(1, 1, 28)),
-            t(" de "), tv(pk(2, _MONTHS)), t(" de "), tv(num(3, 2023, 2026)),
-            t(f".{nl}{nl}De una parte, "), e("PERSON", G.full_name(ns, k, 4), True), t(", con DNI "),
-            e("DNI", G.nif(ns, k, 8)), t(" y domicilio en "), e("ADDRESS", G.address(ns, k, 9), True), t(", "),
-            tv(cp0), t(" "), tv(city0), t(f".{nl}De otra parte, "), e("ORG", pk(16, P.LAW_FIRMS), True),
-            t(", con CIF "), e("CIF", G.cif(ns, k, 17)), t(", representada por "),
-            e("PERSON", G.full_name(ns, k, 19), True), t(f".{nl}{nl}Importe: "), tv(num(23, 500, 50000)),
-            t(" €, por transferencia a la cuenta "), e("IBAN", G.iban(ns, k, 24)),
-            t(f".{nl}Duración: doce meses prorrogables.{nl}"),
+            t("Acuerdo del "), tv(pk(2, _SEASONS)), t(" de "), tv(num(3, 2023, 2026)), t(f"{nl}1. Quien presta: "),
+            e("ORG", pk(16, P.LAW_FIRMS), True), t(", fiscal "), e("CIF", G.cif(ns, k, 17)), t(", en su nombre "),
+            e("PERSON", G.full_name(ns, k, 19), True), t(f"{nl}2. Quien encarga: "), e("PERSON", G.full_name(ns, k, 4), True),
+            t(", identidad "), e("DNI", G.nif(ns, k, 8)), t(", "), e("ADDRESS", G.address(ns, k, 9), True), t(", "),
+            tv(cp0), t(" "), tv(city0), t(f"{nl}3. Se abonan "), tv(num(23, 500, 50000)), t(" euros en "),
+            e("IBAN", G.iban(ns, k, 24)), t(f" al terminar la tarea.{nl}"),
         ]),
         lambda: Template(5, ns.lit("legal"), "consulta", "synthetic", None, None, [
-            t(f"CONSULTA JURÍDICA CONFIDENCIAL{nl}{nl}Cliente: "), e("PERSON", G.full_name(ns, k, 1), True),
-            t(". DNI: "), e("DNI", G.nif(ns, k, 5)), t(". Teléfono: "), e("PHONE", G.phone(ns, k, 6)),
-            t(f".{nl}Letrado: "), e("PERSON", G.full_name(ns, k, 10), True), t(", "),
-            e("LAWYER_ID", G.bar_number(ns, k, 14)), t(", "), e("ORG", pk(16, P.LAW_FIRMS), True),
-            t(f".{nl}{nl}Asunto: posible reclamación por incumplimiento de un contrato de suministro.{nl}"),
+            t("Llamada atendida por "), e("PERSON", G.full_name(ns, k, 10), True), t(", "), e("LAWYER_ID", G.bar_number(ns, k, 14)),
+            t(", de "), e("ORG", pk(16, P.LAW_FIRMS), True), t(f"{nl}Pregunta "), e("PERSON", G.full_name(ns, k, 1), True),
+            t(", identidad "), e("DNI", G.nif(ns, k, 5)), t(", devolver la llamada al "), e("PHONE", G.phone(ns, k, 6)),
+            t(f".{nl}Quiere saber si puede cambiar la fecha de una entrega.{nl}"),
         ]),
         lambda: Template(6, ns.lit("legal"), "disciplinario", "synthetic", None, None, [
-            t(f"EXPEDIENTE DISCIPLINARIO{nl}{nl}Referencia: "), e("CASE_ID", G.case_ref(ns, k, 1)),
-            t(f"{nl}{nl}Trabajador/a: "), e("PERSON", G.full_name(ns, k, 3), True), t(". DNI: "),
-            e("DNI", G.nif(ns, k, 7)), t(f".{nl}Empresa: "), e("ORG", pk(8, P.LAW_FIRMS), True),
-            t(f".{nl}Recursos humanos: "), e("PERSON", G.full_name(ns, k, 9), True),
-            t(f".{nl}Cuenta de nómina: "), e("IBAN", G.iban(ns, k, 13)),
-            t(f".{nl}{nl}Hechos: retrasos reiterados en "), tv(num(19, 2, 6)),
-            t(f" ocasiones durante el trimestre.{nl}"),
+            t("Hoja de incidencias "), e("CASE_ID", G.case_ref(ns, k, 1)), t(" de "), e("ORG", pk(8, P.LAW_FIRMS), True),
+            t(f"{nl}Sobre: "), e("PERSON", G.full_name(ns, k, 3), True), t(", identidad "), e("DNI", G.nif(ns, k, 7)),
+            t(", paga en "), e("IBAN", G.iban(ns, k, 13)), t(f"{nl}Anota: "), e("PERSON", G.full_name(ns, k, 9), True),
+            t(f"{nl}Faltó "), tv(num(19, 2, 6)), t(f" mañanas sin avisar.{nl}"),
         ]),
         # ---- adversarial (B21-B23): mutated identifiers, noisy layout, negatives
         lambda: Template(7, legal_or_health, "mutated", "adversarial", "malformed-format",
-                 "identifiers as people mistype or reformat them", [
-            t("Datos enviados por fax: DNI "), e("DNI", G.dotted_nif(ns, G.nif(ns, k, 1)), expected=True),
-            t(", NIE "), e("DNI_MALFORMED_DBLSPACE", G.spaced_nie(ns, G.nie(ns, k, 2), double=True), expected=True),
-            t(", móvil "), e("PHONE_MALFORMED", G.short_phone(ns, k, 4, 8), expected=False),
-            t(", fijo "), e("PHONE_MALFORMED", G.short_phone(ns, k, 5, 10), expected=False),
-            t(", otro "), e("PHONE_MALFORMED", G.mixed_sep_phone(ns, k, 6), expected=True),
-            t(", cuenta "), e("IBAN", G.hyphen_iban(ns, G.iban(ns, k, 7)), expected=True),
-            t(", tarjeta "), e("CARD", G.dotted_card(ns, G.health_card(ns, k, 13)), expected=True),
-            t(", NIE con espacios "), e("DNI_MALFORMED", G.spaced_nie(ns, G.nie(ns, k, 17)), expected=False),
-            t(".\n"),
+                 "values typed in a hurry", [
+            t("Copio lo que dejó en el contestador: "), e("PHONE_MALFORMED", G.short_phone(ns, k, 4, 8), expected=False),
+            t(" o quizá "), e("PHONE_MALFORMED", G.mixed_sep_phone(ns, k, 6), expected=True),
+            t(" (el de casa, "), e("PHONE_MALFORMED", G.short_phone(ns, k, 5, 10), expected=False),
+            t("); plástico "), e("CARD", G.dotted_card(ns, G.health_card(ns, k, 13)), expected=True),
+            t("; banco "), e("IBAN", G.hyphen_iban(ns, G.iban(ns, k, 7)), expected=True),
+            t("; papeles "), e("DNI", G.dotted_nif(ns, G.nif(ns, k, 1)), expected=True), t(" / "),
+            e("DNI_MALFORMED", G.spaced_nie(ns, G.nie(ns, k, 17)), expected=False), t(" / "),
+            e("DNI_MALFORMED_DBLSPACE", G.spaced_nie(ns, G.nie(ns, k, 2), double=True), expected=True), t("\n"),
         ]),
         lambda: Template(8, legal_or_health, "csv-row", "adversarial", "noisy-context",
-                 "values inside a CSV row and parentheses", [
-            t("id;nombre;dni;telefono\n"), tv(ns.str(k)), t(";"), e("PERSON", G.full_name(ns, k, 1), True),
-            t(";"), e("DNI", G.nif(ns, k, 5)), t(";"), e("PHONE", G.phone(ns, k, 6)),
-            t("\nFinca (ref. catastral "), e("CATASTRAL_UNCOVERED", G.cadastral(ns, k, 40), expected=True),
-            t(") inscrita a nombre del titular (CIF "), e("CIF", G.cif(ns, k, 10)), t(").\n"),
+                 "table cells and brackets", [
+            t("fila|quien|papel|aviso\n"), tv(ns.str(k)), t("|"), e("PERSON", G.full_name(ns, k, 1), True),
+            t("|"), e("DNI", G.nif(ns, k, 5)), t("|"), e("PHONE", G.phone(ns, k, 6)),
+            t("\n[parcela "), e("CATASTRAL_UNCOVERED", G.cadastral(ns, k, 40), expected=True),
+            t("] [sociedad "), e("CIF", G.cif(ns, k, 10)), t("]\n"),
         ]),
         lambda: Template(9, legal_or_health, "negative", "adversarial", "negative",
-                 "no personal data: amounts, articles, clock times", [
-            t("Presupuesto del ejercicio: partida de "), tv(num(1, 100, 999)),
-            t(".500 €, capítulo III, artículo "), tv(num(2, 1, 99)),
-            t(" del Estatuto. Reunión a las "), tv(num(3, 8, 19)), t(":30 en la sala B.\n"),
+                 "nothing personal: prices, shelves, opening times", [
+            t("El almacén abre a las "), tv(num(3, 8, 19)), t(" y media; la estantería "), tv(num(2, 1, 99)),
+            t(" guarda cajas de "), tv(num(1, 100, 999)), t(" piezas a precio de saldo.\n"),
         ]),
     ]
     return [thunks[only]()] if only is not None else [th() for th in thunks]
@@ -194,20 +172,8 @@ def _frag_sql(f: Frag) -> str:
             f"'ner_scope', {'TRUE' if f.ner else 'FALSE'}, 'expected_match', {exp})")
 
 
-def _generate_kind(base: DataFrame, tp: Template, ns) -> DataFrame:
-    df = base.where(F.col("_kind") == tp.kind_id).selectExpr(K, *ns.base_exprs(K))
-    for level in sorted(ns.lets):
-        df = df.selectExpr("*", *ns.lets[level])
-    cat = f"'{tp.category}'" if tp.category else "CAST(NULL AS STRING)"
-    notes = f"'{tp.notes}'" if tp.notes else "CAST(NULL AS STRING)"
-    return df.selectExpr(
-        K, f"{tp.domain} AS domain", f"'{tp.kind}' AS kind", f"{cat} AS category",
-        f"'{tp.source}' AS source", f"{notes} AS notes",
-        "array(" + ", ".join(_frag_sql(f) for f in tp.frags) + ") AS _frags")
-
-
 _TAIL = [
-    f"concat('case-', lpad(CAST({K} AS STRING), 9, '0')) AS case_id",
+    f"concat('case-', CAST({K} AS STRING)) AS case_id",
     "domain", "kind", "category", "source", "notes",
     "array_join(transform(_frags, f -> f.text), '') AS text",
     # B1: start = running length of the fragments before; entities keep label order
@@ -281,7 +247,7 @@ def oracle_cases_sql(table: str, key_col: str) -> str:
         cat = P.SQL.lit(tp.category) if tp.category else "CAST(NULL AS VARCHAR)"
         notes = P.SQL.lit(tp.notes) if tp.notes else "CAST(NULL AS VARCHAR)"
         parts.append(
-            f"SELECT 'case-' || lpad(CAST({K} AS VARCHAR), 9, '0') AS case_id, {tp.domain} AS domain, "
+            f"SELECT 'case-' || CAST({K} AS VARCHAR) AS case_id, {tp.domain} AS domain, "
             f"'{tp.kind}' AS kind, {cat} AS category, '{tp.source}' AS source, {notes} AS notes, {text} AS text "
             f"FROM (SELECT {K}, {cols} FROM (SELECT CAST({key_col} AS BIGINT) AS {K} FROM {table}) "
             f"WHERE {K} % {N_KINDS} = {tp.kind_id})")
@@ -300,7 +266,7 @@ def oracle_entities_sql(table: str, key_col: str) -> str:
             start = " + ".join(f"length(f{j})" for j in range(i)) if i else "0"
             exp = "CAST(NULL AS BOOLEAN)" if f.expected is None else ("TRUE" if f.expected else "FALSE")
             sel.append(
-                f"SELECT 'case-' || lpad(CAST({K} AS VARCHAR), 9, '0') AS case_id, {ordn} AS ord, '{f.type}' AS type, "
+                f"SELECT 'case-' || CAST({K} AS VARCHAR) AS case_id, {ordn} AS ord, '{f.type}' AS type, "
                 f"f{i} AS value, CAST({start} AS INTEGER) AS start, CAST({start} + length(f{i}) AS INTEGER) AS \"end\", "
                 f"{'TRUE' if f.ner else 'FALSE'} AS ner_scope, {exp} AS expected_match FROM w{tp.kind_id}")
         if sel:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ VERDICT = T.StructType([
 def pii_spans(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Accepted C1 spans, one row per span: ``keys + (rank, type, start, end, value)``.
 
-    Runs as ``mapInPandas`` over the input partitions: no shuffle, text never
+    Runs as ``mapInArrow`` over the input partitions: no shuffle, text never
     leaves its partition, only spans (small) come out.
     """
     keys = list(keys)
@@ -45,24 +46,17 @@ def pii_spans(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc
     out_schema = T.StructType([src.schema[k] for k in keys] + SPAN_FIELDS)
 
     def run(batches):
-        for pdf in batches:
-            cols = {k: [] for k in keys}
-            rank, typ, start, end, value = [], [], [], [], []
-            key_vals = [pdf[k].tolist() for k in keys]
-            for i, text in enumerate(pdf[text_col].tolist()):
-                for r, t, s, e, v in kernel.pii_spans(text):
-                    for k, kv in zip(keys, key_vals):
-                        cols[k].append(kv[i])
-                    rank.append(r); typ.append(t); start.append(s); end.append(e); value.append(v)
-            out = pd.DataFrame(cols)
-            out["rank"] = pd.Series(rank, dtype="int32")
-            out["type"] = typ
-            out["start"] = pd.Series(start, dtype="int32")
-            out["end"] = pd.Series(end, dtype="int32")
-            out["value"] = value
-            yield out
-
-    return src.mapInPandas(run, out_schema)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            spans = [(i, *span) for i, text in enumerate(texts) for span in kernel.pii_spans(text)]
+            # Typed arrays, so that a batch without a finding has the same schema as any other.
+            row, rank, kind, start, end, value = zip(*spans, strict=True) if spans else ((),) * 6
+            held = [batch.column(k).take(pa.array(row, pa.int32())) for k in keys]
+            found = [pa.array(rank, pa.int32()), pa.array(kind, pa.string()), pa.array(start, pa.int32()),
+                     pa.array(end, pa.int32()), pa.array(value, pa.string())]
+            yield pa.RecordBatch.from_arrays(held + found, names=[*keys, "rank", "type", "start", "end", "value"])
+
+    return src.mapInArrow(run, out_schema)
 
 
 @F.pandas_udf(VERDICT)

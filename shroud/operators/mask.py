@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from shroud.functions import kernel
 from shroud.functions.windows import exclusive_running_total, spread
+from shroud.session import materialize
 
 TOKEN = T.StructType([
     T.StructField("ord", T.IntegerType()),     # creation order within the text / conversation
@@ -170,17 +171,22 @@ def restore(responses: DataFrame, tmap: DataFrame, key: str = "conv_id", resp_ke
 
     Only the tokens a response actually contains are looked up: the response's
     tokens are extracted, equi-joined to the token map, gathered per response
-    (bounded by that response's own length) and applied newest-first so a value
-    holding an earlier token (secret inside a DB URI) is fully restored.
+    (bounded by that response's own length) and applied newest-first. A value can
+    hold earlier tokens (a secret inside a DB URI); they are looked up in turn, as
+    deep as they go: a nested token is always older, so this ends.
     """
-    wanted = (responses.select(resp_key, key,
-                               F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(TOKEN_REGEX), 0))).alias("token")))
-    found = wanted.join(tmap.select(key, "token", "token_ord", "value"), [key, "token"])
-    # a value may contain earlier tokens of the same conversation: one more hop per nesting level
-    nested = (found.where(F.col("value").contains("["))
-              .select(resp_key, key, F.explode(F.regexp_extract_all("value", F.lit(TOKEN_REGEX), 0)).alias("token"))
-              .join(tmap.select(key, "token", "token_ord", "value"), [key, "token"]))
-    entries = (found.unionByName(nested).dropDuplicates([resp_key, "token"])
+    tokens = F.regexp_extract_all(text_col, F.lit(TOKEN_REGEX), 0)
+    wanted = responses.select(resp_key, key, F.explode(F.array_distinct(tokens)).alias("token"))
+    lookup = tmap.select(key, "token", "token_ord", "value")
+    found = last = materialize(wanted.join(lookup, [key, "token"]))
+    while True:
+        inner = last.where(F.col("value").rlike(TOKEN_REGEX)).select(
+            resp_key, key, F.explode(F.regexp_extract_all("value", F.lit(TOKEN_REGEX), 0)).alias("token")).distinct()
+        if inner.isEmpty():
+            break
+        last = materialize(inner.join(lookup, [key, "token"]).join(found.select(resp_key, "token"), [resp_key, "token"], "left_anti"))
+        found = found.unionByName(last)
+    entries = (found.dropDuplicates([resp_key, "token"])
                .groupBy(resp_key)
                .agg(F.sort_array(F.collect_list(F.struct("token_ord", "token", "value")), asc=False).alias("_e")))
     out = responses.join(entries, resp_key, "left")

@@ -18,7 +18,7 @@ from shroud.operators import ner as N
 # --------------------------------------------------------------------------
 # The proxy's policy constants.
 # --------------------------------------------------------------------------
-KEY_PREFIX = "pvdg_live_"
+KEY_PREFIX = "key_live_"
 DAILY_LIMITS = {"free": 1000, "pro": 10000, "enterprise": 1000000}          # unknown tier -> free
 EDGE_LIMITS = {"free": 50, "pro": 2000, "enterprise": 50000}                # unknown tier -> 50
 EDGE_FALLBACK_LIMIT = 50

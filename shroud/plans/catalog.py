@@ -114,7 +114,7 @@ RQ_SQL = D.requests_sql("events")
 @register("a3_authorize", f"""
 WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL})
 SELECT rq.request_id, kp.user_id AS user_id, kp.tier AS tier, (kp.api_key IS NOT NULL) AS authorized
-FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')""")
+FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')""")
 def a3_authorize(spark, sf):
     r = PO.authorize(requests(spark, sf), key_policy(spark, sf))
     return r.select("request_id", F.col("kp_user_id").alias("user_id"), F.col("kp_tier").alias("tier"), "authorized")
@@ -132,7 +132,7 @@ def a4_key_info(spark, sf):
 @register("e1_resolve_strategy", f"""
 WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
 j AS (SELECT rq.request_id, rq.body_strategy, coalesce(kp.pii_strategy, 'anonymize') AS mode
-      FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_'))
+      FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_'))
 SELECT request_id, mode AS strategy_mode,
   CASE WHEN mode = 'custom' THEN CASE WHEN body_strategy IN ('edge', 'anonymize') THEN body_strategy ELSE 'anonymize' END
        ELSE mode END AS applied_strategy,
@@ -152,7 +152,7 @@ _LIM = REPLAY_DAILY_LIMITS
 @register("e3_daily_quota", f"""
 WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
 j AS (SELECT rq.request_id, rq.ts, kp.user_id, kp.tier FROM rq
-      JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')),
+      JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS seq,
         CASE tier WHEN 'pro' THEN {_LIM['pro']} WHEN 'enterprise' THEN {_LIM['enterprise']} ELSE {_LIM['free']} END AS lim
       FROM j)
@@ -412,7 +412,7 @@ def h2_conversation_mask_stream(spark, sf):
 @register("h3_rate_limit_stream", f"""
 WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
 j AS (SELECT rq.request_id, rq.ts, kp.user_id, kp.tier FROM rq
-      JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')),
+      JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS seq,
         CASE tier WHEN 'pro' THEN {_LIM['pro']} WHEN 'enterprise' THEN {_LIM['enterprise']} ELSE {_LIM['free']} END AS lim
       FROM j)
@@ -602,7 +602,7 @@ j AS (
          coalesce(pc.regex_matches, 0) AS regex_matches,
          CASE WHEN pc.k IS NULL THEN [] ELSE {type_list} END AS regex_types,
          ({secret_any}) AS has_secret, rn.ner_status, rn.person
-  FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')
+  FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')
   LEFT JOIN pc ON pc.k = rq.request_id LEFT JOIN rn ON rn.request_id = rq.request_id),
 q AS (
   SELECT *, CASE WHEN authorized THEN row_number() OVER (PARTITION BY authorized, kp_user_id, CAST(ts AS DATE)
@@ -818,7 +818,7 @@ t AS (SELECT request_id, string_agg(DISTINCT type, ',' ORDER BY type) AS pii_typ
       FROM vv GROUP BY request_id)
 SELECT rq.request_id, coalesce(t.pii_types, '') AS pii_types, coalesce(t.pii_count, 0) AS pii_count,
        ({secret_any}) AS has_secret, kp.tier IN ('pro', 'enterprise') AS ner_ran
-FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'pvdg_live_')
+FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')
 LEFT JOIN t ON t.request_id = rq.request_id"""
 
 

@@ -31,7 +31,7 @@ def _name(key: str, slot: int) -> str:
 
 KEY_POLICY_SQL = """
 SELECT
-  CASE WHEN c_custkey % 50 = 0 THEN 'pvdg_test_' ELSE 'pvdg_live_' END || lpad(CAST(c_custkey AS STRING), 8, '0') AS api_key,
+  CASE WHEN c_custkey % 50 = 0 THEN 'key_test_' ELSE 'key_live_' END || CAST(c_custkey AS STRING) AS api_key,
   'user-' || CAST(c_custkey AS STRING) AS user_id,
   CASE WHEN c_custkey % 10 < 6 THEN 'free' WHEN c_custkey % 10 < 8 THEN 'pro'
        WHEN c_custkey % 10 = 8 THEN 'enterprise' ELSE 'trial' END AS tier,
@@ -54,7 +54,7 @@ def requests_sql(events: str) -> str:
     return f"""
 SELECT
   event_id AS request_id, ts, user_id AS account,
-  CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'pvdg_live_' || lpad(CAST(user_id AS STRING), 8, '0') END AS api_key,
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'key_live_' || CAST(user_id AS STRING) END AS api_key,
   'Resumen del evento ' || event_type || ' número ' || CAST(event_id AS STRING) || '.'
     || CASE WHEN event_id % 5 = 0 THEN ' Contacto: user' || CAST(user_id AS STRING) || '@mail'
               || CAST(event_id % 9 AS STRING) || '.example.com.' ELSE '' END

@@ -1,0 +1,34 @@
+"""Inputs at the edges: batches without findings, large keys, deep nesting."""
+from pyspark.sql import functions as F
+
+from shroud.operators import corpus, detect, mask
+from shroud.plans import derived
+
+
+def test_clean_documents_and_small_batches(spark):
+    rows = [(i, "nothing to see" if i % 10 else f"write to user{i}@example.com") for i in range(40)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "3")
+        got = detect.pii_type_counts(df).collect()
+        assert [(r.type, r.docs, r.matches) for r in got] == [("EMAIL", 4, 4)]
+        assert detect.pii_type_counts(df.where("doc_id % 10 <> 0 OR text IS NULL")).collect() == []
+        assert {r.conv_id for r in mask.anonymize(df.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text")).collect()} == {r[0] for r in rows}
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_case_ids_and_keys_beyond_nine_digits(spark):
+    keys = spark.createDataFrame([(1234567890 + i,) for i in range(4)], "c_custkey long").withColumn("c_name", F.lit("x"))
+    assert corpus.generate(keys, "c_custkey").select("case_id").distinct().count() == 4
+    assert derived.key_policy(spark, keys).select("api_key").distinct().count() == 4
+
+
+def test_restore_any_depth(spark):
+    tokens = [(1, 1, "[A_1]", "leaf"), (1, 2, "[B_1]", "x [A_1] y"), (1, 3, "[C_1]", "([B_1])"), (1, 4, "[D_1]", "<[C_1]>")]
+    tmap = spark.createDataFrame(tokens, "conv_id long, token_ord int, token string, value string")
+    resp = spark.createDataFrame([(7, 1, "see [D_1]"), (8, 1, "none"), (9, 2, "[D_1]")], "resp_id long, conv_id long, text string")
+    got = {r.resp_id: r.restored for r in mask.restore(resp, tmap).collect()}
+    assert got == {7: "see <(x leaf y)>", 8: "none", 9: "[D_1]"}
