@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shroud.llm import exchange as X
 from shroud.llm.kernel import BYTE_VALUES, U, Words, chunks
@@ -164,9 +165,10 @@ def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW)
             found = found.append_column(c, docs.column(c))
         return found.select(names)
 
-    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
     names = ["doc_id", *docs.columns[1:], "n_words", "n_removed", "kept", "removed"]
-    out = f"doc_id long, {rest}, n_words long, n_removed long, kept string, removed array<struct<first:int,words:int>>"
+    spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))
+    kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.StringType(), "removed": spans}
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *docs.schema.fields[1:], *(T.StructField(n, t) for n, t in kinds.items())])
     return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(cut, out)
 
 
@@ -198,15 +200,22 @@ def _removed(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
         order, first = _groups(one, two)
         least = np.minimum.reduceat(doc[order], first)
         gone[order] = doc[order] > np.repeat(least, np.diff(np.append(first, len(order))))
-        known = [(X.unsqueeze(k.as_py()), np.frombuffer(c.as_py(), np.uint32)) for k, c in zip(answers.column("keys"), answers.column("checks"), strict=True) if k.is_valid]
-        for keys, checks in known:                           # one message from each shard
+        valid = [i for i, k in enumerate(answers.column("keys")) if k.is_valid]
+        if valid:
+            keys = np.concatenate([X.unsqueeze(answers.column("keys")[i].as_py()) for i in valid])
+            checks = np.concatenate([np.frombuffer(answers.column("checks")[i].as_py(), np.uint32) for i in valid])
+            order = np.argsort(keys, kind="stable")
+            keys, checks = keys[order], checks[order]
             at = np.searchsorted(keys, one, "left")
-            for step in range(4):                            # equal first hashes lie together; more than one is all but impossible
-                k = np.minimum(at + step, len(keys) - 1)
-                same = (keys[k] == one)
-                if not same.any():
-                    break
-                gone |= same & (checks[k] == two)
+            rest = np.flatnonzero(X.among(one, keys))
+            step = 0
+            while len(rest):                                 # equal first hashes lie together; more than one is all but impossible
+                k = at[rest] + step
+                rest, k = rest[k < len(keys)], k[k < len(keys)]
+                same = keys[k] == one[rest]
+                rest, k = rest[same], k[same]
+                gone[rest] |= checks[k] == two[rest]
+                step += 1
     n_words, n_removed, kept, spans, low = [], [], [], [], 0
     for (_, words), ((_, at), _, _) in zip(parts, every, strict=True):
         mine = at[gone[low:low + len(at)]]
