@@ -17,7 +17,7 @@ are compared with one of them first (a star, not all pairs); what links is joine
 components. Pairs that share a signature and still are in different components are
 compared at the end; where a signature has many such sets (a subset that is only a
 common passage), they must also share one of a second, independent enumeration.
-A pair's parity bitmaps (a bit or two per feature) give a lower bound of its
+A pair's parity bitmaps (two to four bits per feature) give a lower bound of its
 difference, so whole sets travel only for pairs that may be similar. Every comparison
 is exact on 64-bit shingle hashes.
 
@@ -127,8 +127,8 @@ def signatures(s: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray, di
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Bitmap of a power of two of bits, one per feature at least: whether a cell has an odd number of features."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
+    """Bitmap of a power of two of bits, two per feature at least: whether a cell has an odd number of features."""
+    bits = max(64, 2 << (len(s) - 1).bit_length())
     return np.packbits(np.bincount((mix(s ^ U(0xBEEF)) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -307,17 +307,20 @@ def linked(found: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFr
     crowd = second_signatures(found.join(many.select("node").distinct(), "node", "left_semi"))
     split = many.join(crowd, "node").select("sig", "second", "node", "component")
     spans = split.groupBy("sig", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig", "second")
-    rest = within(few.unionByName(split.join(spans, ["sig", "second"])).join(found.select("node", "n", "parity"), "node"), percent).distinct()
+    rest = within(few.unionByName(split.join(spans, ["sig", "second"])), found, percent).distinct()
     return relabel(label, stored(verified(rest, found, percent), "links"))
 
 
-def within(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+def within(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of a signature's sets in different components that sizes and bitmaps don't rule out.
 
-    ``members``: sig, second, node, component, n, parity; a signature has up to ``CROWD``
-    rows, or those that share a second one. Pairs are tested in place, not made as rows.
+    ``members``: sig, second, node, component; a signature has up to ``CROWD`` rows, or
+    those that share a second one. Signatures with the same sets are tested once, and
+    pairs in place, not as rows.
     """
-    buckets = members.groupBy("sig", "second").agg(F.collect_list(F.struct("node", "component", "n", "parity")).alias("m"))
+    lists = members.groupBy("sig", "second").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m")).select("m").distinct()
+    each = lists.select(F.xxhash64("m").alias("id"), F.explode("m").alias("m")).select("id", "m.node", "m.component").distinct()
+    buckets = each.join(sets.select("node", "n", "parity"), "node").groupBy("id").agg(F.collect_list(F.struct("node", "component", "n", "parity")).alias("m"))
 
     def run(batches):
         for batch in batches:
