@@ -46,7 +46,7 @@ def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     response = F.col("record_type") == "response"
     digest = F.when(response, F.sha1("payload")).otherwise(F.col("digest"))
     return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type",
-                       F.regexp_extract("refers_to", r"^<urn:page:(-?\d+):", 1).cast("long").alias("refers_to"),
+                       F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>", 1).cast("long").alias("refers_to"),
                        (F.col("complete") & (digest == F.col("digest"))).alias("verified"))
 
 

@@ -13,7 +13,7 @@ number and checked against the total length before the chunked framing is decode
 unsegmented records need no shuffle.
 
 Defined results: null html is an empty payload; of equal payloads of ``least_bytes``
-or more the row of the largest page_id (of repeated rows the last read) is the
+or more the row of the largest page_id (repeated rows of it: each) is the
 response; a record that lacks a segment, has a wrong length or broken framing comes
 back with ``complete`` false and no payload; an empty table gives no records.
 """
@@ -31,7 +31,7 @@ EMIT_BYTES = 4 << 20
 
 
 def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Adds row, payload_bytes, payload_digest, and the response's id and row for revisits.
+    """Adds row, payload_bytes, payload_digest, and first: the response's page_id for revisits.
 
     Only payloads that occur twice are looked up, by a join whose other side Spark
     broadcasts if it measures small and else joins by sorting, splitting hot payloads.
@@ -40,9 +40,9 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.monotonically_increasing_id().alias("row"),
                         F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
     groups = (rows.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("_digest"))
-              .agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("k"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+              .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     return (rows.join(groups, F.col("payload_digest") == F.col("_digest"), "left")
-            .withColumn("first", F.when(F.col("first.row") != F.col("row"), F.col("first"))).drop("_digest", "n"))
+            .withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("_digest", "n"))
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -81,8 +81,7 @@ def page_records(page: dict, segment_bytes: int, chunk_bytes: int):
     url = "".join(c for c in page["url"] or "" if c.isprintable() and c != " ") or None
     headers = [("WARC-Record-ID", name), ("WARC-Target-URI", url), ("X-Page-ID", page["page_id"]), ("WARC-Payload-Digest", f"sha1:{page['payload_digest']}")]
     if page["first"] is not None:
-        first = page["first"]
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first['page_id']}:{first['row']}>")]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{page['first']}>")]
         yield _record("revisit", headers, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % page["payload_bytes"])
         return
     body = chunked(page["html"].encode("utf-8", "surrogatepass"), chunk_bytes)
