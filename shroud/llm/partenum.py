@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from shroud.llm import exchange as X
 from shroud.llm.components import components
-from shroud.llm.kernel import LOWER_VALUES, U, Words, chunks, mix, window_hashes
+from shroud.llm.kernel import LOWER_VALUES, U, Words, chunks, mix, ragged, window_hashes
 from shroud.llm.storage import stored
 
 SHINGLE = 5
@@ -65,10 +65,20 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE):
                 yield mine[np.append(True, mine[1:] != mine[:-1])] if len(mine) else mine
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set."""
-    one, two = mix(s ^ U(0x1234567)).sum(dtype=U), mix(s ^ U(0x7654321)).sum(dtype=U)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
+def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All features of the sets, one set after another, and where each set begins (and the end)."""
+    return np.concatenate([*sets, np.zeros(0, U)]), np.cumsum([0, *map(len, sets)])
+
+
+def set_hashes(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """64-bit hash of every set."""
+    flat, at = joined(sets)
+    total = np.zeros(len(flat) + 1, U)
+    np.cumsum(mix(flat ^ U(salt)), out=total[1:])
+    return (total[at[1:]] - total[at[:-1]]).view(np.int64)
+
+
+FIRST, SECOND = 0x1234567, 0x7654321    # salts of a set's two hashes
 
 
 @functools.cache
@@ -89,41 +99,49 @@ def parts(high: int) -> tuple[int, int]:
     return k, need + (0 if k < 8 else math.ceil(SPARE * need) + 1)
 
 
-def signatures(s: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """All signatures of a set, for its own band and, where a larger partner may be in it, the next.
+@functools.cache
+def places(n1: int, seed: int) -> np.ndarray:
+    return mix(np.arange(n1 * CELLS, dtype=U) + U(seed)).reshape(n1, CELLS)
 
-    Also the part of each (band in the upper bits) and, by band, in how many parts a
-    similar set shares a signature at least. ``turn`` picks an independent enumeration.
+
+def signatures(sets: list[np.ndarray], turn: int = 0):
+    """By band the signatures of the sets in it and of those that may have a larger partner in it.
+
+    Yields (members, sig, sent, least): the sets' numbers; an array of sets x parts x
+    subsets; which of them are sent; in how many parts a similar set shares one that
+    is sent at least. ``turn`` picks an independent enumeration.
     """
-    n = len(s)
-    low, high = bands(1 << max(8, (2 * n).bit_length()))
-    own = int(np.searchsorted(high, n))
-    out, where, least = [], [], {}
-    for band in (own, own + 1):
-        if band > own and n * 100 // PERCENT < low[band]:
-            continue
+    flat, at = joined(sets)
+    n = np.diff(at)
+    low, high = bands(1 << max(8, int(2 * n.max(initial=0)).bit_length()))
+    own = np.searchsorted(high, n)
+    upper = n * 100 // PERCENT >= low[own + 1]
+    for band in np.union1d(own, own[upper] + 1).tolist():
         k, n1 = parts(int(high[band]))
         if not k:
             continue                                         # only equal sets are similar enough
+        members = np.flatnonzero((own == band) | ((own + 1 == band) & upper))
         seed = mix(np.array([band + 1 + (turn << 32)], U))
-        v = mix(s ^ seed)
-        cell = (((v >> U(32)) * U(n1 * CELLS)) >> U(32)).astype(np.int64)
+        v = mix(flat[ragged(at[:-1][members], n[members])] ^ seed)
         size = n1 * CELLS
-        count = np.bincount(cell, minlength=size).reshape(n1, CELLS)
+        cell = np.repeat(np.arange(len(members)) * size, n[members]) + (((v >> U(32)) * U(size)) >> U(32)).astype(np.int64)
+        cells, shape = size * len(members), (len(members), n1, CELLS)
+        count = np.bincount(cell, minlength=cells).reshape(shape)
         w = mix(v)
-        half = [np.bincount(cell, x.astype(np.float64), size).astype(U) for x in (w & U(0xFFFFFFFF), w >> U(32))]
-        total = (half[0] + (half[1] << U(32))).reshape(n1, CELLS)
-        subset = total.sum(1, dtype=U)[:, None] - total
-        filled = (count.sum(1)[:, None] - count) > 0
-        place = mix(np.arange(size, dtype=U) + seed[0]).reshape(n1, CELLS)
-        sig = mix(subset + place)
-        part = np.broadcast_to((np.arange(n1) + (band << 32))[:, None], (n1, CELLS))
-        least[band] = n1 - k // 2 - int((~filled.all(1)).sum())
-        if least[band] < 1:                                  # too many empty subsets: they are sent as well
-            filled[:], least[band] = True, 1
-        out.append(sig[filled])
-        where.append(part[filled])
-    return (np.concatenate(out), np.concatenate(where), least) if out else (np.zeros(0, U), np.zeros(0, np.int64), {})
+        half = [np.bincount(cell, x.astype(np.float64), cells).astype(U) for x in (w & U(0xFFFFFFFF), w >> U(32))]
+        total = (half[0] + (half[1] << U(32))).reshape(shape)
+        sig = mix(total.sum(2, dtype=U)[:, :, None] - total + places(n1, int(seed[0])))
+        sent = (count.sum(2)[:, :, None] - count) > 0
+        least = n1 - k // 2 - (~sent.all(2)).sum(1)
+        sent[least < 1] = True                               # too many empty subsets: they are sent as well
+        yield members, sig, sent, np.maximum(least, 1)
+
+
+def _flat(found: list, chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen signatures of all bands and the numbers of their sets."""
+    sigs = [sig[c] for (_, sig, _, _), c in zip(found, chosen, strict=True)]
+    owner = [np.repeat(f[0], c.sum((1, 2))) for f, c in zip(found, chosen, strict=True)]
+    return np.concatenate([*sigs, np.zeros(0, U)]), np.concatenate([*owner, np.zeros(0, np.int64)])
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -149,14 +167,13 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
-            hashes = [set_hash(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_hashes(sets, FIRST)), pa.array(set_hashes(sets, SECOND))], ["doc_id", "n_shingles", "h1", "h2"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def _members(docs: pa.Table | None, info: pa.Table, size: int):
-    """(node, set) of the block's documents that stand for their set, and the sorted answers."""
+    """(node, set) of the block's documents that stand for their set."""
     kinds = info.column("kind").to_pylist()
     wanted = {}
     for kind, node, h1 in zip(kinds, info.column("node").to_pylist(), info.column("h1").to_pylist(), strict=True):
@@ -168,8 +185,9 @@ def _members(docs: pa.Table | None, info: pa.Table, size: int):
     rows = [i for i, d in enumerate(docs.column("doc_id").to_pylist()) if d in names]
     docs = docs.take(pa.array(rows, pa.int64()))
     owner = docs.column("doc_id").to_pylist()
-    for doc_id, s in zip(owner, shingle_sets(docs.column("text").to_pylist(), size), strict=True):
-        if wanted.pop((doc_id, set_hash(s)[0]), False):
+    sets = list(shingle_sets(docs.column("text").to_pylist(), size))
+    for doc_id, s, h in zip(owner, sets, set_hashes(sets, FIRST).tolist(), strict=True):
+        if wanted.pop((doc_id, h), False):
             yield doc_id, s
 
 
@@ -186,38 +204,38 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
     info = nodes.select(X.block_of(F.col("node"), blocks).alias("block"), F.lit(0).alias("kind"), "node", "h1", F.lit(None).cast("binary").alias("keys"))
 
     def ask(key, table, info):
-        sigs = [signatures(s)[0] for _, s in _members(X.dealt(table), info, size)]
-        every = np.concatenate([*sigs, np.zeros(0, U)])
+        found = list(signatures([s for _, s in _members(X.dealt(table), info, size)]))
+        every, _ = _flat(found, [sent for _, _, sent, _ in found])
         return X.requests((key[0]).as_py(), X.flagged(every, np.ones(len(every), bool)), shards)
 
     asked = placed.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(ask, X.REQUESTS)
     answers = X.shared(asked).select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("h1"), "keys")
 
     def collect(table, info):
-        members = [(node, s, *signatures(s)) for node, s in _members(X.dealt(table), info, size)]
-        known = X.answered(info)
-        keys = np.concatenate([*(m[2] for m in members), np.zeros(0, U)]) >> U(64 - X.KEY_BITS)
-        owner = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
-        keep = X.among(keys, known)
+        members = list(_members(X.dealt(table), info, size))
+        found = list(signatures([s for _, s in members]))
+        every, owner = _flat(found, [sent for _, _, sent, _ in found])
+        keys = every >> U(64 - X.KEY_BITS)
+        keep = X.among(keys, X.answered(info))
         if len(keys):
             order = np.lexsort((owner, keys))
             k, o = keys[order], owner[order]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             more = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
             keep[order] |= np.repeat(more, np.diff(np.append(first, len(k))))
-        rows, low = [], 0
-        for node, s, g, part, least in members:
-            mine = keep[low:low + len(g)]
-            low += len(g)
-            for band, n in least.items():
-                here = part >> 32 == band
-                if len(np.unique(part[mine & here])) < n:
-                    mine &= ~here
-            mine = g[mine]
-            if len(mine):
-                rows.append((node, len(s), parity(s), s.tobytes(), mine.astype(np.int64)))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-        return pa.table({"node": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int32()), "parity": pa.array(cols[2], pa.binary()), "shingles": pa.array(cols[3], pa.binary()), "sigs": pa.array(cols[4], pa.list_(pa.int64()))})
+        chosen, low = [], 0
+        for _, _, sent, least in found:
+            mine = np.zeros_like(sent)
+            mine[sent] = keep[low:low + (n := int(sent.sum()))]
+            low += n
+            chosen.append(mine & (mine.any(2).sum(1) >= least)[:, None, None])
+        sigs, owner = _flat(found, chosen)
+        sigs = sigs[np.argsort(owner, kind="stable")].view(np.int64)
+        times = np.bincount(owner, minlength=len(members))
+        rows = [(node, len(s), parity(s), s.tobytes()) for (node, s), t in zip(members, times.tolist(), strict=True) if t]
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *times[times > 0]]), pa.int32()), pa.array(sigs))
+        return pa.table({"node": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int32()), "parity": pa.array(cols[2], pa.binary()), "shingles": pa.array(cols[3], pa.binary()), "sigs": lists})
 
     both = info.unionByName(answers)
     return placed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(collect, CANDIDATES)
@@ -265,9 +283,9 @@ def second_signatures(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sigs = [signatures(np.frombuffer(v.as_buffer(), np.uint64), 1)[0] for v in batch.column("shingles")]
-            owner = np.repeat(batch.column("node").to_numpy(), [len(g) for g in sigs])
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate([*sigs, np.zeros(0, U)]).view(np.int64))], ["node", "second"])
+            found = list(signatures([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("shingles")], 1))
+            sigs, owner = _flat(found, [sent for _, _, sent, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy()[owner], pa.int64()), pa.array(sigs.view(np.int64))], ["node", "second"])
 
     return sets.select("node", "shingles").mapInArrow(run, "node long, second long")
 
