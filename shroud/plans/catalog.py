@@ -7,13 +7,14 @@ operator id they exercise.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.functions.windows import spread
-from shroud.session import materialize
+from shroud.session import ensure_checkpoint_dir, materialize
 from shroud.operators import corpus, detect
 from shroud.plans import oracle as O
 from shroud.sources.tables import table
@@ -430,23 +431,30 @@ def h3_rate_limit_stream(spark, sf):
 SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, sum(value) AS value_sum
 FROM events GROUP BY 1, 2""")
 def h5_usage_windows(spark, sf):
-    # complete mode: the batch-equivalent table, including windows the watermark has not closed yet
-    return ST.run_to_table(ST.usage_windows(ST.table_stream(spark, sf, "events")), _sink("h5"), "complete")
+    # update mode: the batch-equivalent table, including windows the watermark has not closed yet
+    return ST.run_to_table(ST.usage_windows(ST.table_stream(spark, sf, "events")), _sink("h5"), ["window_start", "event_type"])
 
 
 @register("h6_chunked_restore", """
 SELECT count(*) AS messages, count(*) AS restored_exactly FROM conversations""")
 def h6_chunked_restore(spark, sf):
     """H6: masked replies cut into 7-character chunks (tokens split across chunks),
-    reassembled per response, then restored; all must equal the originals."""
+    reassembled per response as they arrive, then restored; all must equal the originals."""
     src = planted_conversations(spark, sf)
     m = MK.anonymize(src)
     tm = MK.token_map(m, ["conv_id"])
     resp = m.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("masked").alias("text"))
     chunks = resp.select("resp_id", "conv_id", F.posexplode(F.expr(
         "transform(sequence(0, CAST(greatest(ceil(length(text) / 7.0) - 1, 0) AS INT)), i -> substr(text, i * 7 + 1, 7))"))
-        .alias("chunk_no", "text"))
-    back = MK.restore(ST.reassemble_chunks(chunks), tm)
+        .alias("chunk_no", "text"), F.greatest(F.ceil(F.length("text") / 7.0), F.lit(1)).alias("chunks"))
+    # Hashed to files by chunk, so a response's chunks arrive over several micro-batches in no order.
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_sink('h6')}-{uuid.uuid4().hex}"
+    (chunks.withColumn("is_last", F.col("chunk_no") == F.col("chunks") - 1).repartition("resp_id", "chunk_no")
+     .write.parquet(path))
+    arriving = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(arriving).option("maxFilesPerTrigger", max(1, len(spark.read.parquet(path).inputFiles()) // 3)).parquet(path)
+    whole = ST.run_to_table(ST.reassemble_stream(stream), _sink("h6")).where("complete")
+    back = MK.restore(whole, tm)
     orig = src.select(F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("text").alias("orig"))
     return back.join(orig, "resp_id").agg(
         F.count(F.lit(1)).alias("messages"),

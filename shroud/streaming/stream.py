@@ -5,19 +5,23 @@ arrival order keep state:
 
 * H1 ``detect_stream``       - stateless masking per message row (``mapInPandas``);
 * H2 ``conversation_mask_stream`` - token counters continue across turns as they
-  arrive (``applyInPandasWithState`` keyed by conversation; state = counters);
+  arrive (``applyInPandasWithState`` keyed by conversation; state = counters, removed
+  when the conversation has been idle for long);
 * H3 ``rate_limit_stream``   - per (user, UTC day) quota in arrival order; state =
-  count, removed by an event-time timeout after the day closes; rows behind the
-  watermark are labelled ``late`` instead of being silently allowed;
+  the counts of the user's last days; rows of days that are closed for the user are
+  labelled ``late``, never dropped (so no watermark is used);
 * H4 ``clean_cache_stream``  - drop texts already seen clean within the hour;
 * H5 ``usage_windows``       - tumbling event-time windows with a watermark;
-* H6 ``reassemble_chunks``   - buffer response chunks until the last one, so a
-  token cut across chunks is restored whole.
+* H6 ``reassemble_stream``   - buffer response chunks, in whatever order they arrive,
+  until all are there, so a token cut across chunks is restored whole.
+
+Results go to Parquet in the cluster's shared folder, a folder per micro-batch.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from shroud.functions import kernel
 from shroud.operators import mask as MK
 from shroud.operators import ner as N
+from shroud.session import ensure_checkpoint_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -38,17 +43,35 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
             .parquet(path[:-1] + "*"))  # glob: the stream source needs a directory or a pattern
 
 
-def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run ``stream`` over everything available now into a memory table; return it."""
+def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run ``stream`` over everything available now; return what it wrote.
+
+    Each micro-batch overwrites its own folder, so one that is run again after a failure
+    leaves no second copy. With ``keys`` the stream runs in update mode and the last
+    row written for each key counts.
+    """
     spark = stream.sparkSession
-    from shroud.session import ensure_checkpoint_dir
-    import uuid
-    # memory sinks cannot recover, so every run gets its own checkpoint folder
-    ck = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    q = (stream.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/rows/batch=-1")    # there may be no batch at all
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+
+    # Batches without rows would follow for ever, looking for keys whose time is over.
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        q = (stream.writeStream.foreachBatch(write).outputMode("update" if keys else "append")
+             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
+    if not keys:
+        return out.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*").select(*stream.columns)
 
 
 # ------------------------------------------------------------------ H1
@@ -63,9 +86,13 @@ _H2_OUT = T.StructType([
     T.StructField("masked", T.StringType()), T.StructField("tokens", MK.TOKENS),
 ])
 _H2_STATE = T.StructType([T.StructField("counters", T.StringType()), T.StructField("next_ord", T.LongType())])
+IDLE_MS = 7 * 86_400_000     # state of a key without new rows is kept so long
 
 
 def _h2(key, pdfs, state):
+    if state.hasTimedOut:
+        state.remove()
+        return
     counters, next_ord = {}, 0
     if state.exists:
         c, next_ord = state.get
@@ -80,14 +107,18 @@ def _h2(key, pdfs, state):
                 rows.append({"ord": next_ord, "type": t, "n": n, "token": f"[{t}_{n}]", "value": v})
             out.append({"conv_id": key[0], "turn": turn, "masked": masked, "tokens": rows})
     state.update((json.dumps(counters), next_ord))
+    state.setTimeoutDuration(IDLE_MS)
     if out:
         yield pd.DataFrame(out)
 
 
 def conversation_mask_stream(messages: DataFrame) -> DataFrame:
-    """H2: conversation-wide ``[TYPE_n]`` numbering that continues as turns arrive."""
+    """H2: conversation-wide ``[TYPE_n]`` numbering that continues as turns arrive.
+
+    A conversation that goes on after a week without turns starts its numbers again.
+    """
     return (messages.select("conv_id", "turn", "text").groupBy("conv_id")
-            .applyInPandasWithState(_h2, _H2_OUT, _H2_STATE, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_h2, _H2_OUT, _H2_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
 
 
 # ------------------------------------------------------------------ H3
@@ -96,44 +127,46 @@ _H3_OUT = T.StructType([
     T.StructField("rl_seq", T.LongType()), T.StructField("rl_allowed", T.BooleanType()),
     T.StructField("late", T.BooleanType()),
 ])
-_H3_STATE = T.StructType([T.StructField("count", T.LongType())])
+_H3_STATE = T.StructType([T.StructField("days", T.StringType())])
 
 
-def _h3_factory(limits: dict):
+def _h3_factory(limits: dict, grace: int):
     def fn(key, pdfs, state):
-        user, day, tier = key
-        limit = limits.get(tier, limits["free"])
         if state.hasTimedOut:
             state.remove()
             return
-        count = state.get[0] if state.exists else 0
-        wm = state.getCurrentWatermarkMs()
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "request_id"])
-            for rid, ts in zip(pdf["request_id"].tolist(), pdf["ts"].tolist()):
-                late = wm > 0 and pd.Timestamp(ts).value // 1_000_000 < wm
-                if late:
-                    out.append((rid, user, None, False, True))
-                    continue
-                count += 1
-                out.append((rid, user, count, count <= limit, False))
-        state.update((count,))
-        # expire the day's counter once the watermark passes the end of the next day
-        state.setTimeoutTimestamp(int(pd.Timestamp(day).value // 1_000_000) + 2 * 86_400_000)
-        if out:
-            yield pd.DataFrame(out, columns=["request_id", "user_id", "rl_seq", "rl_allowed", "late"])
+        counts = {int(d): n for d, n in json.loads(state.get[0]).items()} if state.exists else {}
+        oldest = max(counts) - grace if counts else None
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "request_id"])
+        day = rows["ts"].to_numpy().astype("datetime64[D]").astype("int64")      # days since 1970
+        late = pd.Series(day, rows.index) < oldest if oldest is not None else pd.Series(False, rows.index)
+        before = pd.Series(day, rows.index).map(lambda d: counts.get(d, 0))
+        seq = (rows[~late].groupby(day[~late.to_numpy()]).cumcount() + 1 + before[~late]).reindex(rows.index).astype("Int64")
+        limit = rows["tier"].map(lambda t: limits.get(t, limits["free"]))
+        for d in set(day[~late.to_numpy()].tolist()):
+            counts[d] = int(seq[(day == d) & ~late.to_numpy()].max())
+        newest = max(counts)
+        state.update((json.dumps({d: n for d, n in counts.items() if d >= newest - grace}),))
+        state.setTimeoutDuration(IDLE_MS)
+        yield pd.DataFrame({"request_id": rows["request_id"], "user_id": key[0], "rl_seq": seq, "rl_allowed": (seq <= limit).fillna(False).astype(bool), "late": late})
     return fn
 
 
-def rate_limit_stream(authorized: DataFrame, limits: dict, watermark: str = "1 day") -> DataFrame:
-    """H3: E3 on a stream of authorized requests (``request_id, ts, kp_user_id, kp_tier``)."""
-    s = (authorized.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-         .select("request_id", "ts", F.col("kp_user_id").alias("user_id"),
-                 F.to_date("ts").cast("string").alias("day"), F.col("kp_tier").alias("tier")))
-    return (s.groupBy("user_id", "day", "tier")
-            .applyInPandasWithState(_h3_factory(dict(limits)), _H3_OUT, _H3_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def rate_limit_stream(authorized: DataFrame, limits: dict, grace: int = 1) -> DataFrame:
+    """H3: E3 on a stream of authorized requests (``request_id, ts, kp_user_id, kp_tier``).
+
+    A request counts for its user's UTC day, whatever the tier; the tier it came with
+    sets the limit. Days more than ``grace`` before the user's newest day in an earlier
+    micro-batch are closed: their requests are ``late``, without a number and not
+    allowed. A task holds one user's narrow rows of one micro-batch, which the
+    source's files per trigger bound. Rows without a user or time are not authorized
+    requests and must be filtered before.
+    """
+    s = authorized.select("request_id", F.col("ts").cast("timestamp").alias("ts"),
+                          F.col("kp_user_id").alias("user_id"), F.col("kp_tier").alias("tier"))
+    return (s.groupBy("user_id")
+            .applyInPandasWithState(_h3_factory(dict(limits), grace), _H3_OUT, _H3_STATE, "append",
+                                    GroupStateTimeout.ProcessingTimeTimeout))
 
 
 # ------------------------------------------------------------------ H4
@@ -168,29 +201,43 @@ def reassemble_chunks(chunks: DataFrame) -> DataFrame:
 
 
 _H6_OUT = T.StructType([T.StructField("resp_id", T.StringType()), T.StructField("conv_id", T.LongType()),
-                        T.StructField("text", T.StringType())])
-_H6_STATE = T.StructType([T.StructField("parts", T.StringType())])
+                        T.StructField("text", T.StringType()), T.StructField("complete", T.BooleanType())])
+_H6_STATE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("last", T.LongType()),
+                          T.StructField("emitted", T.BooleanType()), T.StructField("numbers", T.ArrayType(T.LongType())),
+                          T.StructField("texts", T.ArrayType(T.StringType()))])
+WAIT_MS = 3_600_000          # an incomplete response is given up after so long without a chunk
 
 
 def _h6(key, pdfs, state):
-    parts = json.loads(state.get[0]) if state.exists else {}
-    done = False
-    conv = None
-    for pdf in pdfs:
-        for no, text, last, c in zip(pdf["chunk_no"].tolist(), pdf["text"].tolist(),
-                                     pdf["is_last"].tolist(), pdf["conv_id"].tolist()):
-            parts[str(int(no))] = text
-            conv = c
-            done = done or bool(last)
-    if done and all(str(i) in parts for i in range(len(parts))):
+    conv, last, emitted, numbers, texts = state.get if state.exists else (None, None, False, [], [])
+    parts = dict(zip(numbers, texts, strict=True))
+    joined = lambda complete: pd.DataFrame([{"resp_id": key[0], "conv_id": conv, "text": "".join(parts[i] for i in sorted(parts)), "complete": complete}])
+    if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([{"resp_id": key[0], "conv_id": conv,
-                             "text": "".join(parts[str(i)] for i in range(len(parts)))}])
-    else:
-        state.update((json.dumps(parts),))
+        if not emitted:
+            yield joined(False)
+        return
+    for pdf in pdfs:
+        for no, text, end, c in zip(pdf["chunk_no"].tolist(), pdf["text"].tolist(), pdf["is_last"].tolist(), pdf["conv_id"].tolist(), strict=True):
+            parts[int(no)] = text or ""
+            conv = int(c)
+            if end:
+                last = int(no)
+    if not emitted and last is not None and all(i in parts for i in range(last + 1)):
+        yield joined(True)
+        emitted = True
+    if emitted:                                              # chunks that are sent again are known until the timeout
+        parts = {}
+    state.update((conv, last, emitted, list(parts), list(parts.values())))
+    state.setTimeoutDuration(WAIT_MS)
 
 
 def reassemble_stream(chunks: DataFrame) -> DataFrame:
-    """H6 (stream form): emit a response once its last chunk and all before it arrived."""
-    return (chunks.groupBy("resp_id")
-            .applyInPandasWithState(_h6, _H6_OUT, _H6_STATE, "append", GroupStateTimeout.NoTimeout))
+    """H6 (stream form): a response once its last chunk and all before it arrived, in any order.
+
+    ``chunks``: resp_id, conv_id, chunk_no (from 0), text, is_last. A response is emitted
+    once; one that stays incomplete for an hour is emitted as far as it came, with
+    ``complete`` false.
+    """
+    return (chunks.select("resp_id", "conv_id", "chunk_no", "text", "is_last").groupBy("resp_id")
+            .applyInPandasWithState(_h6, _H6_OUT, _H6_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
