@@ -4,7 +4,7 @@
 * :func:`detect_pii` (C1 verdict) - per row ``detected / matches / types``.
 * :func:`detect_secrets` (C2) - fully native ``rlike``; stays in codegen.
 * :func:`pii_type_counts` (flagship) - which personal data is in a corpus.
-* :func:`detect_report` (C9) - per conversation types, counts, secrets, NER flags.
+* :func:`detect_report` (C9) - per request types, counts, secrets, masked text, NER flags.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroud.functions import kernel
+from shroud.operators import mask as MK
+from shroud.operators import ner as NR
 from shroud.functions.patterns import secret_patterns
 
 SPAN_FIELDS = [
@@ -100,3 +102,25 @@ def pii_type_counts(docs: DataFrame, text_col: str = "text", key: str = "doc_id"
     spans = pii_spans(docs, text_col, [key])
     return (spans.groupBy("type")
             .agg(F.countDistinct(key).alias("docs"), F.count(F.lit(1)).alias("matches")))
+
+
+def detect_report(requests: DataFrame, key: str = "request_id", text_col: str = "text", tier_col: str = "kp_tier") -> DataFrame:
+    """What was found in each request, without sending it anywhere.
+
+    Needs ``ner_status`` and ``ner_entities`` (the model's verbatim entities), used for paid
+    tiers only. Types and counts come from the masking tokens. ``ner_error`` tells that the
+    model failed, so that no entities must not be read as a clean text. No shuffle: one
+    masking pass, the rest is column logic on its rows.
+    """
+    ran = F.coalesce(NR.ner_ran(F.col(tier_col)), F.lit(False))
+    error = ran & (F.coalesce("ner_status", F.lit("clean")) == "error")
+    none = F.array().cast(NR.ENTITY_ARRAY)
+    src = requests.select(
+        F.col(key), F.col(text_col), ran.alias("ner_ran"), error.alias("ner_error"),
+        (F.size(secret_types(text_col)) > 0).alias("has_secret"),
+        F.when(ran & ~error, F.coalesce("ner_entities", none)).otherwise(none).alias("_ner"))
+    m = MK.mask_texts(src, text_col, [key, "ner_ran", "ner_error", "has_secret"], "_ner")
+    kinds = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: t["type"])))
+    return m.select(key, F.array_join(kinds, ",").alias("pii_types"), MK.type_counts_text(F.col("tokens")).alias("pii_type_counts"),
+                    F.size("tokens").cast("long").alias("pii_count"), "has_secret", F.col("masked").alias("sanitized"),
+                    "ner_ran", "ner_error")

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ TOKENS = T.ArrayType(TOKEN)
 TOKEN_REGEX = r"\[([A-Z_]+)_(\d+)\]"
 
 
-def _mask_batches(keys: list[str], text_col: str, ner_col: str | None):
+def _mask_batches(keys: list[str], text_col: str, ner_col: str | None, verdict: bool = False):
     def run(batches):
         for pdf in batches:
             masked, toks, coll = [], [], []
@@ -57,16 +57,21 @@ def _mask_batches(keys: list[str], text_col: str, ner_col: str | None):
             out["masked"] = masked
             out["tokens"] = toks
             out["token_collision"] = coll
+            if verdict:
+                spans = [kernel.pii_spans(text) for text in texts]
+                out["matches"] = [len(s) for s in spans]
+                out["types"] = [list(dict.fromkeys(t for _, t, *_ in s)) for s in spans]
             yield out
     return run
 
 
 def mask_texts(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id",),
-               ner_col: str | None = None) -> DataFrame:
+               ner_col: str | None = None, verdict: bool = False) -> DataFrame:
     """D1 on independent texts (documents): ``keys, masked, tokens, token_collision``.
 
     Each row is its own request, so local numbering is final. No shuffle except
-    :func:`spread` when the scan has fewer partitions than cores.
+    :func:`spread` when the scan has fewer partitions than cores. With ``verdict``
+    the same pass also gives the C1 ``matches`` and distinct ``types``.
     """
     keys = list(keys)
     cols = keys + [text_col] + ([ner_col] if ner_col else [])
@@ -75,8 +80,8 @@ def mask_texts(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("do
         T.StructField("masked", T.StringType()),
         T.StructField("tokens", TOKENS),
         T.StructField("token_collision", T.BooleanType()),
-    ])
-    return src.mapInPandas(_mask_batches(keys, text_col, ner_col), schema)
+    ] + ([T.StructField("matches", T.LongType()), T.StructField("types", T.ArrayType(T.StringType()))] if verdict else []))
+    return src.mapInPandas(_mask_batches(keys, text_col, ner_col, verdict), schema)
 
 
 def _renumber_batches(keys: list[str]):
@@ -195,6 +200,13 @@ def restore(responses: DataFrame, tmap: DataFrame, key: str = "conv_id", resp_ke
     return out.withColumn("restored", restored).drop("_e")
 
 
+def type_counts_text(tokens: Column) -> Column:
+    """G15 per row: ``TYPE:count`` of a row's tokens, by type, joined by commas."""
+    kinds = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: t["type"])))
+    return F.array_join(F.transform(kinds, lambda k: F.concat_ws(
+        ":", k, F.size(F.filter(tokens, lambda t: t["type"] == k)).cast("string"))), ",")
+
+
 def leak_rows(masked: DataFrame, keys: Sequence[str] = ("conv_id", "turn")) -> DataFrame:
     """Tokens whose original value still appears in the sanitized text (should be empty)."""
     t = masked.select(*keys, "masked", F.explode("tokens").alias("t"))

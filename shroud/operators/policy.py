@@ -156,13 +156,21 @@ OUTCOME_STATUS = {
     "ner_unavailable": 503, "passthrough": 200, "edge_rate_limited": 429, "edge": 200, "anonymized": 200,
 }
 
+REJECTED_UNSCANNED = ("unauthorized", "rate_limited", "invalid_json", "strategy_mismatch")
+
+
+def may_be_scanned(authorized: Column, body_ok: Column, mode: Column, body_strategy: Column) -> Column:
+    """False where the row alone (not the quota) already tells that a request is rejected before detection."""
+    return authorized & body_ok & ~F.coalesce(strategy_mismatch(mode, body_strategy), F.lit(False))
+
 
 def route(df: DataFrame, edge_limits: Mapping[str, int] = EDGE_LIMITS) -> DataFrame:
     """E5: the decision cascade, then the edge counter over the edge-bound subset.
 
     Needs: ``authorized, rl_allowed, body_ok, kp_pii_strategy, body_strategy,
     kp_tier, regex_detected, regex_types, regex_matches, has_secret,
-    ner_status, ner_entities``.
+    ner_status, ner_entities``. Requests rejected before detection (401, 429,
+    400) have null ``ner_ran, pii_types, pii_matches, has_secret``.
     """
     mode = strategy_mode(F.col("kp_pii_strategy"))
     applied = resolve_strategy(mode, F.col("body_strategy"))
@@ -179,18 +187,20 @@ def route(df: DataFrame, edge_limits: Mapping[str, int] = EDGE_LIMITS) -> DataFr
            .when(~(detected | F.col("has_secret")), "passthrough")
            .when(applied == "edge", "edge")
            .otherwise("anonymized"))
-    d = (df.withColumn("strategy_mode", mode).withColumn("applied_strategy", applied)
-         .withColumn("ner_ran", ran).withColumn("ner_status_eff", F.when(ran, status).otherwise("not_run"))
-         .withColumn("pii_types", F.when(pre == "ner_unavailable", N.add_ner_error(types)).otherwise(types))
-         .withColumn("pii_matches", N.merge_matches(F.col("regex_matches"), ents))
-         .withColumn("_pre", pre))
+    scanned = ~pre.isin(*REJECTED_UNSCANNED)
+    d = df.select("*", mode.alias("strategy_mode"), applied.alias("applied_strategy"),
+                  F.when(scanned, ran).alias("ner_ran"),
+                  F.when(ran, status).otherwise("not_run").alias("ner_status_eff"),
+                  F.when(scanned, F.when(pre == "ner_unavailable", N.add_ner_error(types)).otherwise(types)).alias("pii_types"),
+                  F.when(scanned, N.merge_matches(F.col("regex_matches"), ents)).alias("pii_matches"),
+                  pre.alias("_pre"))
+    d = d.withColumn("has_secret", F.when(~F.col("_pre").isin(*REJECTED_UNSCANNED), F.col("has_secret")))
     # Only requests that reach the edge path consume the edge counter
-    edge = d.where(F.col("_pre") == "edge").select("request_id", "kp_user_id", "kp_tier", "kp_edge_limit", "ts")
-    edge = edge.withColumn("_day", F.to_date("ts"))
-    edge = arrival_ordinal(edge, ["kp_user_id", "_day"], "ts", "request_id", "edge_seq")
-    edge = edge.select("request_id", "edge_seq",
-                       edge_limit(F.col("kp_tier"), F.col("kp_edge_limit"), edge_limits).alias("edge_limit"))
-    d = d.join(edge, "request_id", "left")
+    limit = edge_limit(F.col("kp_tier"), F.col("kp_edge_limit"), edge_limits)
+    edge = d.where(F.col("_pre") == "edge").withColumn("_day", F.to_date("ts"))
+    edge = arrival_ordinal(edge, ["kp_user_id", "_day"], "ts", "request_id", "edge_seq").drop("_day").withColumn("edge_limit", limit)
+    d = edge.unionByName(d.where(F.col("_pre") != "edge").withColumn("edge_seq", F.lit(None).cast("long"))
+                         .withColumn("edge_limit", F.lit(None).cast("int")))
     outcome = F.when((F.col("_pre") == "edge") & (F.col("edge_seq") > F.col("edge_limit")), "edge_rate_limited") \
         .otherwise(F.col("_pre"))
     return (d.withColumn("outcome", outcome).drop("_pre")
@@ -205,9 +215,17 @@ def log_rows(decided: DataFrame) -> DataFrame:
 
     Requests rejected before detection (401/429/400) are not logged, as in the
     proxy; pass-through rows carry no PII fields; edge rows carry the edge model
-    and no provider. Adds ``has_secret`` (SURVEY §7.4 #10).
+    and no provider; token counts, finish reason and the provider's request id
+    are null on edge and blocked rows. ``tokens_in, tokens_out, latency_ms,
+    finish_reason, provider_request_id, cf_node, request_country, request_city``
+    are taken from the input where it has them, else null. Adds ``has_secret``
+    (SURVEY §7.4 #10) and the key's ``tier``.
     """
     o = F.col("outcome")
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name) if name in decided.columns else F.lit(None).cast(kind)
+
     logged = decided.where(o.isin("ner_unavailable", "passthrough", "edge", "anonymized"))
     cloud = o.isin("passthrough", "anonymized", "ner_unavailable")
     model = F.coalesce(F.col("model"), F.col("kp_cloud_model"))   # logged as sent: '' is kept
@@ -225,7 +243,12 @@ def log_rows(decided: DataFrame) -> DataFrame:
         F.when(cloud, F.coalesce("kp_provider_mode", F.lit(DEFAULT_PROVIDER_MODE))).alias("provider_mode"),
         F.when(cloud, F.coalesce("kp_provider", F.lit(DEFAULT_PROVIDER))).alias("provider"),
         F.when(o.isin("passthrough", "anonymized"), model).alias("cloud_model"),
-        (o.isin("anonymized", "ner_unavailable") & F.col("has_secret")).alias("has_secret"))
+        (o.isin("anonymized", "ner_unavailable") & F.col("has_secret")).alias("has_secret"),
+        F.col("kp_tier").alias("tier"),
+        *(F.when(o.isin("passthrough", "anonymized"), given(c, t)).alias(c) for c, t in
+          [("tokens_in", "int"), ("tokens_out", "int"), ("finish_reason", "string"), ("provider_request_id", "string")]),
+        *(given(c, t).alias(c) for c, t in
+          [("latency_ms", "int"), ("cf_node", "string"), ("request_country", "string"), ("request_city", "string")]))
 
 
 def classify_outcome(status_code: Column, code: Column) -> Column:
@@ -237,19 +260,27 @@ def classify_outcome(status_code: Column, code: Column) -> Column:
             .when(status_code >= 400, "api_error"))
 
 
-def outbound_body(df: DataFrame, prefix: Column | None = None) -> Column:
+def edge_payload(messages: Column, system_text: str, max_tokens: Column, temperature: Column) -> Column:
+    """Messages with a system message, ``max_tokens`` and ``temperature`` with the edge path's defaults."""
+    return F.struct(edge_messages(messages, system_text).alias("messages"),
+                    F.coalesce(max_tokens, F.lit(EDGE_MAX_TOKENS)).alias("max_tokens"),
+                    F.coalesce(temperature, F.lit(EDGE_TEMPERATURE)).alias("temperature"))
+
+
+def outbound_body(df: DataFrame, prefix: Column | None = None, messages: Column | None = None) -> Column:
     """E6-E8 + E11: the body sent upstream.
 
     Model: request's non-empty model, else the key's (E6), provider-prefixed
     unless already qualified (E7); ``max_tokens`` renamed to
     ``max_completion_tokens`` (E8); the policy field ``pii_strategy`` is not
-    carried (E11).
+    carried (E11); ``messages`` are the masked ones where given.
     """
     model = resolve_model(F.col("model"), F.col("kp_cloud_model"))
     if prefix is not None:
         model = prefix_model(model, prefix)
-    return F.struct(model.alias("model"), F.col("temperature").alias("temperature"),
-                    F.col("max_tokens").alias("max_completion_tokens"))
+    fields = [model.alias("model"), F.col("temperature").alias("temperature"),
+              F.col("max_tokens").alias("max_completion_tokens")]
+    return F.struct(*([messages.alias("messages")] if messages is not None else []), *fields)
 
 
 RESPONSE_SCHEMA = ("struct<id:string, object:string, model:string, routed_to:string, anonymized:boolean, "

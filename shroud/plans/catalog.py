@@ -80,20 +80,18 @@ def requests(spark, sf):
     return D.requests(spark, table(spark, sf, "events"))
 
 
-def scanned_requests(spark, sf):
-    """requests + C1 verdict + C2 secrets + NER reply (E5 inputs)."""
-    r = spread(requests(spark, sf))
-    v = detect.detect_pii("text")
-    r = r.select("*", v.alias("_v"), detect.secret_types("text").alias("secret_types"))
+def decided(spark, sf):
+    """E5 over every request. What a row alone rejects is not scanned; texts are never shuffled
+    or stored, only the verdict columns are (they feed several branches)."""
+    r = PO.authorize(D.with_request_ner(spark, spread(requests(spark, sf))), key_policy(spark, sf))
+    mode = PO.strategy_mode(F.col("kp_pii_strategy"))
+    scan = PO.may_be_scanned(F.col("authorized"), F.col("body_ok"), mode, F.col("body_strategy"))
+    r = r.withColumn("text", F.when(scan, F.col("text")))
+    r = r.select("*", detect.detect_pii("text").alias("_v"), detect.secret_types("text").alias("secret_types"))
     r = r.select("*", F.col("_v.detected").alias("regex_detected"), F.col("_v.types").alias("regex_types"),
                  F.col("_v.matches").alias("regex_matches"),
-                 (F.size("secret_types") > 0).alias("has_secret")).drop("_v")
-    r = D.with_request_ner(spark, r)
-    return materialize(r)   # the Python scan runs once; routing reuses it in several branches
-
-
-def decided(spark, sf):
-    r = PO.authorize(scanned_requests(spark, sf), key_policy(spark, sf))
+                 (F.size("secret_types") > 0).alias("has_secret")).drop("_v", "text")
+    r = materialize(D.with_provider_reply(spark, r))
     authd = PO.daily_quota(r.where("authorized"), REPLAY_DAILY_LIMITS)
     unauth = r.where("NOT authorized")
     for c, t in [("rl_day", "date"), ("rl_seq", "long"), ("rl_limit", "int"), ("rl_allowed", "boolean"),
@@ -183,14 +181,25 @@ def e12_request_log(spark, sf):
 
 @register("g17_usage_rollup")
 def g17_usage_rollup(spark, sf):
-    """Requests, anonymized share and PII types per day/strategy/provider (rollup)."""
+    """Requests, anonymized share, PII, tokens and latency per day/tier/strategy/provider (rollup)."""
     logs = PO.log_rows(decided(spark, sf))
-    return (logs.rollup("log_date", "pii_strategy", "provider")
+    return (logs.rollup("log_date", "tier", "pii_strategy", "provider")
             .agg(F.count(F.lit(1)).alias("requests"), F.sum(F.col("anonymized").cast("int")).alias("anonymized"),
-                 F.sum("pii_matches").alias("pii_matches"))
+                 F.sum("pii_matches").alias("pii_matches"), F.sum("tokens_in").alias("tokens_in"),
+                 F.sum("tokens_out").alias("tokens_out"), F.sum("latency_ms").alias("latency_ms_sum"),
+                 F.max("latency_ms").alias("latency_ms_max"))
             .withColumn("log_date", F.col("log_date").cast("string")))
 
 
+@register("g17_compliance_events")
+def g17_compliance_events(spark, sf):
+    """Logged requests per day, tier and kind of personal data."""
+    logs = PO.log_rows(decided(spark, sf))
+    return (logs.select(F.col("log_date").cast("string").alias("log_date"), "tier", F.explode("pii_types").alias("type"), "anonymized")
+            .groupBy("log_date", "tier", "type")
+            .agg(F.count(F.lit(1)).alias("requests"), F.sum(F.col("anonymized").cast("int")).alias("anonymized")))
+
+
 @register("a7_latest_logs")
 def a7_latest_logs(spark, sf):
     """Newest N = min(limit or 100, 500) log rows, total order (ts desc, request_id desc)."""
@@ -501,19 +510,9 @@ def c2_secret_types(spark, sf):
 
 @register("c9_detect_report")
 def c9_detect_report(spark, sf):
-    """C9 (/v1/detect): per request token counts from the masking map, secrets, NER flags."""
-    r = PO.authorize(requests(spark, sf), key_policy(spark, sf)).where("authorized")
-    ran = NR.ner_ran(F.col("kp_tier"))
-    m = MK.mask_texts(r.select("request_id", "text", "kp_tier"), "text", ["request_id", "kp_tier"])
-    counts = MK.token_type_counts(m, ["request_id"])
-    per = counts.groupBy("request_id").agg(
-        F.array_join(F.sort_array(F.collect_list("type")), ",").alias("pii_types"),
-        F.sum("tokens").alias("pii_count"))
-    base = r.select("request_id", ran.alias("ner_ran"),
-                    (F.size(detect.secret_types("text")) > 0).alias("has_secret"))
-    return base.join(per, "request_id", "left").select(
-        "request_id", F.coalesce("pii_types", F.lit("")).alias("pii_types"),
-        F.coalesce("pii_count", F.lit(0)).alias("pii_count"), "has_secret", "ner_ran")
+    """C9 (/v1/detect): per authorized request types, counts, secrets, masked text, NER flags."""
+    r = PO.authorize(D.with_request_ner(spark, spread(requests(spark, sf))), key_policy(spark, sf))
+    return detect.detect_report(r.where("authorized"))
 
 
 # ------------------------------------------------------------------ NER oracles (DuckDB)
@@ -612,6 +611,7 @@ j AS (
          ({secret_any}) AS has_secret, rn.ner_status, rn.person
   FROM rq LEFT JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')
   LEFT JOIN pc ON pc.k = rq.request_id LEFT JOIN rn ON rn.request_id = rq.request_id),
+pr AS ({D.provider_reply_sql('rq')}),
 q AS (
   SELECT *, CASE WHEN authorized THEN row_number() OVER (PARTITION BY authorized, kp_user_id, CAST(ts AS DATE)
                                                          ORDER BY ts, request_id) END AS rl_seq
@@ -660,10 +660,10 @@ y AS (SELECT *, CASE WHEN pre = 'ner_unavailable' AND NOT list_contains(types, '
        WHEN 'strategy_mismatch' THEN 400 WHEN 'ner_unavailable' THEN 503 WHEN 'edge_rate_limited' THEN 429
        ELSE 200 END AS status_code,
   CASE WHEN outcome IN ('passthrough', 'anonymized') THEN 'cloud' WHEN outcome = 'edge' THEN 'edge' END AS routed_to,
-  outcome = 'anonymized' AS anonymized, applied AS applied_strategy, mode AS strategy_mode, ran AS ner_ran,
-  array_to_string(types_final, ',') AS pii_types,
-  regex_matches + n_ents AS pii_matches, has_secret
-FROM y""")
+  outcome = 'anonymized' AS anonymized, applied AS applied_strategy, mode AS strategy_mode,
+  CASE WHEN seen THEN ran END AS ner_ran, CASE WHEN seen THEN array_to_string(types_final, ',') END AS pii_types,
+  CASE WHEN seen THEN regex_matches + n_ents END AS pii_matches, CASE WHEN seen THEN has_secret END AS has_secret
+FROM (SELECT *, outcome NOT IN ('unauthorized', 'rate_limited', 'invalid_json', 'strategy_mismatch') AS seen FROM y)""")
 
 
 REGISTRY["e5_route_decisions"] = (REGISTRY["e5_route_decisions"][0], _e5_sql())
@@ -686,8 +686,13 @@ SELECT request_id, ts, CAST(ts AS DATE) AS log_date, kp_user_id AS user_id,
     AS provider_mode,
   CASE WHEN outcome IN ('passthrough', 'anonymized', 'ner_unavailable') THEN coalesce(kp_provider, 'openai') END AS provider,
   CASE WHEN outcome IN ('passthrough', 'anonymized') THEN coalesce(model, kp_cloud_model) END AS cloud_model,
-  (outcome IN ('anonymized', 'ner_unavailable') AND has_secret) AS has_secret
-FROM y WHERE outcome IN ('ner_unavailable', 'passthrough', 'edge', 'anonymized')"""
+  (outcome IN ('anonymized', 'ner_unavailable') AND has_secret) AS has_secret, kp_tier AS tier,
+  CASE WHEN outcome IN ('passthrough', 'anonymized') THEN pr.tokens_in END AS tokens_in,
+  CASE WHEN outcome IN ('passthrough', 'anonymized') THEN pr.tokens_out END AS tokens_out,
+  CASE WHEN outcome IN ('passthrough', 'anonymized') THEN pr.finish_reason END AS finish_reason,
+  CASE WHEN outcome IN ('passthrough', 'anonymized') THEN pr.provider_request_id END AS provider_request_id,
+  pr.latency_ms, pr.cf_node, pr.request_country, pr.request_city
+FROM y JOIN pr USING (request_id) WHERE outcome IN ('ner_unavailable', 'passthrough', 'edge', 'anonymized')"""
 REGISTRY["e12_request_log"] = (REGISTRY["e12_request_log"][0], _e5_sql(_E12_FINAL))
 
 
@@ -719,11 +724,14 @@ FROM y GROUP BY type"""
 REGISTRY["b24_id_validity"] = (REGISTRY["b24_id_validity"][0], _b24_sql())
 
 
-_G17_FINAL = "SELECT * FROM (" + _E12_FINAL.replace("FROM y WHERE", "FROM y WHERE") + ")"
 REGISTRY["g17_usage_rollup"] = (REGISTRY["g17_usage_rollup"][0], _e5_sql(f"""
-SELECT CAST(log_date AS VARCHAR) AS log_date, pii_strategy, provider, count(*) AS requests,
-       sum(CAST(anonymized AS INTEGER)) AS anonymized, sum(pii_matches) AS pii_matches
-FROM ({_E12_FINAL}) GROUP BY ROLLUP (log_date, pii_strategy, provider)"""))
+SELECT CAST(log_date AS VARCHAR) AS log_date, tier, pii_strategy, provider, count(*) AS requests,
+       sum(CAST(anonymized AS INTEGER)) AS anonymized, sum(pii_matches) AS pii_matches, sum(tokens_in) AS tokens_in,
+       sum(tokens_out) AS tokens_out, sum(latency_ms) AS latency_ms_sum, max(latency_ms) AS latency_ms_max
+FROM ({_E12_FINAL}) GROUP BY ROLLUP (log_date, tier, pii_strategy, provider)"""))
+REGISTRY["g17_compliance_events"] = (REGISTRY["g17_compliance_events"][0], _e5_sql(f"""
+SELECT CAST(log_date AS VARCHAR) AS log_date, tier, type, count(*) AS requests, sum(CAST(anonymized AS INTEGER)) AS anonymized
+FROM (SELECT *, unnest(string_split(pii_types, ',')) AS type FROM ({_E12_FINAL}) WHERE pii_types <> '') GROUP BY ALL"""))
 REGISTRY["a7_latest_logs"] = (REGISTRY["a7_latest_logs"][0], _e5_sql(f"""
 SELECT request_id, ts, user_id, status_code, pii_types
 FROM ({_E12_FINAL}) ORDER BY ts DESC, request_id DESC LIMIT 100"""))
@@ -817,17 +825,23 @@ def _c9_sql() -> str:
     from shroud.functions.patterns import re2_form as _re2
     from shroud.functions.patterns import secret_patterns
     secret_any = " OR ".join(f"regexp_matches(rq.text, {O.q(_re2(p.family, p.idx).pattern)})" for p in secret_patterns())
-    seq = O.sequential_mask_sql("SELECT request_id, text FROM rq", key="request_id")
+    seq = O.sequential_mask_sql("SELECT request_id, text FROM rq", key="request_id", numbered=True)
     return f"""
-WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}),
-mv AS (SELECT request_id, vals FROM ({seq})),
-vv AS (SELECT mv.request_id, v.type AS type FROM mv, unnest(mv.vals) AS u(v)),
-t AS (SELECT request_id, string_agg(DISTINCT type, ',' ORDER BY type) AS pii_types, count(*) AS pii_count
-      FROM vv GROUP BY request_id)
-SELECT rq.request_id, coalesce(t.pii_types, '') AS pii_types, coalesce(t.pii_count, 0) AS pii_count,
-       ({secret_any}) AS has_secret, kp.tier IN ('pro', 'enterprise') AS ner_ran
-FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')
-LEFT JOIN t ON t.request_id = rq.request_id"""
+WITH kp AS ({KP_SQL}), rq AS ({RQ_SQL}), rn AS ({D.request_ner_sql('rq')}),
+mv AS (SELECT request_id, vals, t AS masked FROM ({seq})),
+b AS (SELECT rq.request_id, ({secret_any}) AS has_secret, coalesce(kp.tier IN ('pro', 'enterprise'), FALSE) AS ner_ran,
+        coalesce(kp.tier IN ('pro', 'enterprise'), FALSE) AND rn.ner_status = 'error' AS ner_error,
+        list_transform(mv.vals, lambda x: x.type) AS kinds, mv.masked, rn.person
+      FROM rq JOIN kp ON rq.api_key = kp.api_key AND starts_with(rq.api_key, 'key_live_')
+      JOIN rn ON rn.request_id = rq.request_id JOIN mv ON mv.request_id = rq.request_id),
+c AS (SELECT *, ner_ran AND NOT ner_error AND person IS NOT NULL AND instr(masked, person) > 0 AS named FROM b),
+d AS (SELECT * EXCLUDE (kinds), CASE WHEN named THEN list_append(kinds, 'PERSON') ELSE kinds END AS kinds FROM c)
+SELECT request_id, array_to_string(list_sort(list_distinct(kinds)), ',') AS pii_types,
+  array_to_string(list_transform(list_sort(list_distinct(kinds)),
+    lambda k: k || ':' || CAST(len(list_filter(kinds, lambda x: x = k)) AS VARCHAR)), ',') AS pii_type_counts,
+  len(kinds) AS pii_count, has_secret, CASE WHEN named THEN replace(masked, person, '[PERSON_1]') ELSE masked END AS sanitized,
+  ner_ran, ner_error
+FROM d"""
 
 
 REGISTRY["c9_detect_report"] = (REGISTRY["c9_detect_report"][0], _c9_sql())
@@ -865,23 +879,23 @@ REGISTRY["g13_combined_recall"] = (REGISTRY["g13_combined_recall"][0], _g13_sql(
 
 # ------------------------------------------------------------------ A11: regex-only baseline
 @register("a11_regex_only_baseline", f"""
-WITH tok AS ({_D4_SQL}),
-ty AS (SELECT doc_id, type, count(*) AS cnt FROM tok GROUP BY doc_id, type),
-firsts AS (SELECT doc_id, type, min(token_ord) AS first_ord FROM tok GROUP BY doc_id, type)
-SELECT ty.doc_id, sum(ty.cnt) AS matches,
-  string_agg(f.type, ',' ORDER BY f.first_ord) AS types,
-  string_agg(ty.type || ':' || CAST(ty.cnt AS VARCHAR), ',' ORDER BY ty.type) AS token_counts
-FROM ty JOIN firsts f ON f.doc_id = ty.doc_id AND f.type = ty.type
-GROUP BY ty.doc_id""")
+WITH pm AS ({O.pattern_matches_sql('documents', 'doc_id', 'text')}),
+pc AS (SELECT k, string_agg(type, ',' ORDER BY rank) AS types
+       FROM (SELECT k, type, min(rank) AS rank FROM pm GROUP BY k, type) GROUP BY k),
+pn AS (SELECT k, count(*) AS matches FROM pm GROUP BY k),
+mv AS (SELECT doc_id, list_transform(vals, lambda x: x.type) AS kinds, t AS sanitized
+       FROM ({O.sequential_mask_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents", key='doc_id', numbered=True)}))
+SELECT mv.doc_id, coalesce(pn.matches, 0) AS matches, coalesce(pc.types, '') AS types,
+  array_to_string(list_transform(list_sort(list_distinct(kinds)),
+    lambda k: k || ':' || CAST(len(list_filter(kinds, lambda x: x = k)) AS VARCHAR)), ',') AS token_counts, sanitized
+FROM mv LEFT JOIN pc ON pc.k = mv.doc_id LEFT JOIN pn ON pn.k = mv.doc_id""")
 def a11_regex_only_baseline(spark, sf):
-    """Per document with findings - C1 match count and types, and D1 token counts
-    per type with no NER input (the free tier's view)."""
-    docs = documents(spark, sf)
-    v = docs.select("doc_id", detect.detect_pii("text").alias("v")).where("v.detected")
-    m = MK.mask_texts(docs, "text", ["doc_id"])
-    counts = (MK.token_type_counts(m, ["doc_id"]).groupBy("doc_id")
-              .agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "type", F.col("tokens").cast("string")))),
-                                ",").alias("token_counts")))
-    return v.join(counts, "doc_id").select(
-        "doc_id", F.col("v.matches").cast("long").alias("matches"),
-        F.array_join(F.array_distinct("v.types"), ",").alias("types"), "token_counts")
+    """Every document's C1 match count and types, its D1 token counts and masked text, with
+    no NER input (the free tier's view); one pass over the texts."""
+    m = MK.mask_texts(documents(spark, sf), "text", ["doc_id"], verdict=True)
+    return m.select("doc_id", "matches", F.array_join("types", ",").alias("types"),
+                    MK.type_counts_text(F.col("tokens")).alias("token_counts"), F.col("masked").alias("sanitized"))
+
+
+# The remaining proxy steps register themselves.
+from shroud.plans import steps  # noqa: E402,F401

@@ -84,6 +84,27 @@ FROM {requests}
 """
 
 
+def provider_reply_sql(requests: str) -> str:
+    """What the provider and the network said about each request: tokens, latency, place."""
+    return f"""
+SELECT request_id, CAST(40 + request_id % 211 AS INT) AS tokens_in,
+  CASE WHEN request_id % 23 = 0 THEN CAST(NULL AS INT) ELSE CAST(10 + request_id % 97 AS INT) END AS tokens_out,
+  CAST(120 + (request_id * 7919) % 1800 AS INT) AS latency_ms,
+  CASE WHEN request_id % 23 = 0 THEN NULL WHEN request_id % 10 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
+  CASE WHEN request_id % 23 <> 0 THEN 'req-' || CAST(request_id AS STRING) END AS provider_request_id,
+  CASE request_id % 4 WHEN 0 THEN 'MAD' WHEN 1 THEN 'CDG' WHEN 2 THEN 'FRA' ELSE NULL END AS cf_node,
+  CASE request_id % 3 WHEN 0 THEN 'ES' WHEN 1 THEN 'FR' ELSE NULL END AS request_country,
+  CASE request_id % 3 WHEN 0 THEN 'Madrid' WHEN 1 THEN 'Lyon' ELSE NULL END AS request_city
+FROM {requests}
+"""
+
+
+def with_provider_reply(spark: SparkSession, reqs: DataFrame) -> DataFrame:
+    """``reqs`` + the reply columns, computed in-row."""
+    v = _view(reqs, "reqs_reply")
+    return spark.sql("SELECT *," + provider_reply_sql(v).strip()[len("SELECT request_id,"):])
+
+
 NER_MODELS = [("ner-large", 29, 300, 1200), ("ner-small", 7, 150, 600)]  # (model, error every n, latency base, span)
 
 

@@ -76,8 +76,10 @@ SELECT conv_id, turn, role, coalesce(text, '')
 FROM conversations"""
 
 
-def sequential_mask_sql(source: str, key: str = "case_id", text: str = "text") -> str:
-    """DuckDB replay of the sequential masking: ``key, vals list<struct<type, value>>``.
+def sequential_mask_sql(source: str, key: str = "case_id", text: str = "text", numbered: bool = False) -> str:
+    """DuckDB replay of the sequential masking: ``key, vals list<struct<type, value>>, t`` (the masked text).
+
+    In ``t`` every token has number 0, or with ``numbered`` its number by place.
 
     Each pattern extracts from, then replaces in, the text left by the
     previous ones (token placeholders keep later patterns' context).
@@ -123,4 +125,10 @@ def sequential_mask_sql(source: str, key: str = "case_id", text: str = "text") -
         else:
             rx = re2_form(p.family, p.idx).pattern
             add(f"regexp_replace(t, {q(rx)}, {tok}, 'g')", tag(rx))
-    return "WITH " + ",\n".join(stages) + f"\nSELECT {key}, vals FROM s{i}"
+    for typ in dict.fromkeys(p.type for p in catalogue() if numbered):
+        i += 1
+        parts = f"string_split(t, '[{typ}_0]')"
+        stages.append(f"s{i} AS MATERIALIZED (SELECT {key}, CASE WHEN contains(t, '[{typ}_0]') THEN array_to_string(list_transform("
+                      f"{parts}, lambda x, i: CASE WHEN i = 1 THEN x ELSE '[{typ}_' || CAST(i - 1 AS VARCHAR) || ']' || x END), '') "
+                      f"ELSE t END AS t, vals FROM s{i - 1})")
+    return "WITH " + ",\n".join(stages) + f"\nSELECT {key}, vals, t FROM s{i}"
