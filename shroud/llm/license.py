@@ -1,16 +1,20 @@
 """License scans by patience alignment (operator 9).
 
-For every template, stretches of a text that may hold it are found exactly: a match
-covers ``COVERAGE`` of the template's words within ``2 * len(template)`` words of the
-text, so such a stretch has that many words of the template's vocabulary. Stretch and
-template are then aligned: words unique to both are anchors, their longest increasing
-subsequence is kept, and the gaps between anchors are aligned in the same way; a gap
-without unique common words is aligned by its longest common subsequence (gaps are
-bounded by the stretch). Words are compared lower-cased, without punctuation.
+For every template, the stretches of a text that hold it are found exactly: a stretch
+has fewer than ``2 * len(template)`` words and, in the template's order, ``COVERAGE`` of
+its words. It has that many words of the template's vocabulary, and each at most as
+often as the template; windows that pass both counts are measured one by one, from
+every word that may begin a stretch (longest common subsequence, by bits). The best
+stretch, cut to the words it needs, is aligned with the template: words unique to both
+are anchors, their longest increasing subsequence is kept, and the gaps between anchors
+are aligned in the same way; a gap without unique common words is aligned by its
+longest common subsequence, and so is the whole stretch if anchors cost words. Words
+are compared lower-cased, without punctuation.
 
 Defined results: null, empty and wordless texts match nothing; every template that a
-text holds gives one row, with the best of its stretches (ties: the first) and their
-number; rows that share a doc_id are scanned one by one.
+text holds gives one row, with the best of its stretches (ties: the first, as narrow as
+it can be) and how many it has that don't overlap; rows that share a doc_id are scanned
+one by one.
 """
 
 from __future__ import annotations
@@ -130,6 +134,39 @@ def stretches(at: list[int], length: int, need: int) -> list[tuple[int, int]]:
     return out
 
 
+def windows(run: list[tuple[int, str]], template: list[str], need: int):
+    """(start, reach, matched, end) of the windows of ``2 * len(template)`` words that hold ``need`` of the template in order.
+
+    ``run``: hits (word position, word). All but ``matched`` are indices into it: a
+    window begins at ``start``, has ``need`` words at ``reach`` and all it can have at ``end``.
+    """
+    length = len(template)
+    places: dict[str, int] = {}
+    for i, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << i
+    limit = {w: m.bit_count() for w, m in places.items()}
+    full, held, inside, stop = (1 << length) - 1, dict.fromkeys(places, 0), 0, 0
+    for start, (low, first) in enumerate(run):
+        while stop < len(run) and run[stop][0] < low + 2 * length:
+            w = run[stop][1]
+            held[w] += 1
+            inside += held[w] <= limit[w]
+            stop += 1
+        if inside >= need:
+            row, matched, reach, end = full, 0, -1, -1
+            for k in range(start, stop):
+                used = row & places[run[k][1]]
+                row = ((row + used) | (row - used)) & full
+                if (now := length - row.bit_count()) > matched:
+                    matched, end = now, k
+                    if now == need:
+                        reach = k
+            if matched >= need:
+                yield start, reach, matched, end
+        inside -= held[first] <= limit[first]
+        held[first] -= 1
+
+
 def matches(text_words: list[str], templates: dict[str, list[str]], coverage: float = COVERAGE):
     """(name, coverage, matched, first word, last word, stretches) of the templates found."""
     vocabulary = {w for t in templates.values() for w in t}
@@ -140,29 +177,28 @@ def matches(text_words: list[str], templates: dict[str, list[str]], coverage: fl
         need = -(-int(round(coverage * 1000)) * len(template) // 1000)
         best, count = None, 0
         for a, b in stretches([i for i, _ in mine], len(template), need):
-            for part in pieces(mine[a:b], len(template)):
+            run = mine[a:b]
+            found = list(windows(run, template, need))
+            free = 0                                         # disjoint stretches: always the one that ends first
+            for start, reach, _, _ in sorted(found, key=lambda f: f[1]):
+                if start >= free:
+                    count, free = count + 1, reach + 1
+            top, upto = None, -1                             # of the first best window and those that overlap it the narrowest
+            for start, _, matched, end in found:
+                if top is None or matched > top[1] or (matched == top[1] and start <= upto and run[end][0] - run[start][0] < run[top[2]][0] - run[top[0]][0]):
+                    if top is None or matched > top[1]:
+                        upto = end
+                    top = (start, matched, end)
+            if top and (best is None or top[1] > best[0]):
+                part = run[top[0]:top[2] + 1]
                 pairs = align([w for _, w in part], template)
-                if len(pairs) >= need and part[pairs[-1][0]][0] - part[pairs[0][0]][0] < 2 * len(template):
-                    count += 1
-                    if best is None or len(pairs) > best[0]:
-                        best = (len(pairs), part[pairs[0][0]][0], part[pairs[-1][0]][0])
+                if len(pairs) < top[1]:
+                    pairs = common([w for _, w in part], template)
+                best = (len(pairs), part[pairs[0][0]][0], part[pairs[-1][0]][0])
         if best:
             yield name, best[0] / len(template), *best, count
 
 
-def pieces(run: list[tuple[int, str]], length: int) -> list[list[tuple[int, str]]]:
-    """A long stretch in half-overlapping windows of four template lengths; a short one whole."""
-    if run[-1][0] - run[0][0] < 4 * length:
-        return [run]
-    out, low = [], run[0][0]
-    while low <= run[-1][0]:
-        part = [h for h in run if low <= h[0] < low + 4 * length]
-        if part:
-            out.append(part)
-        low += 2 * length
-    return out
-
-
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row per document and template it holds: doc_id, license, coverage, matched, first_word, last_word, stretches."""
     known = {name: words_of(t) for name, t in (templates or TEMPLATES).items()}

@@ -168,6 +168,40 @@ def test_licenses(spark, docs, nothing):
     assert license.align("p p q".split(), "p q p".split()) in ([(0, 0), (2, 1)], [(1, 0), (2, 1)])
 
 
+def test_license_stretches_are_exact():
+    """Against brute force over all windows; words of the templates also stand before the notices."""
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            out = [0]
+            for j, y in enumerate(b):
+                out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+            row = out
+        return row[-1]
+
+    known = {k: license.words_of(license.TEMPLATES[k]) for k in ("GPL-3.0-short", "MIT-short", "CC-BY-NC-4.0-short", "GPL-3.0")}
+    for name, gap in (("GPL-3.0-short", 14), ("GPL-3.0", 50)):
+        words = ["this", *(f"f{i}" for i in range(gap)), *known[name], "end"]
+        assert (name, 1.0, len(known[name]), gap + 1, gap + len(known[name]), 1) in list(license.matches(words, known))
+    r, found = np.random.default_rng(4), 0
+    for _ in range(300):
+        name = str(r.choice(list(known)[:3]))
+        t = known[name]
+        loose = lambda n: [str(r.choice(t)) if r.random() < 0.4 else "f" for _ in range(n)]
+        words = loose(int(r.integers(30)))
+        for _ in range(int(r.integers(1, 3))):
+            words += [w for w in t if r.random() < 0.9 for w in ([w] if r.random() < 0.8 else ["f", w])] + loose(int(r.integers(12)))
+        got = {m[0]: m for m in license.matches(words, known)}
+        for k in list(known)[:3]:
+            best = max(longest(words[i:i + 2 * len(known[k])], known[k]) for i in range(len(words)))
+            assert (k in got) == (best >= math.ceil(0.8 * len(known[k])))
+            if k in got:
+                _, _, n, first, last, _ = got[k]
+                assert n == best == longest(words[first:last + 1], known[k]) and last - first < 2 * len(known[k])
+                found += 1
+    assert found > 100
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline as C
 
