@@ -15,8 +15,10 @@ Equal sets are one node from the start. Signatures that only one block of docume
 has are dropped by a compact key exchange (see ``exchange``). Candidates of a signature
 are compared with one of them first (a star, not all pairs); what links is joined to
 components. Pairs that share a signature and still are in different components are
-compared at the end; where a signature has many such sets (a subset that is only a
-common passage), they must also share one of a second, independent enumeration.
+compared at the end. Where a signature has many such sets (a subset that is only a
+common passage), they are compared if they share one of their rarest features, each in
+few of those sets; a pair that shares none must be similar by its frequent features
+alone, and sets with enough of them are compared block against block.
 A pair's parity bitmaps (two to four bits per feature) give a lower bound of its
 difference, so whole sets travel only for pairs that may be similar. Every comparison
 is exact on 64-bit shingle hashes.
@@ -47,7 +49,7 @@ PERCENT = 80
 BAND = 1.25
 CELLS = 4
 SPARE = 0.25        # further parts beyond those that the differences need
-CROWD = 4096          # a signature with more sets in different components is split by the second enumeration
+CROWD = 4096          # a signature with more sets in different components is compared by rare features and in blocks
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE):
@@ -104,12 +106,12 @@ def places(n1: int, seed: int) -> np.ndarray:
     return mix(np.arange(n1 * CELLS, dtype=U) + U(seed)).reshape(n1, CELLS)
 
 
-def signatures(sets: list[np.ndarray], turn: int = 0):
+def signatures(sets: list[np.ndarray]):
     """By band the signatures of the sets in it and of those that may have a larger partner in it.
 
     Yields (members, sig, sent, least): the sets' numbers; an array of sets x parts x
     subsets; which of them are sent; in how many parts a similar set shares one that
-    is sent at least. ``turn`` picks an independent enumeration.
+    is sent at least.
     """
     flat, at = joined(sets)
     n = np.diff(at)
@@ -121,7 +123,7 @@ def signatures(sets: list[np.ndarray], turn: int = 0):
         if not k:
             continue                                         # only equal sets are similar enough
         members = np.flatnonzero((own == band) | ((own + 1 == band) & upper))
-        seed = mix(np.array([band + 1 + (turn << 32)], U))
+        seed = mix(np.array([band + 1], U))
         v = mix(flat[ragged(at[:-1][members], n[members])] ^ seed)
         size = n1 * CELLS
         cell = np.repeat(np.arange(len(members)) * size, n[members]) + (((v >> U(32)) * U(size)) >> U(32)).astype(np.int64)
@@ -278,16 +280,45 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return _sides(pairs.select("a", "b"), sets, "shingles").mapInArrow(run, "a long, b long")
 
 
-def second_signatures(sets: DataFrame) -> DataFrame:
-    """(node, second): signatures of an independent enumeration."""
+def rare_features(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(feature, node) of the sets' rarest features, each in ``CROWD`` sets at most; (node, frequent): how many others a set has.
+
+    Similar sets share one of their ``n - least common + 1`` rarest features each. If
+    either has so many rare ones, that is a rare one; else both send all they have.
+    """
 
     def run(batches):
         for batch in batches:
-            found = list(signatures([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("shingles")], 1))
-            sigs, owner = _flat(found, [sent for _, _, sent, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy()[owner], pa.int64()), pa.array(sigs.view(np.int64))], ["node", "second"])
+            found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
+            owner = np.repeat(batch.column("node").to_numpy(), [len(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), pa.array(owner, pa.int64())], ["feature", "node"])
+
+    every = sets.select("node", "shingles").mapInArrow(run, "feature long, node long")
+    rare = every.groupBy("feature").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") <= CROWD)
+    held = stored(every.join(rare, "feature").join(sets.select("node", "n"), "node"), "rare")
+    order = Window.partitionBy("node").orderBy("times", "feature")
+    sent = held.withColumn("at", F.row_number().over(order)).where(f"times > 1 AND at <= n - ceil({percent} * n / 100) + 1").select("feature", "node")
+    per = held.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    return sent, sets.join(per, "node", "left").select("node", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent"))
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, second long")
+
+def blocked(crowd: DataFrame, ids: DataFrame, frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(sig, second, node, component): crowded sets that may be similar by frequent features alone, by size, two blocks at a time.
+
+    The sets of such a pair have ``percent`` of each one's size as frequent features, and
+    one of them (dense) so many that a partner of its own size needs no others.
+    """
+    rows = crowd.join(frequent, "node").where(f"100 * frequent >= {percent} * n").join(ids, "node", "left")
+    rows = rows.select("node", F.coalesce("component", "node").alias("component"), F.expr(f"{100 + percent} * frequent >= {2 * percent} * n").alias("dense"), F.floor(F.log("n") / math.log(100 / percent)).alias("size"))
+    rows = stored(rows.withColumn("sig", F.explode(F.array("size", F.col("size") + 1))).drop("size"), "frequent")
+    kept, dense = F.count(F.lit(1)), F.count_if("dense")
+    blocks = lambda n: F.ceil(2 * n / CROWD).alias
+    spans = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks(kept)("wide"), blocks(dense)("high")).where("lo <> hi AND high > 0")
+    rows = rows.join(spans.drop("lo", "hi"), "sig")
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(29)), F.col(n))
+    every = rows.withColumn("x", place("wide")).withColumn("y", F.explode(F.expr("sequence(0L, high - 1L)")))
+    sides = rows.where("dense").withColumn("x", F.explode(F.expr("sequence(0L, wide - 1L)"))).withColumn("y", place("high"))
+    return every.unionByName(sides).select("sig", F.expr("-2L - (y * wide + x)").alias("second"), "node", "component").distinct()
 
 
 def linked(found: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -322,19 +353,22 @@ def linked(found: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFr
     live = stored(labelled(label), "live")
     few = live.where(F.col("members") <= CROWD).select("sig", F.lit(0).cast("long").alias("second"), "node", "component")
     many = live.where(F.col("members") > CROWD)
-    crowd = second_signatures(found.join(many.select("node").distinct(), "node", "left_semi"))
-    split = many.join(crowd, "node").select("sig", "second", "node", "component")
-    spans = split.groupBy("sig", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig", "second")
-    rest = within(few.unionByName(split.join(spans, ["sig", "second"])), found, percent).distinct()
+    crowd = stored(found.join(many.select("node").distinct(), "node", "left_semi").select("node", "n", "shingles"), "crowd")
+    sent, frequent = rare_features(crowd, percent)
+    ids = label.select("node", "component")
+    sent = sent.join(ids, "node", "left").select(F.col("feature").alias("sig"), F.lit(-1).cast("long").alias("second"), "node", F.coalesce("component", "node").alias("component"))
+    spans = sent.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    parts = few.unionByName(sent.join(spans, "sig")).unionByName(blocked(crowd.select("node", "n"), ids, frequent, percent))
+    rest = within(parts, found, percent).distinct()
     return relabel(label, stored(verified(rest, found, percent), "links"))
 
 
 def within(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of a signature's sets in different components that sizes and bitmaps don't rule out.
 
-    ``members``: sig, second, node, component; a signature has up to ``CROWD`` rows, or
-    those that share a second one. Signatures with the same sets are tested once, and
-    pairs in place, not as rows.
+    ``members``: sig, second, node, component; a signature or a rare feature has up to
+    ``CROWD`` rows, two blocks about as many. Signatures with the same sets are tested
+    once, and pairs in place, not as rows.
     """
     lists = members.groupBy("sig", "second").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m")).select("m").distinct()
     each = lists.select(F.xxhash64("m").alias("id"), F.explode("m").alias("m")).select("id", "m.node", "m.component").distinct()

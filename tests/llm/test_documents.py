@@ -66,6 +66,49 @@ def test_similar_sets_share_a_signature():
             assert any(x.any(1).sum() >= least[0] for x, (_, _, least) in zip(shared, both, strict=True))
 
 
+def test_crowded_signatures(spark, monkeypatch):
+    """Thousands of documents of one template, similarities 0.6 to 0.79, with planted pairs, in bounded groups."""
+    r = np.random.default_rng(5)
+    base = [f"base{i}" for i in range(120)]
+    own = lambda k: [f"o{x}" for x in r.integers(0, 1 << 40, k)]
+    texts = [" ".join(base[:60] + own(int(r.integers(13, 27))) + base[60:]) for _ in range(2000)]
+    for i in range(40):                                      # a copy with one own word changed is similar
+        words = texts[i].split()
+        words[62] = "changed"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:60] + own(4) + base[60:]) for _ in range(60)]   # similar by the template alone
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    numbers = {}
+    coded = [{numbers.setdefault(x, len(numbers)) for x in s} for s in sets]
+    shared = [x for x, k in zip(*np.unique(np.concatenate([list(c) for c in coded]), return_counts=True), strict=True) if k > 1]
+    place = {x: i for i, x in enumerate(shared)}
+    held = np.zeros((len(texts), len(shared)), np.float32)
+    for i, c in enumerate(coded):
+        held[i, [place[x] for x in c if x in place]] = 1
+    common, n = held @ held.T, np.array([len(s) for s in sets])
+    for i, j in np.argwhere(np.triu(100 * common >= 80 * (n[:, None] + n - common), 1)):
+        i, j = root(i), root(j)
+        group[max(i, j)] = min(i, j)
+    real, sizes = partenum.within, []
+    monkeypatch.setattr(partenum, "CROWD", 400)
+
+    def spy(members, *rest):
+        sizes.extend(x["count"] for x in members.groupBy("sig", "second").count().collect())
+        return real(members, *rest)
+
+    monkeypatch.setattr(partenum, "within", spy)
+    rows = partenum.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in rows} == {i: root(i) for i in range(len(texts))}
+    assert sizes and max(sizes) <= 600 and len({root(i) for i in range(2000)}) > 1000
+
+
 def test_fingerprints(docs, nothing):
     unique = docs.dropDuplicates(["doc_id"])
     rows = {r.doc_id: r for r in fingerprint.with_edit(unique).collect()}
