@@ -2,7 +2,9 @@
 
 The model is of characters (white space as one blank, numbers as one digit), order 4,
 trained on the trusted documents but every fifth one; those fifths, held out, give
-each language's perplexity quantile. A document over its language's is rejected.
+each language's quantiles of the whole text's perplexity and of that of its worst
+window of ``WINDOW`` characters. A document over either limit is rejected: a few
+strange words, which a long text's mean hides, are in a window of their own.
 
 Counts are summed per block of documents and then by Spark; all tables of the model
 are sharded by n-gram. For scoring, each block sends every distinct n-gram that it has
@@ -36,6 +38,8 @@ QUANTILE = 0.995
 SLACK = 1.05       # a threshold is so many times the quantile: a held-out part is only a sample
 SHRINK = 60        # short texts: so many characters at the language's mean are added
 FEW = 20
+WINDOW = 8
+WINDOW_SLACK = 1.15  # the same for worst windows, whose tail a sample bounds less well
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +139,7 @@ def log_probabilities(asked: DataFrame, tables: dict[int, DataFrame], cut: dict[
 
 
 def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> DataFrame:
-    """(doc_id, lang, n, nll): characters and negative log probability of every document."""
+    """(doc_id, lang, n, nll, worst): characters, negative log probability and worst window's mean of every document (null: too short)."""
     cut = discounts(tables)
 
     def ask(key, table):
@@ -168,24 +172,30 @@ def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> Data
     def score(table, answers):
         docs = X.dealt(table)
         if docs is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64()), "worst": pa.array([], pa.float64())})
         unpack = zstandard.ZstdDecompressor().decompress
         keys = np.concatenate([*(X.unsqueeze(k.as_py()) for k in answers.column("keys") if k.is_valid), np.zeros(0, U)])
         p = np.concatenate([*(np.frombuffer(unpack(k.as_py()), "<f4") for k in answers.column("p") if k.is_valid), np.zeros(0, "<f4")])
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
-        n, nll = [], []
+        n, nll, worst = [], [], []
         for low, (g, doc) in _parts(docs):
             size = int(doc.max()) + 1 if len(doc) else 0
             n.append((low, np.bincount(doc, minlength=size)))
-            nll.append((low, np.bincount(doc, -p[np.searchsorted(keys, g)].astype(np.float64), size)))
-        out = [np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows)]
-        for k, parts in enumerate((n, nll)):
+            each = -p[np.searchsorted(keys, g)].astype(np.float64)
+            nll.append((low, np.bincount(doc, each, size)))
+            sums = np.concatenate((np.zeros(1), np.cumsum(each)))
+            inside = np.flatnonzero(doc[WINDOW - 1:] == doc[:max(0, len(doc) - WINDOW + 1)])
+            most = np.full(size, np.nan)
+            np.fmax.at(most, doc[inside], (sums[inside + WINDOW] - sums[inside]) / WINDOW)
+            worst.append((low, most))
+        out = [np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows), np.full(docs.num_rows, np.nan)]
+        for k, parts in enumerate((n, nll, worst)):
             for low, x in parts:
                 out[k][low:low + len(x)] = x
-        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": pa.array(out[0]), "nll": pa.array(out[1])})
+        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": pa.array(out[0]), "nll": pa.array(out[1]), "worst": pa.array(out[2], from_pandas=True)})
 
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n long, nll double")
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n long, nll double, worst double")
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -193,7 +203,7 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Per row of (doc_id, text, lang): doc_id, lang, n_chars, perplexity, limit, keep.
+    """Per row of (doc_id, text, lang): doc_id, lang, n_chars, perplexity, limit, worst (window's perplexity), worst_limit, keep.
 
     Trusted are the documents that ``labels`` (doc_id, quality, toxic) calls good and not toxic.
     """
@@ -208,7 +218,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     means = {r["lang"]: (r["nll"] / r["n"], r["k"]) for r in sample.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}  # one row a language
     every = sample.agg(F.sum("nll"), F.sum("n")).first()
     if not every[1]:
-        return scored.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"))
+        return scored.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.exp("worst").alias("worst"), F.lit(None).cast("double").alias("worst_limit"), F.lit(True).alias("keep"))
     usual = every[0] / every[1]
     known = {k: m for k, (m, n) in means.items() if k is not None and n >= FEW}
     spark = docs.sparkSession
@@ -220,9 +230,12 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     rows = spark.createDataFrame([(k, m) for k, m in known.items()], "lang string, _mean double")
     adjusted = lambda df: (j := df.join(F.broadcast(rows), "lang", "left")).withColumn("_x", judged(j, j))  # noqa: E731  one row a language
     over = adjusted(sample)
-    limits = {r["lang"]: r["q"] for r in over.where("_mean IS NOT NULL").groupBy("lang").agg(F.percentile_approx("_x", quantile, 10_000).alias("q")).collect()}
-    pooled = over.agg(F.percentile_approx("_x", quantile, 10_000)).first()[0]
-    table = spark.createDataFrame(list(limits.items()), "lang string, _q double")
+    quantiles = [F.percentile_approx(c, quantile, 10_000).alias(q) for c, q in (("_x", "_q"), ("worst", "_w"))]
+    limits = over.where("_mean IS NOT NULL").groupBy("lang").agg(*quantiles).collect()
+    pooled = over.agg(*quantiles).first()
+    table = spark.createDataFrame([tuple(r) for r in limits], "lang string, _q double, _w double")
     out = adjusted(scored).join(F.broadcast(table), "lang", "left")
-    limit = F.coalesce("_q", F.lit(pooled)) * SLACK
-    return out.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(limit).alias("limit"), (F.col("_x") <= limit).alias("keep"))
+    limit = F.coalesce("_q", F.lit(pooled["_q"])) * SLACK
+    worst = F.coalesce("_w", F.lit(pooled["_w"]).cast("double")) * WINDOW_SLACK
+    return out.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(limit).alias("limit"),
+                      F.exp("worst").alias("worst"), F.exp(worst).alias("worst_limit"), ((F.col("_x") <= limit) & F.coalesce(F.col("worst") <= worst, F.lit(True))).alias("keep"))

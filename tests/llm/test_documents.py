@@ -194,6 +194,20 @@ def test_kneser_ney(spark, docs, nothing):
     assert all(x.keep for x in kneser.judge(df, labels.where("quality = 0")).collect())
 
 
+def test_kneser_ney_finds_a_strange_word(spark):
+    """A long text with one word unlike all others is rejected, though its mean is usual."""
+    r = np.random.default_rng(6)
+    prose = lambda: " ".join("".join(r.choice(["an", "the", "on", "re", "sh"], int(r.integers(1, 4)))) for _ in range(200))
+    rows = [(i, prose(), "en") for i in range(300)]
+    rows += [(900 + i, f"{t[:400]} stupid scum {t[400:]}", "en") for i, t in enumerate(prose() for _ in range(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)] + [(900 + i, 1, 1) for i in range(5)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in kneser.judge(df, labels).collect()}
+    assert not any(got[900 + i].keep for i in range(5)) and all(got[900 + i].worst > got[900 + i].worst_limit for i in range(5))
+    assert all(got[900 + i].perplexity < got[900 + i].limit for i in range(5))
+    assert sum(got[i].keep for i in range(300)) >= 297
+
+
 def test_licenses(spark, docs, nothing):
     filler = " ".join(f"f{i}" for i in range(300))
     mit = license.TEMPLATES["MIT"]
