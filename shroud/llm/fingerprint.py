@@ -145,6 +145,9 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             copies = [c for c in copies if c[0] != heads[1][0]]
     ghosts = spark.createDataFrame([(a, b) for a, b in copies], "_to int, _id long")
     copy = placed.join(F.broadcast(ghosts), F.col("doc_id") == F.col("_id")).withColumn("_range", F.col("_to")).drop("_to", "_id").withColumn("_copy", F.lit(True))
+    if heads and heads[0][1] is None:                        # after the smallest doc_id the first row without one
+        to = heads[min(1, len(heads) - 1)][0]
+        copy = copy.unionByName(placed.where("doc_id IS NULL").orderBy("text").limit(1).withColumn("_range", F.lit(to)).withColumn("_copy", F.lit(True)))
     every = placed.withColumn("_copy", F.lit(False)).unionByName(copy)
     order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), "text")
     return (every.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketches", F.lead("sketches").over(order))

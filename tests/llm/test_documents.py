@@ -126,6 +126,14 @@ def test_fingerprints(docs, nothing):
     assert fingerprint.with_edit(unique.where("doc_id = 9")).collect()[0].near_next == 1
 
 
+def test_next_document_without_doc_id(spark):
+    rows = [(3, "c", [1]), (2, "b", [1]), (None, "y", [1]), (None, "x", [1])]
+    schema = "doc_id long, text string, sketches array<long>"
+    some, alone = (fingerprint.with_next(spark.createDataFrame(r, schema)).collect() for r in (rows, rows[2:]))
+    assert {r.text: r.next_text for r in some} == {"c": "b", "b": "x", "x": "y", "y": "c"}
+    assert {r.text: r.next_text for r in alone} == {"x": "y", "y": "x"}
+
+
 def test_fingerprints_feel_order(spark):
     from pyspark.sql import functions as F
 
