@@ -64,21 +64,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make ``shroud`` importable on executors, wherever the driver was started (zip once, ``addPyFile``)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_shroud_shipped", False):
-        return
+def package_archive(folder: str) -> str:
+    """A zip of the package in ``folder``, which Python can import from."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.realpath(tempfile.mkdtemp(prefix="shroud-pkg-"))
-    archive = os.path.join(base, "shroud.zip")
+    archive = os.path.join(folder, "shroud.zip")
     with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "shroud")):
+        for at, _, names in os.walk(os.path.join(root, "shroud")):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(at, name)
                     z.write(path, os.path.relpath(path, root))
-    sc.addPyFile(archive)
+    return archive
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shroud`` importable on executors, wherever the driver was started (zip once, ``addPyFile``)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shroud_shipped", False):
+        return
+    sc.addPyFile(package_archive(os.path.realpath(tempfile.mkdtemp(prefix="shroud-pkg-"))))
     sc._shroud_shipped = True
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from shroud.functions import kernel as K
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from shroud.sources.tables import table
 from shroud.operators import corpus, evaluate
 
