@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline, with SQL where it can say the same."""
+"""Registered queries of the operators and the pipeline, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, fingerprint, kneser, langid, license, packing, partenum, substring, topk, warc
+from shroud.llm import bpe, fingerprint, kneser, langid, license, packing, partenum, pieces, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -131,3 +131,13 @@ def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every document, by alignment with the known templates."""
     return license.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register()
+def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text with the end id, and the text decoded from them."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, path).drop("text"), path)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
