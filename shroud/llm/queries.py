@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, fingerprint, kneser, langid, license, packing, partenum, pieces, substring, topk, warc
+from shroud.llm import bpe, fingerprint, kneser, langid, license, merkle, packing, partenum, pieces, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -141,3 +141,45 @@ def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame
     coded = pieces.decode(pieces.encode(docs, path).drop("text"), path)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def _op12_sql(levels: int = 6, source_levels: int = 3) -> str:
+    """Level by level: enough for 16 ** levels rows a source and 16 ** source_levels sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+    parts = [f"""d AS (SELECT doc_id, source, sha256({head} || {field("text")}) AS h, CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field(lower)}) END AS bad FROM documents),
+         l0 AS (SELECT source, doc_id, bad, h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d)"""]
+    run = """coalesce(string_agg(h, '') OVER (PARTITION BY {k}i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+             coalesce(string_agg(h, '') OVER (PARTITION BY {k}i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after"""
+
+    def tree(name: str, key: str, n: int) -> None:
+        for k in range(n):
+            by = f"{key}, " if key else ""
+            parts.append(f"{name}w{k} AS (SELECT *, {run.format(k=by)} FROM {name}{k} WHERE n > 1)")
+            over = f"PARTITION BY {key}" if key else ""
+            parts.append(f"""{name}{k + 1} AS (SELECT *, count(*) OVER ({over}) AS n FROM
+                (SELECT {by}i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE n > 1 GROUP BY {by}i // 16))""")
+
+    tree("l", "source", levels)
+    parts.append("s AS (" + " UNION ALL ".join(f"SELECT source, h FROM l{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    parts.append("t0 AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM s)")
+    tree("t", "", source_levels)
+    parts.append("r AS (" + " UNION ALL ".join(f"SELECT h FROM t{k} WHERE n = 1" for k in range(source_levels + 1)) + ")")
+    parts.append("f0 AS (SELECT doc_id, source, h AS leaf, coalesce(bad, h) AS f, i, '' AS proof FROM l0)")
+    step = "CASE WHEN w.i IS NULL THEN p.f ELSE sha256(w.before || p.f || w.after) END AS f, p.i // 16 AS i, p.proof || coalesce(w.before || w.after, '') AS proof"
+    for k in range(levels):
+        parts.append(f"f{k + 1} AS (SELECT p.doc_id, p.source, p.leaf, {step} FROM f{k} p LEFT JOIN lw{k} w ON w.source IS NOT DISTINCT FROM p.source AND w.i = p.i)")
+    parts.append(f"g0 AS (SELECT p.doc_id, p.leaf, t0.h AS subroot, p.f, t0.i, p.proof FROM f{levels} p JOIN t0 ON t0.source IS NOT DISTINCT FROM p.source)")
+    for k in range(source_levels):
+        parts.append(f"g{k + 1} AS (SELECT p.doc_id, p.leaf, p.subroot, {step} FROM g{k} p LEFT JOIN tw{k} w ON w.i = p.i)")
+    return "WITH " + ",\n".join(parts) + f" SELECT g.doc_id, g.leaf, g.subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.f AS folded_root, g.f = r.h AS verified FROM g{source_levels} g, r"
+
+
+@register(_op12_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, proof and check of every document in a Merkle tree per source and over the sources."""
+    out = merkle.manifest(table(spark, sf_dir, "documents", *merkle.FIELDS))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
