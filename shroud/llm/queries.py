@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bpe, fingerprint, kneser, langid, license, merkle, packing, partenum, pieces, substring, topk, warc
+from shroud.llm import bpe, collocations, fingerprint, kneser, langid, license, merkle, packing, partenum, pieces, substring, topk, warc
 from shroud.llm.storage import shared_path, small_batches, stored
 from shroud.sources.tables import table
 
@@ -183,3 +183,26 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest, proof and check of every document in a Merkle tree per source and over the sources."""
     out = merkle.manifest(table(spark, sf_dir, "documents", *merkle.FIELDS))
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+     q AS (SELECT lang, w FROM p WHERE len(w) > 0),
+     t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM q GROUP BY lang),
+     g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM q, unnest([1, 2, 3]) AS s(k), unnest(generate_series(1, len(w) - k + 1)) AS u(i)),
+     f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY lang, k, phrase),
+     c AS (SELECT lang, k, phrase, w, f AS a FROM f WHERE k > 1 AND f >= 10),
+     x AS (SELECT c.*, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM c, unnest(generate_series(1, k - 1)) AS u(cut)
+           JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+     b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+     i AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE k = 3) GROUP BY lang, phrase),
+     y AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE i.a IS NULL OR 100 * i.a < 50 * b.a),
+     z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+SELECT z.lang, z.rank, z.phrase, z.a, z.l, z.r, t.n, CAST(z.score AS BIGINT) AS score FROM z JOIN t USING (lang) WHERE z.rank <= 2000"""
+
+
+@register(OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of two and three words that occur together most, by language."""
+    return collocations.mine(table(spark, sf_dir, "documents", "text", "lang"))
