@@ -50,7 +50,7 @@ def test_tiles_add_up():
     assert (np.diff(keys.astype(object)) > 0).all()
     x, y = C.split_key(keys)
     assert dict(zip(zip(x.tolist(), y.tolist(), strict=True), sums.tolist(), strict=True)) == want
-    n = r.integers(1, 1 << 55, len(a))
+    n = r.integers(1, 1 << 48, len(a))
     keys, sums = C.tiled(a, b, n)
     total = Counter()
     for p, q, w in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
