@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm.kernel import U
+from shroud.llm.memory import lean
 
 BLOCK_BYTES = 8 << 20
 SHARD_KEYS = 2 << 20
@@ -27,11 +28,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sizes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+def sizes(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
     """Numbers of blocks and shards for the documents: both grow with the bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     p = partitions(docs)
-    return max(2 * p, math.ceil(total / BLOCK_BYTES)), max(p, math.ceil(total / 5 / SHARD_KEYS))
+    return max(2 * p, math.ceil(total / block_bytes)), max(p, math.ceil(total / 5 / SHARD_KEYS))
 
 
 def block_of(doc_id: Column, blocks: int) -> Column:
@@ -138,7 +139,7 @@ def shared(asked: DataFrame) -> DataFrame:
         out = [squeeze(every[by_owner[cuts[i]:cuts[i + 1]]]) for i in some]
         return pa.table({"block": pa.array(blocks[some].astype(np.int32)), "keys": pa.array(out, pa.binary())})
 
-    return asked.groupBy("shard").applyInArrow(run, "block int, keys binary")
+    return asked.groupBy("shard").applyInArrow(lean(run), "block int, keys binary")
 
 
 def answered(table: pa.Table) -> np.ndarray:

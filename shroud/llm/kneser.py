@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from shroud.llm import exchange as X
 from shroud.llm.kernel import U, chunks, mix
+from shroud.llm.memory import lean
 from shroud.llm.storage import stored
 from shroud.llm.wordpieces import NUMBER, SPACE, classes
 
@@ -87,7 +88,7 @@ def trained_counts(placed: DataFrame, trusted: DataFrame, blocks: int) -> DataFr
         keys, n = _merged(found) if found else (np.zeros(0, U), np.zeros(0, np.int64))
         return pa.table({"gram": pa.array(keys.view(np.int64)), "n": pa.array(n)})
 
-    return placed.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return placed.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _suffix(gram: Column, size: int) -> Column:
@@ -151,13 +152,13 @@ def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> Data
         parts = [X.squeeze(k) for k in np.split(keys, first[1:])] if len(keys) else []
         return pa.table({"shard": pa.array(shard[first]), "block": pa.array([key[0].as_py()] * len(first), pa.int32()), "keys": pa.array(parts, pa.binary())})
 
-    asked = placed.groupBy("block").applyInArrow(ask, X.REQUESTS)
+    asked = placed.groupBy("block").applyInArrow(lean(ask), X.REQUESTS)
 
     def distinct(key, table):
         keys = np.unique(np.concatenate([X.unsqueeze(k.as_py()) for k in table.column("keys")]))
         return pa.table({"shard": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "gram": pa.array(keys.view(np.int64))})
 
-    known = log_probabilities(asked.groupBy("shard").applyInArrow(distinct, "shard int, gram long"), tables, cut)
+    known = log_probabilities(asked.groupBy("shard").applyInArrow(lean(distinct), "shard int, gram long"), tables, cut)
 
     def answer(requests, known):
         grams, p = known.column("gram").to_numpy().view(U), known.column("p").to_numpy()
@@ -167,7 +168,7 @@ def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> Data
         values = [pack(p[np.searchsorted(grams, X.unsqueeze(k.as_py()))].tobytes()) for k in requests.column("keys")]
         return pa.table({"block": requests.column("block"), "keys": requests.column("keys"), "p": pa.array(values, pa.binary())})
 
-    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block int, keys binary, p binary")
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lean(answer), "block int, keys binary, p binary")
 
     def score(table, answers):
         docs = X.dealt(table)
@@ -195,7 +196,7 @@ def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> Data
                 out[k][low:low + len(x)] = x
         return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": pa.array(out[0]), "nll": pa.array(out[1]), "worst": pa.array(out[2], from_pandas=True)})
 
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n long, nll double, worst double")
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(score), "doc_id long, lang string, n long, nll double, worst double")
 
 
 def _held_out(doc_id: Column) -> Column:

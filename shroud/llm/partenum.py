@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from shroud.llm import exchange as X
 from shroud.llm.components import components
 from shroud.llm.kernel import LOWER_VALUES, U, Words, chunks, mix, ragged, window_hashes
+from shroud.llm.memory import lean
 from shroud.llm.storage import stored
 
 SHINGLE = 5
@@ -210,7 +211,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
         every, _ = _flat(found, [sent for _, _, sent, _ in found])
         return X.requests((key[0]).as_py(), X.flagged(every, np.ones(len(every), bool)), shards)
 
-    asked = placed.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(ask, X.REQUESTS)
+    asked = placed.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(lean(ask), X.REQUESTS)
     answers = X.shared(asked).select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("h1"), "keys")
 
     def collect(table, info):
@@ -240,7 +241,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
         return pa.table({"node": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int32()), "parity": pa.array(cols[2], pa.binary()), "shingles": pa.array(cols[3], pa.binary()), "sigs": lists})
 
     both = info.unionByName(answers)
-    return placed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(collect, CANDIDATES)
+    return placed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lean(collect), CANDIDATES)
 
 
 def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:

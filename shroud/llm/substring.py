@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from shroud.llm import exchange as X
 from shroud.llm.kernel import BYTE_VALUES, U, Words, chunks
+from shroud.llm.memory import lean
 
 ANCHOR = 7
 WINDOW = 13
+BLOCK_BYTES = 4 << 20                                            # a task holds some ten times that in arrays
 
 
 def _texts(docs: pa.Table):
@@ -62,14 +64,19 @@ def _locally_shared(keys: np.ndarray, owner: np.ndarray, flag: np.ndarray) -> np
     return out
 
 
+def _hit_probes(docs: pa.Table, owner: np.ndarray, hits: np.ndarray, anchor: int) -> np.ndarray:
+    """Of all rolling windows, in order, which are hits."""
+    keys, row, flag = _probe_keys(docs, anchor)
+    keys >>= U(64 - X.KEY_BITS)
+    return X.among(keys, hits) | _locally_shared(keys, owner[row], flag) if len(keys) else np.zeros(0, bool)
+
+
 def _near_hits(docs: pa.Table, hits: np.ndarray, anchor: int, window: int):
     """(two hashes, doc_id) of the windows that hold a hit probe, each once with its smallest doc_id."""
     owner = X.ids(docs.column("doc_id"))
-    keys, row, flag = _probe_keys(docs, anchor)
-    if not len(keys):
+    hit = _hit_probes(docs, owner, hits, anchor)
+    if not len(hit):
         return None
-    keys >>= U(64 - X.KEY_BITS)
-    hit = X.among(keys, hits) | _locally_shared(keys, owner[row], flag)
     found, low_probe = [], 0
     for low, words in _texts(docs):
         _, at_probe = words.windows(anchor)
@@ -110,14 +117,14 @@ def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW)
         raise ValueError("a window must hold a whole reference block wherever it lies")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select(F.col("doc_id").cast("long"), "text", *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")] if others else []))
-    blocks, shards = X.sizes(docs)
+    blocks, shards = X.sizes(docs, block_bytes=BLOCK_BYTES)
     placed = X.deal(docs, blocks)
 
     def ask(key, table):
         keys, _, flag = _probe_keys(X.dealt(table), anchor)
         return X.requests(key[0].as_py(), X.flagged(keys, flag), shards)
 
-    hits = X.shared(placed.groupBy("block").applyInArrow(ask, X.REQUESTS))
+    hits = X.shared(placed.groupBy("block").applyInArrow(lean(ask), X.REQUESTS))
     extended = "shard int, block int, keys binary, checks binary, docs binary"
 
     def extend(key, table, answers):
@@ -135,7 +142,7 @@ def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW)
                          "checks": pa.array([part(two, s).tobytes() for s in some], pa.binary()),
                          "docs": pa.array([shuffled(part(doc, s)) for s in some], pa.binary())})
 
-    near = placed.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(extend, extended)
+    near = placed.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(lean(extend), extended)
 
     def settle(table):
         blocks = table.column("block").to_numpy()
@@ -154,7 +161,7 @@ def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW)
         return pa.table({"block": pa.array(blocks[some].astype(np.int32)), "keys": pa.array([X.squeeze(part(one, i)) for i in some], pa.binary()),
                          "checks": pa.array([part(two, i).tobytes() for i in some], pa.binary())})
 
-    known = near.groupBy("shard").applyInArrow(settle, "block int, keys binary, checks binary")
+    known = near.groupBy("shard").applyInArrow(lean(settle), "block int, keys binary, checks binary")
 
     def cut(table, answers):
         docs = X.dealt(table)
@@ -169,7 +176,7 @@ def remove_repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW)
     spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.StringType(), "removed": spans}
     out = T.StructType([T.StructField("doc_id", T.LongType()), *docs.schema.fields[1:], *(T.StructField(n, t) for n, t in kinds.items())])
-    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(cut, out)
+    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(cut), out)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -188,39 +195,54 @@ def _unplanes(data: bytes) -> np.ndarray:
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
 
 
-def _removed(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+def _gone(docs: pa.Table, answers: pa.Table, parts: list[tuple[int, Words]], window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words that windows start at, part by part, and which of these windows are removed."""
     owner = X.ids(docs.column("doc_id"))
-    parts = list(_texts(docs))
-    every = [(w.windows(window), w.windows(window, salt=99)[0], low) for low, w in parts]
-    one = np.concatenate([w[0] for w, _, _ in every])
-    two = np.concatenate([(t >> U(32)).astype(np.uint32) for _, t, _ in every])
-    doc = np.concatenate([owner[p.doc[w[1]] + low] for (low, p), (w, _, _) in zip(parts, every, strict=True)])
+    at, one, two, doc = [], [], [], []
+    for low, words in parts:
+        h, first = words.windows(window)
+        at.append(first.astype(np.int32))
+        one.append(h)
+        two.append((words.windows(window, salt=99)[0] >> U(32)).astype(np.uint32))
+        doc.append((words.doc[first] + low).astype(np.int32))
+        words.hashes = words.doc = None                          # as large as the rest of the words
+    one, two, doc = np.concatenate(one), np.concatenate(two), owner[np.concatenate(doc)]
     gone = np.zeros(len(one), bool)
-    if len(one):
-        order, first = _groups(one, two)
-        least = np.minimum.reduceat(doc[order], first)
-        gone[order] = doc[order] > np.repeat(least, np.diff(np.append(first, len(order))))
-        valid = [i for i, k in enumerate(answers.column("keys")) if k.is_valid]
-        if valid:
-            keys = np.concatenate([X.unsqueeze(answers.column("keys")[i].as_py()) for i in valid])
-            checks = np.concatenate([np.frombuffer(answers.column("checks")[i].as_py(), np.uint32) for i in valid])
-            order = np.argsort(keys, kind="stable")
-            keys, checks = keys[order], checks[order]
-            at = np.searchsorted(keys, one, "left")
-            rest = np.flatnonzero(X.among(one, keys))
-            step = 0
-            while len(rest):                                 # equal first hashes lie together; more than one is all but impossible
-                k = at[rest] + step
-                rest, k = rest[k < len(keys)], k[k < len(keys)]
-                same = keys[k] == one[rest]
-                rest, k = rest[same], k[same]
-                gone[rest] |= checks[k] == two[rest]
-                step += 1
+    if not len(one):
+        return at, gone
+    order, first = _groups(one, two)
+    late = doc[order]
+    gone[order] = late > np.repeat(np.minimum.reduceat(late, first), np.diff(np.append(first, len(order))))
+    del order, first, late
+    valid = [i for i, k in enumerate(answers.column("keys")) if k.is_valid]
+    if valid:
+        keys = np.concatenate([X.unsqueeze(answers.column("keys")[i].as_py()) for i in valid])
+        checks = np.concatenate([np.frombuffer(answers.column("checks")[i].as_py(), np.uint32) for i in valid])
+        order = np.argsort(keys, kind="stable")
+        keys, checks = keys[order], checks[order]
+        rest = np.flatnonzero(X.among(one, keys))
+        begin = np.searchsorted(keys, one[rest], "left")
+        step = 0
+        while len(rest):                                         # equal first hashes lie together; more than one is all but impossible
+            k = begin + step
+            inside = k < len(keys)
+            rest, begin, k = rest[inside], begin[inside], k[inside]
+            same = keys[k] == one[rest]
+            rest, begin, k = rest[same], begin[same], k[same]
+            gone[rest] |= checks[k] == two[rest]
+            step += 1
+    return at, gone
+
+
+def _removed(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+    parts = list(_texts(docs))
+    places, gone = _gone(docs, answers, parts, window)
     n_words, n_removed, kept, spans, low = [], [], [], [], 0
-    for (_, words), ((_, at), _, _) in zip(parts, every, strict=True):
+    for at in places:
+        words = parts.pop(0)[1]
         mine = at[gone[low:low + len(at)]]
         low += len(at)
-        cover = np.zeros(len(words.hashes) + 1, np.int64)
+        cover = np.zeros(len(words.starts) + 1, np.int64)
         np.add.at(cover, mine, 1)
         np.add.at(cover, mine + window, -1)
         out = np.cumsum(cover)[:-1] > 0
