@@ -173,7 +173,7 @@ def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> Data
     def score(table, answers):
         docs = X.dealt(table)
         if docs is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64()), "worst": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64()), "worst": pa.array([], pa.float64()), "text_hash": pa.array([], pa.int64())})
         unpack = zstandard.ZstdDecompressor().decompress
         keys = np.concatenate([*(X.unsqueeze(k.as_py()) for k in answers.column("keys") if k.is_valid), np.zeros(0, U)])
         p = np.concatenate([*(np.frombuffer(unpack(k.as_py()), "<f4") for k in answers.column("p") if k.is_valid), np.zeros(0, "<f4")])
@@ -194,9 +194,9 @@ def scores(placed: DataFrame, tables: dict[int, DataFrame], shards: int) -> Data
         for k, parts in enumerate((n, nll, worst)):
             for low, x in parts:
                 out[k][low:low + len(x)] = x
-        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": pa.array(out[0]), "nll": pa.array(out[1]), "worst": pa.array(out[2], from_pandas=True)})
+        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": pa.array(out[0]), "nll": pa.array(out[1]), "worst": pa.array(out[2], from_pandas=True), "text_hash": docs.column("text_hash")})
 
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(score), "doc_id long, lang string, n long, nll double, worst double")
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(score), "doc_id long, lang string, n long, nll double, worst double, text_hash long")
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -204,11 +204,12 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Per row of (doc_id, text, lang): doc_id, lang, n_chars, perplexity, limit, worst (window's perplexity), worst_limit, keep.
+    """Per row of (doc_id, text, lang): doc_id, lang, n_chars, perplexity, limit, worst (window's perplexity), worst_limit, keep,
+    text_hash (with doc_id and lang it tells rows of one doc_id apart).
 
     Trusted are the documents that ``labels`` (doc_id, quality, toxic) calls good and not toxic.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", F.xxhash64("text").alias("text_hash"))
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long")).distinct()
     blocks, shards = X.sizes(docs)
     shards = max(X.partitions(docs), shards // 16)
@@ -219,7 +220,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     means = {r["lang"]: (r["nll"] / r["n"], r["k"]) for r in sample.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}  # one row a language
     every = sample.agg(F.sum("nll"), F.sum("n")).first()
     if not every[1]:
-        return scored.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.exp("worst").alias("worst"), F.lit(None).cast("double").alias("worst_limit"), F.lit(True).alias("keep"))
+        return scored.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.exp("worst").alias("worst"), F.lit(None).cast("double").alias("worst_limit"), F.lit(True).alias("keep"), "text_hash")
     usual = every[0] / every[1]
     known = {k: m for k, (m, n) in means.items() if k is not None and n >= FEW}
     spark = docs.sparkSession
@@ -239,4 +240,4 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     limit = F.coalesce("_q", F.lit(pooled["_q"])) * SLACK
     worst = F.coalesce("_w", F.lit(pooled["_w"]).cast("double")) * WINDOW_SLACK
     return out.select("doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(limit).alias("limit"),
-                      F.exp("worst").alias("worst"), F.exp(worst).alias("worst_limit"), ((F.col("_x") <= limit) & F.coalesce(F.col("worst") <= worst, F.lit(True))).alias("keep"))
+                      F.exp("worst").alias("worst"), F.exp(worst).alias("worst_limit"), ((F.col("_x") <= limit) & F.coalesce(F.col("worst") <= worst, F.lit(True))).alias("keep"), "text_hash")
