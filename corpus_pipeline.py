@@ -30,18 +30,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit (rows without a doc_id stay)."""
+    """Documents whose perplexity is within their language's limit; rows that share a doc_id are judged one by one."""
     small_batches(spark)
     judged = kneser.judge(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
-    return docs.join(judged.where("NOT keep").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    bad = judged.where("NOT keep").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets the one with the smallest doc_id, once."""
+    """Of documents linked by similar shingle sets the one with the smallest doc_id, and of rows with one doc_id and text any one."""
     small_batches(spark)
     groups = partenum.similar_components(docs.select("doc_id", "text"))
     dropped = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.groupBy("doc_id", F.sha2("text", 256)).count()   # no text is shuffled to find repeated rows
+    again = stored(rows.where("count > 1").select(F.col("doc_id").alias("_id")).distinct(), "repeated-rows")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
