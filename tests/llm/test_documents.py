@@ -292,5 +292,22 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert C.STAGES[-1][1](spark, now, str(tmp_path)).count() >= now.count()
 
 
+def test_pipeline_rows(spark, tmp_path):
+    """Rows of one doc_id, and rows without one, are decided one by one."""
+    import corpus_pipeline as C
+
+    r = np.random.default_rng(6)
+    prose = lambda: " ".join("".join(r.choice(["an", "the", "on", "re", "sh"], int(r.integers(1, 4)))) for _ in range(80))
+    good = [(i, prose(), "en") for i in range(200)]
+    twin, junk = prose(), "zq#x%% " * 60
+    rows = [*good, (500, twin, "en"), (500, twin, "en"), (500, junk, "en"), (None, prose(), "en"), (None, junk, "en"), (501, None, None), (501, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = C.quality(spark, docs, str(tmp_path)).collect()
+    assert not any(x.text == junk for x in kept) and sum(x.doc_id == 500 for x in kept) == 2 and sum(x.doc_id is None for x in kept) == 1
+    once = C.near_copies(spark, spark.createDataFrame(kept, docs.schema), str(tmp_path)).collect()
+    assert sum(x.doc_id == 500 for x in once) == 1 and sum(x.doc_id == 501 for x in once) == 1 and sum(x.doc_id is None for x in once) == 1
+
+
 def test_digest_columns():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
