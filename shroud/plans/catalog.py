@@ -17,6 +17,7 @@ from shroud.functions.windows import spread
 from shroud.session import ensure_checkpoint_dir, materialize
 from shroud.operators import corpus, detect
 from shroud.plans import oracle as O
+from shroud.sources import logs as LG
 from shroud.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -203,10 +204,8 @@ def g17_compliance_events(spark, sf):
 @register("a7_latest_logs")
 def a7_latest_logs(spark, sf):
     """Newest N = min(limit or 100, 500) log rows, total order (ts desc, request_id desc)."""
-    logs = PO.log_rows(decided(spark, sf))
-    return (logs.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(min(100, 500))
-            .select("request_id", "ts", "user_id", "status_code",
-                    F.array_join("pii_types", ",").alias("pii_types")))
+    newest = LG.latest_logs(PO.log_rows(decided(spark, sf)))
+    return newest.select("request_id", "ts", "user_id", "status_code", F.array_join("pii_types", ",").alias("pii_types"))
 
 
 # ------------------------------------------------------------------ D: masking

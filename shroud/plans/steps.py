@@ -200,18 +200,23 @@ def a5_log_round_trip(spark, sf):
     return spark.read.parquet(path).withColumn("pii_types", F.array_join("pii_types", ","))
 
 
-@register("a6_live_dev_log", C._e5_sql(f"""
+_A6_RESPONSE = """'{"id":"r-' || CAST(request_id AS VARCHAR) || '","choices":[{"message":{"content":"[EMAIL_1]"}}]}'"""
+
+
+@register("a6_live_dev_log", f"""
+WITH d AS ({C._e5_sql(f"SELECT l.*, rq.text FROM ({C._E12_FINAL}) l JOIN rq USING (request_id)")}),
+     p AS (SELECT request_id, t AS prompt FROM ({O.sequential_mask_sql("SELECT request_id, text FROM d", key="request_id", numbered=True)}))
 SELECT request_id, 'devlog:' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(date_part('milliseconds', ts) % 1000 AS VARCHAR), 3, '0')
-  || 'Z:' || coalesce(api_key_id, 'unknown') AS log_key, text AS prompt
-FROM (SELECT l.*, rq.text FROM ({C._E12_FINAL}) l JOIN rq USING (request_id))
-WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS"""))
+  || 'Z:' || coalesce(api_key_id, 'unknown') AS log_key, prompt, {_A6_RESPONSE} AS response
+FROM d JOIN p USING (request_id)
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS""")
 def a6_live_dev_log(spark, sf):
-    """The development log with its prompts, as it stands at the time of the last event: what is older than seven days is gone."""
+    """The development log with its masked prompts and the responses, as it stands at the time of the last event: what is older than seven days is gone."""
     path = scratch(spark, "dev-log")
-    prompts = C.requests(spark, sf).select("request_id", F.col("text").alias("prompt"))
-    LG.write_dev_log(PO.log_rows(C.decided(spark, sf)), prompts, path)
+    exchanges = C.requests(spark, sf).select("request_id", "text", F.expr(_A6_RESPONSE.replace("VARCHAR", "STRING")).alias("response"))
+    LG.write_dev_log(PO.log_rows(C.decided(spark, sf)), exchanges, path)
     as_of = table(spark, sf, "events", "ts").agg(F.max("ts").alias("t")).collect()[0]["t"]
-    return LG.live_dev_log(spark.read.parquet(path), F.lit(as_of)).select("request_id", "log_key", "prompt")
+    return LG.live_dev_log(spark.read.parquet(path), F.lit(as_of)).select("request_id", "log_key", "prompt", "response")
 
 
 @register("a9_report_round_trip", """

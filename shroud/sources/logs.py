@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shroud.operators import mask as MK
+
 DEV_LOG_TTL_DAYS = 7   # fixed value: dev-log expiry
 
 
@@ -13,9 +15,14 @@ def write_request_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("log_date").parquet(path)
 
 
-def write_dev_log(rows: DataFrame, prompts: DataFrame, path: str, key: str = "request_id") -> None:
-    """Audit row + anonymized prompt + raw response, keyed sortable by time."""
-    dev = rows.join(prompts, key, "left").withColumn(
+def write_dev_log(rows: DataFrame, exchanges: DataFrame, path: str, key: str = "request_id") -> None:
+    """Audit row + anonymized prompt + raw response, keyed sortable by time.
+
+    ``exchanges`` has key, text (as the user wrote it) and response (as the provider sent
+    it, with tokens in place of values). Texts are masked here: none is stored as written.
+    """
+    said = MK.mask_texts(exchanges, "text", [key, "response"]).select(key, F.col("masked").alias("prompt"), "response")
+    dev = rows.join(said, key, "left").withColumn(
         "log_key", F.concat(F.lit("devlog:"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(":"),
                             F.coalesce(F.col("api_key_id"), F.lit("unknown"))))
     dev.write.mode("append").partitionBy("log_date").parquet(path)

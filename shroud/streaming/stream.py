@@ -10,7 +10,8 @@ arrival order keep state:
 * H3 ``rate_limit_stream``   - per (user, UTC day) quota in arrival order; state =
   the counts of the user's last days; rows of days that are closed for the user are
   labelled ``late``, never dropped (so no watermark is used);
-* H4 ``clean_cache_stream``  - drop texts already seen clean within the hour;
+* H4 ``clean_cache_stream``  - drop texts already seen clean within the hour (what the cache
+  stores); ``clean_cache_skips`` - which requests the cache answers and which are asked;
 * H5 ``usage_windows``       - tumbling event-time windows with a watermark;
 * H6 ``reassemble_stream``   - buffer response chunks, in whatever order they arrive,
   until all are there, so a token cut across chunks is restored whole.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +45,22 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
             .parquet(path[:-1] + "*"))  # glob: the stream source needs a directory or a pattern
 
 
-def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+def new_run(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's state and rows in the cluster's shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None, base: str | None = None) -> DataFrame:
     """Run ``stream`` over everything available now; return what it wrote.
 
     Each micro-batch overwrites its own folder, so one that is run again after a failure
     leaves no second copy. With ``keys`` the stream runs in update mode and the last
-    row written for each key counts.
+    row written for each key counts. ``base`` (see ``new_run``) goes on with an earlier run:
+    its state, and the rows it wrote.
     """
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/rows/batch=-1")    # there may be no batch at all
+    base = base or new_run(spark, name)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{base}/rows/batch=-1")    # there may be no batch at all
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
@@ -178,6 +186,69 @@ def clean_cache_stream(verdicts: DataFrame, ttl: str = "1 hour", text_col: str =
             .select("hash", F.col("ts").alias("cached_at")))
 
 
+_H4_OUT = T.StructType([
+    T.StructField("request_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("hash", T.StringType()),
+    T.StructField("asked", T.BooleanType()), T.StructField("ner_status", T.StringType()),
+])
+_H4_STATE = T.StructType([T.StructField("until", T.LongType())])
+CACHE_SECONDS = 3600         # fixed value: a clean verdict holds for an hour
+
+
+def cached_until(ts, clean, until: int, ttl: int):
+    """Which of the requests for one text, in time order, are asked, and until when the cache then holds.
+
+    ``ts`` (numbers) is sorted; ``clean`` tells what the model answers. An answer from the
+    cache doesn't renew it. Costs a search for each request that is asked.
+    """
+    asked, i = np.zeros(len(ts), bool), 0
+    while i < len(ts):
+        if ts[i] < until:
+            i = int(np.searchsorted(ts, until, "left"))
+            continue
+        asked[i] = True
+        if clean[i]:
+            until = int(ts[i]) + ttl
+        i += 1
+    return asked, until
+
+
+def _h4_factory(ttl: int):
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else -(1 << 62)
+        parts = [(f["request_id"].to_numpy(), f["at"].to_numpy(), f["ner_status"].to_numpy()) for f in frames]
+        ids, ts, status = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((ids, ts))
+        ids, ts, status = ids[order], ts[order], status[order]
+        asked, until = cached_until(ts, status == "clean", until, ttl)
+        state.update((until,))
+        state.setTimeoutDuration(max(2 * ttl // 1000, 1000))
+        for a in range(0, len(ids), 10_000):
+            b = slice(a, a + 10_000)
+            yield pd.DataFrame({"request_id": ids[b], "ts": pd.to_datetime(ts[b], unit="us"), "hash": key[0], "asked": asked[b],
+                                "ner_status": np.where(asked[b], status[b], "clean")})
+    return run
+
+
+def clean_cache_skips(requests: DataFrame, ttl_seconds: int = CACHE_SECONDS, text_col: str = "text") -> DataFrame:
+    """H4, C5 on a stream: request_id, ts, hash, asked, ner_status.
+
+    Needs request_id, ts, ner_status (what the model answers if it is asked) and a text.
+    A text judged clean less than ``ttl_seconds`` ago is not asked again; found and failed
+    verdicts are never kept. The state of a text is one time, removed when the text has not
+    come for long. Texts are hashed before the shuffle, so a text that many requests share
+    costs its task three small columns a request of the micro-batch. Within a micro-batch
+    requests go by (ts, request_id); one that arrives in a later micro-batch than a newer
+    verdict finds that verdict. A null text counts as empty; rows without ts or request_id are left out.
+    """
+    rows = requests.where(F.col("ts").isNotNull() & F.col("request_id").isNotNull())
+    small = rows.select(N.text_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col("request_id").cast("long").alias("request_id"),
+                        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("ner_status", F.lit("error")).alias("ner_status"))
+    return small.groupBy("hash").applyInPandasWithState(_h4_factory(ttl_seconds * 1_000_000), _H4_OUT, _H4_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 # ------------------------------------------------------------------ H5
 def usage_windows(logs: DataFrame, size: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """H5: G17 on tumbling event-time windows."""

@@ -136,3 +136,16 @@ def test_restore_choices_and_response_parsing(spark):
     assert p.collect()[0].r.routed_to == "cloud"
     out = mask.restore_choices(p.select("conv_id", "resp_id", "r.choices"), tm).collect()[0].choices
     assert out[0].message.content == "hi a@b.co" and out[1].message.content is None
+
+
+def test_dev_log_holds_no_raw_values(spark, tmp_path):
+    from datetime import datetime
+
+    from shroud.sources import logs as LG
+    rows = spark.createDataFrame([(1, datetime(2024, 5, 1, 9), "k", "2024-05-01"), (2, datetime(2024, 5, 1, 9, 1), None, "2024-05-01"), (3, datetime(2024, 5, 1), "k", "2024-05-01")], "request_id long, ts timestamp, api_key_id string, log_date string")
+    said = spark.createDataFrame([(1, "write to ann@example.org, card 4111 1111 1111 1111", "to [EMAIL_1]"), (2, None, None)], "request_id long, text string, response string")
+    LG.write_dev_log(rows, said, str(tmp_path / "dev"))
+    got = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "dev")).collect()}
+    assert got[1].prompt == "write to [EMAIL_1], card [CARD_1]" and got[1].response == "to [EMAIL_1]" and got[1].log_key == "devlog:2024-05-01T09:00:00.000Z:k"
+    assert got[2].log_key.endswith(":unknown") and got[3].prompt is None
+    assert "text" not in got[1].asDict()

@@ -60,3 +60,40 @@ def test_update_mode_and_a_stream_without_rows(spark, tmp_path):
     assert sorted((r.window_start.hour, r.events, r.value_sum) for r in out) == [(9, 2, 3.0), (10, 1, 4.0)]
     assert ST.run_to_table(ST.usage_windows(s.where(F.lit(False))), "none", ["window_start", "event_type"]).count() == 0
     assert ensure_checkpoint_dir(spark)
+
+
+def test_cache_skips_repeated_texts_for_an_hour(spark, tmp_path):
+    """Repeats within the hour and after it, in the same micro-batch and in later ones; failures and findings aren't kept."""
+    at = lambda hour, minute=0: datetime(2024, 5, 1, hour, minute)
+    batches = [
+        [(1, at(9), "hello", "clean"), (2, at(9, 59), "hello", "error"), (3, at(10), "hello", "found"), (4, at(10, 1), "hello", "clean"), (5, at(9), "risky", "found"), (6, at(9, 1), "risky", "error"), (7, at(9), None, "clean")],
+        [(8, at(11), "hello", "clean"), (9, at(11, 1), "hello", "clean"), (10, at(9, 2), "risky", "clean"), (11, at(9, 3), "risky", "found"), (12, at(9, 30), "", "found"), (13, None, "hello", "clean")],
+        [(14, at(12), "hello", "error"), (15, at(12, 1), "hello", "error"), (16, at(12, 2), "hello", None), (17, at(8), "risky", "found"), (18, at(10, 2), "risky", "found")],
+    ]
+    s = arriving(spark, tmp_path, "request_id long, ts timestamp, text string, ner_status string", batches)
+    out = ST.run_to_table(ST.clean_cache_skips(s), "skips").collect()
+    got = {r.request_id: (r.asked, r.ner_status) for r in out}
+    skipped = (False, "clean")
+    assert len(out) == 17 and got == {
+        1: (True, "clean"), 2: skipped, 3: (True, "found"), 4: (True, "clean"), 5: (True, "found"), 6: (True, "error"), 7: (True, "clean"),
+        8: skipped, 9: (True, "clean"), 10: (True, "clean"), 11: skipped, 12: skipped,
+        14: skipped, 15: (True, "error"), 16: (True, "error"), 17: skipped, 18: (True, "found")}
+
+
+def test_cached_until_equals_a_plain_loop():
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(300):
+        ts = sorted(r.randrange(100) for _ in range(r.randrange(40)))
+        clean = [r.random() < 0.6 for _ in ts]
+        until = start = r.choice([-1 << 62, r.randrange(60)])
+        want = []
+        for t, c in zip(ts, clean, strict=True):
+            want.append(t >= until)
+            if want[-1] and c:
+                until = t + 15
+        asked, last = ST.cached_until(np.array(ts, np.int64), np.array(clean, bool), start, 15)
+        assert asked.tolist() == want and last == until
