@@ -9,6 +9,7 @@ from shroud.operators import leaks as LK
 from shroud.operators import mask as MK
 from shroud.plans import catalog as C
 from shroud.plans import oracle as O
+from shroud.session import materialize
 from shroud.sources.tables import table
 from shroud.streaming import stream as ST
 
@@ -104,3 +105,36 @@ def h4_cache_skips(spark, sf):
         source = spark.readStream.schema(some.schema).parquet(f"{base}/arrived")
         out = ST.run_to_table(ST.clean_cache_skips(source), "cache-skips", base=base)
     return out.select("request_id", "hash", "asked", "ner_status")
+
+
+_ORIGINALS = f"SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS resp_id, text FROM ({O.PLANTED_CONVERSATIONS_SQL})"
+
+
+def _masked_replies(spark, sf):
+    """(token map, replies): every masked message as a reply that quotes it."""
+    m = materialize(MK.anonymize(C.planted_conversations(spark, sf)))
+    return MK.token_map(m, ["conv_id"]), m.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("masked").alias("text"))
+
+
+@register("d9_restored_texts", _ORIGINALS)
+def d9_restored_texts(spark, sf):
+    """D9 row by row: restoring every masked message gives its text."""
+    known, replies = _masked_replies(spark, sf)
+    return MK.restore(replies, known).select("resp_id", F.coalesce("restored", F.lit("")).alias("text"))
+
+
+@register("h6_restored_pieces", _ORIGINALS)
+def h6_restored_pieces(spark, sf):
+    """H6 row by row: replies arrive in chunks of seven characters, in no order; each piece given out is restored by itself."""
+    known, replies = _masked_replies(spark, sf)
+    cut = "transform(sequence(0, CAST(greatest(ceil(length(text) / 7.0) - 1, 0) AS INT)), i -> substr(text, i * 7 + 1, 7))"
+    last = F.greatest(F.ceil(F.length("text") / 7.0), F.lit(1)) - 1
+    chunks = replies.select("resp_id", "conv_id", last.alias("_last"), F.posexplode(F.expr(cut)).alias("chunk_no", "text")).withColumn("is_last", F.col("chunk_no") == F.col("_last")).drop("_last")
+    base = ST.new_run(spark, "pieces")
+    chunks.repartition("resp_id", "chunk_no").write.parquet(f"{base}/arrived")
+    arrived = spark.read.parquet(f"{base}/arrived")
+    source = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", max(1, len(arrived.inputFiles()) // 3)).parquet(f"{base}/arrived")
+    pieces = ST.run_to_table(ST.piece_stream(source), "pieces", base=base).withColumn("piece_id", F.concat_ws("#", "resp_id", "piece_no"))
+    back = MK.restore(pieces, known, resp_key="piece_id")
+    whole = back.groupBy("resp_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", F.coalesce("restored", F.lit("")).alias("t")))).alias("p"))  # one response's pieces
+    return whole.select("resp_id", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"))

@@ -14,7 +14,8 @@ arrival order keep state:
   stores); ``clean_cache_skips`` - which requests the cache answers and which are asked;
 * H5 ``usage_windows``       - tumbling event-time windows with a watermark;
 * H6 ``reassemble_stream``   - buffer response chunks, in whatever order they arrive,
-  until all are there, so a token cut across chunks is restored whole.
+  until all are there, so a token cut across chunks is restored whole; ``piece_stream`` -
+  give out what has come so far, but for a token that is still open.
 
 Results go to Parquet in the cluster's shared folder, a folder per micro-batch.
 """
@@ -22,6 +23,7 @@ Results go to Parquet in the cluster's shared folder, a folder per micro-batch.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 import numpy as np
@@ -312,3 +314,68 @@ def reassemble_stream(chunks: DataFrame) -> DataFrame:
     """
     return (chunks.select("resp_id", "conv_id", "chunk_no", "text", "is_last").groupBy("resp_id")
             .applyInPandasWithState(_h6, _H6_OUT, _H6_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
+
+
+_PIECE_OUT = T.StructType([T.StructField("resp_id", T.StringType()), T.StructField("conv_id", T.LongType()), T.StructField("piece_no", T.LongType()),
+                           T.StructField("text", T.StringType()), T.StructField("end", T.StringType())])
+_PIECE_STATE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("next", T.LongType()), T.StructField("last", T.LongType()), T.StructField("pieces", T.LongType()),
+                             T.StructField("open", T.StringType()), T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+#: What can still become a token: the longest names have 16 letters, numbers fit 19 digits.
+_OPEN = re.compile(r"\[(?:[A-Z_]{0,32}|[A-Z_]{1,32}_[0-9]{1,19})\Z")
+
+
+def closed_part(text: str) -> int:
+    """How much of a text can be given out: all but a token that its end may have cut."""
+    m = _OPEN.search(text, max(0, len(text) - 54))
+    return m.start() if m else len(text)
+
+
+def _pieces(key, pdfs, state):
+    conv, following, last, pieces, held, numbers, texts = state.get if state.exists else (None, 0, None, 0, "", [], [])
+    waiting = dict(zip(numbers, texts, strict=True))
+    done = last is not None and following > last
+
+    def piece(text, end):
+        return pd.DataFrame([{"resp_id": key[0], "conv_id": conv, "piece_no": pieces, "text": text, "end": end}])
+
+    if state.hasTimedOut:
+        state.remove()
+        if not done:
+            yield piece(held + "".join(waiting[i] for i in sorted(waiting)), "cut")
+        return
+    for pdf in pdfs:
+        for no, text, end, c in zip(pdf["chunk_no"].tolist(), pdf["text"].tolist(), pdf["is_last"].tolist(), pdf["conv_id"].tolist(), strict=True):
+            conv = int(c)
+            if int(no) >= following:                             # else it was sent again
+                waiting[int(no)] = text or ""
+            if end:
+                last = int(no)
+    if done:
+        waiting = {}
+    parts = [held]
+    while following in waiting and (last is None or following <= last):
+        parts.append(waiting.pop(following))
+        following += 1
+    now = "".join(parts)
+    if not done and last is not None and following > last:
+        yield piece(now, "last")
+        now, waiting = "", {}
+    elif not done and (cut := closed_part(now)):
+        yield piece(now[:cut], "more")
+        now, pieces = now[cut:], pieces + 1
+    state.update((conv, following, last, pieces, now, list(waiting), list(waiting.values())))
+    state.setTimeoutDuration(WAIT_MS)
+
+
+def piece_stream(chunks: DataFrame) -> DataFrame:
+    """H6, without waiting for the end: resp_id, conv_id, piece_no, text, end.
+
+    Every micro-batch gives out what has come in order so far, without a token that the
+    next chunk may complete, so each piece can be restored on its own and the pieces put
+    together are the restored response. ``end`` is ``more``, ``last``, or ``cut`` for what
+    was left after an hour without a chunk. State: the open token (at most 54
+    characters) and the chunks that came before their turn. Chunks sent again are left
+    out; null texts count as empty; chunks after the last one don't count.
+    """
+    return (chunks.select("resp_id", "conv_id", "chunk_no", "text", "is_last").groupBy("resp_id")
+            .applyInPandasWithState(_pieces, _PIECE_OUT, _PIECE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))

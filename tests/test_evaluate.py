@@ -57,3 +57,16 @@ def test_combined_recall_rule(spark):
     assert (r.combined_found, r.combined_expected, r.combined_pct, r.skip_reason) == (49, 60, 81.7, None)
     r = evaluate.combined_recall(reg, ner_, other).collect()[0]
     assert r.combined_found is None and "51" in r.skip_reason
+
+
+def test_values_at_ranks_equal_a_sort(spark):
+    import random
+
+    r = random.Random(8)
+    for high in (3, 5000, 10 ** 12):
+        rows = [(r.randrange(-high, high), r.randrange(4)) for _ in range(300)]
+        df = spark.createDataFrame(rows, "v long, c long")
+        every = sorted(v for v, c in rows for _ in range(c))
+        ranks = [0, 1, len(every) // 2, len(every) - 1]
+        assert evaluate.values_at(df, "v", "c", ranks) == [every[k] for k in ranks]
+    assert evaluate.values_at(df.where("c < 0"), "v", "c", [0]) == [None]

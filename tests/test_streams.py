@@ -97,3 +97,35 @@ def test_cached_until_equals_a_plain_loop():
                 until = t + 15
         asked, last = ST.cached_until(np.array(ts, np.int64), np.array(clean, bool), start, 15)
         assert asked.tolist() == want and last == until
+
+
+def test_pieces_come_before_the_end(spark, tmp_path):
+    """Whole tokens only, in order, as early as they can; repeated, early and late chunks; the rest stays open."""
+    batches = [
+        [("a", 1, 0, "Dear [PERS", False), ("b", 2, 2, "[x] [A", False), ("c", 3, 0, None, True), ("d", 4, 0, "[EMAIL_1", False)],
+        [("a", 1, 1, "ON_1], [EMAIL_", False), ("a", 1, 0, "Dear [PERS", False), ("b", 2, 1, "two ", False), ("d", 4, 1, "2] and", False)],
+        [("a", 1, 3, "2].", True), ("b", 2, 0, "one ", False), ("c", 3, 1, "beyond", False)],
+        [("a", 1, 2, "1", False), ("b", 2, 3, "B_1]", True)],
+    ]
+    s = arriving(spark, tmp_path, "resp_id string, conv_id long, chunk_no int, text string, is_last boolean", batches)
+    got = {}
+    for r in sorted(ST.run_to_table(ST.piece_stream(s), "pieces").collect()):
+        got.setdefault(r.resp_id, []).append((r.piece_no, r.text, r.end))
+    assert got == {
+        "a": [(0, "Dear ", "more"), (1, "[PERSON_1], ", "more"), (2, "[EMAIL_12].", "last")],
+        "b": [(0, "one two [x] ", "more"), (1, "[AB_1]", "last")],
+        "c": [(0, "", "last")],
+        "d": [(0, "[EMAIL_12] and", "more")],
+    }
+
+
+def test_closed_part_never_cuts_a_token():
+    import random
+
+    from shroud.functions.kernel import TOKEN_RE
+    r = random.Random(2)
+    for _ in range(3000):
+        text = "".join(r.choice(["[", "]", "EMAIL", "_", "1", "22", " ", "a", "[EMAIL_3]", "[DNI_"]) for _ in range(r.randrange(12)))
+        cut = r.randrange(len(text) + 1)
+        k = ST.closed_part(text[:cut])
+        assert not any(m.start() < k < m.end() for m in TOKEN_RE.finditer(text))
