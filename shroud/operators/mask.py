@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,7 +137,7 @@ def anonymize(messages: DataFrame, ner: DataFrame | None = None, conv: str = "co
                  .agg(F.sort_array(F.collect_list(F.struct("ord", "type", "value"))).alias("_ner")))
         msgs = msgs.join(lists, conv, "left")
         ner_col = "_ner"
-    local = mask_texts(msgs, text_col, keys, ner_col).persist(StorageLevel.MEMORY_AND_DISK)
+    local = materialize(mask_texts(msgs, text_col, keys, ner_col))   # read three times; survives lost executors
 
     per = (local.where(F.size("tokens") > 0)
            .select(conv, turn, F.explode("tokens").alias("t"))

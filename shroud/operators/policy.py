@@ -39,9 +39,13 @@ def _map(d: Mapping) -> Column:
 
 
 # ------------------------------------------------------------------ A3/A4/F1
-def authorize(requests: DataFrame, key_policy: DataFrame, key_col: str = "api_key") -> DataFrame:
+def authorize(requests: DataFrame, key_policy: DataFrame, key_col: str = "api_key", spread_by: str = "request_id") -> DataFrame:
     """A3/F1: left join on the key, only keys with the live prefix can match.
 
+    Rows without such a key can't match; where the join is shuffled they are dealt out by
+    ``spread_by`` (if they have it) instead of meeting in the task of the null key. Drop
+    wide columns (texts) before: all columns of ``requests`` go along.
+
     ``key_policy`` is a dimension (one row per issued key). It is joined by
     key equality; Spark broadcasts it only when its measured size is under
     ``autoBroadcastJoinThreshold`` (AQE re-plans at run time), otherwise it
@@ -49,8 +53,11 @@ def authorize(requests: DataFrame, key_policy: DataFrame, key_col: str = "api_ke
     """
     kp = key_policy.select([F.col(c).alias(f"kp_{c}") if c != key_col else F.col(c).alias("_kp_key")
                             for c in key_policy.columns])
-    j = requests.join(kp, (F.col(key_col) == F.col("_kp_key")) & F.col(key_col).startswith(KEY_PREFIX), "left")
-    return j.withColumn("authorized", F.col("_kp_key").isNotNull()).drop("_kp_key")
+    live = F.coalesce(F.col(key_col).startswith(KEY_PREFIX), F.lit(False))
+    other = F.concat(F.lit("\0"), F.xxhash64(spread_by).cast("string")) if spread_by in requests.columns else F.lit(None).cast("string")
+    asked = requests.withColumn("_asked", F.when(live, F.col(key_col)).otherwise(other))
+    kp = kp.where(F.col("_kp_key").startswith(KEY_PREFIX))
+    return asked.join(kp, F.col("_asked") == F.col("_kp_key"), "left").withColumn("authorized", F.col("_kp_key").isNotNull()).drop("_kp_key", "_asked")
 
 
 def key_info(key_policy: DataFrame) -> DataFrame:
@@ -164,6 +171,29 @@ def may_be_scanned(authorized: Column, body_ok: Column, mode: Column, body_strat
     return authorized & body_ok & ~F.coalesce(strategy_mismatch(mode, body_strategy), F.lit(False))
 
 
+def _ner_seen() -> tuple[Column, Column, Column]:
+    """Whether the NER step ran, its gated status, and the entities that count."""
+    ran = N.ner_ran(F.col("kp_tier"))
+    status = N.gated_status(F.col("kp_tier"), F.coalesce(F.col("ner_status"), F.lit("clean")))
+    return ran, status, F.when(ran & (status != "error"), F.col("ner_entities")).otherwise(F.array().cast(N.ENTITY_ARRAY))
+
+
+def path_before_edge(rl_allowed: Column) -> Column:
+    """E5 up to the edge counter: what becomes of a request, given whether the daily quota lets it pass."""
+    mode = strategy_mode(F.col("kp_pii_strategy"))
+    applied = resolve_strategy(mode, F.col("body_strategy"))
+    ran, status, ents = _ner_seen()
+    detected = F.col("regex_detected") | (F.size(ents) > 0)
+    return (F.when(~F.col("authorized"), "unauthorized")
+            .when(~rl_allowed, "rate_limited")
+            .when(~F.col("body_ok"), "invalid_json")
+            .when(strategy_mismatch(mode, F.col("body_strategy")), "strategy_mismatch")
+            .when(ran & N.fail_closed(status, applied), "ner_unavailable")
+            .when(~(detected | F.col("has_secret")), "passthrough")
+            .when(applied == "edge", "edge")
+            .otherwise("anonymized"))
+
+
 def route(df: DataFrame, edge_limits: Mapping[str, int] = EDGE_LIMITS) -> DataFrame:
     """E5: the decision cascade, then the edge counter over the edge-bound subset.
 
@@ -174,19 +204,9 @@ def route(df: DataFrame, edge_limits: Mapping[str, int] = EDGE_LIMITS) -> DataFr
     """
     mode = strategy_mode(F.col("kp_pii_strategy"))
     applied = resolve_strategy(mode, F.col("body_strategy"))
-    ran = N.ner_ran(F.col("kp_tier"))
-    status = N.gated_status(F.col("kp_tier"), F.coalesce(F.col("ner_status"), F.lit("clean")))
-    ents = F.when(ran & (status != "error"), F.col("ner_entities")).otherwise(F.array().cast(N.ENTITY_ARRAY))
-    detected = F.col("regex_detected") | (F.size(ents) > 0)
+    ran, status, ents = _ner_seen()
     types = N.merge_types(F.col("regex_types"), ents, F.col("has_secret"))
-    pre = (F.when(~F.col("authorized"), "unauthorized")
-           .when(~F.col("rl_allowed"), "rate_limited")
-           .when(~F.col("body_ok"), "invalid_json")
-           .when(strategy_mismatch(mode, F.col("body_strategy")), "strategy_mismatch")
-           .when(ran & N.fail_closed(status, applied), "ner_unavailable")
-           .when(~(detected | F.col("has_secret")), "passthrough")
-           .when(applied == "edge", "edge")
-           .otherwise("anonymized"))
+    pre = path_before_edge(F.col("rl_allowed"))
     scanned = ~pre.isin(*REJECTED_UNSCANNED)
     d = df.select("*", mode.alias("strategy_mode"), applied.alias("applied_strategy"),
                   F.when(scanned, ran).alias("ner_ran"),

@@ -81,18 +81,27 @@ def requests(spark, sf):
     return D.requests(spark, table(spark, sf, "events"))
 
 
-def decided(spark, sf):
-    """E5 over every request. What a row alone rejects is not scanned; texts are never shuffled
-    or stored, only the verdict columns are (they feed several branches)."""
-    r = PO.authorize(D.with_request_ner(spark, spread(requests(spark, sf))), key_policy(spark, sf))
+def verdicts(spark, sf):
+    """Policy, verdict and reply of every request. Texts are scanned and left behind before the
+    policy join, which carries verdict columns only; what the row or its key already rejects
+    has no verdict. The result is stored, as it feeds several branches."""
+    r = D.with_request_ner(spark, spread(requests(spark, sf)))
+    live = F.col("body_ok") & F.coalesce(F.col("api_key").startswith(PO.KEY_PREFIX), F.lit(False))
+    r = r.withColumn("text", F.when(live, F.col("text")))
+    r = r.select("*", detect.detect_pii("text").alias("_v"), detect.secret_types("text").alias("_s")).drop("text")
+    r = PO.authorize(D.with_provider_reply(spark, r), key_policy(spark, sf))
     mode = PO.strategy_mode(F.col("kp_pii_strategy"))
     scan = PO.may_be_scanned(F.col("authorized"), F.col("body_ok"), mode, F.col("body_strategy"))
-    r = r.withColumn("text", F.when(scan, F.col("text")))
-    r = r.select("*", detect.detect_pii("text").alias("_v"), detect.secret_types("text").alias("secret_types"))
-    r = r.select("*", F.col("_v.detected").alias("regex_detected"), F.col("_v.types").alias("regex_types"),
-                 F.col("_v.matches").alias("regex_matches"),
-                 (F.size("secret_types") > 0).alias("has_secret")).drop("_v", "text")
-    r = materialize(D.with_provider_reply(spark, r))
+    none = F.array().cast("array<string>")
+    return materialize(r.select(
+        "*", F.when(scan, F.col("_s")).otherwise(none).alias("secret_types"), (scan & F.col("_v.detected")).alias("regex_detected"),
+        F.when(scan, F.col("_v.types")).otherwise(none).alias("regex_types"), F.when(scan, F.col("_v.matches")).otherwise(0).alias("regex_matches"),
+        (scan & (F.size("_s") > 0)).alias("has_secret")).drop("_v", "_s"))
+
+
+def decided(spark, sf):
+    """E5 over every request."""
+    r = verdicts(spark, sf)
     authd = PO.daily_quota(r.where("authorized"), REPLAY_DAILY_LIMITS)
     unauth = r.where("NOT authorized")
     for c, t in [("rl_day", "date"), ("rl_seq", "long"), ("rl_limit", "int"), ("rl_allowed", "boolean"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shroud.operators import flattened as FL
 from shroud.operators import leaks as LK
 from shroud.operators import mask as MK
+from shroud.operators import policy as PO
 from shroud.plans import catalog as C
 from shroud.plans import oracle as O
 from shroud.session import materialize
@@ -95,16 +96,30 @@ def h4_cache_skips(spark, sf):
     """H4: requests that repeat a text judged clean within the hour aren't asked; they arrive day by day, over several runs of one stream."""
     table(spark, sf, "events").createOrReplaceTempView("_events")
     rows = spark.sql(_REPEATED.format(events="_events").replace("VARCHAR", "STRING"))
-    base = ST.new_run(spark, "cache-skips")
+    return in_periods(spark, rows, "cache-skips", ST.clean_cache_skips, ST._H4_OUT).select("request_id", "hash", "asked", "ner_status")
+
+
+def in_periods(spark, rows, name, stream, schema, periods=3):
+    """What a stream over ``rows`` gives that arrive in periods of their ``ts``, each in a later run on the same state."""
+    base = ST.new_run(spark, name)
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    out = spark.createDataFrame([], ST._H4_OUT)
-    for k in range(3 if first else 0):                           # three periods, each a later arrival
-        low, high = (first + (last - first) * x / 3 for x in (k, k + 1))
-        some = rows.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) if k < 2 else F.lit(True)))
+    out = spark.createDataFrame([], schema)
+    for k in range(periods if first else 0):
+        low, high = (first + (last - first) * x / periods for x in (k, k + 1))
+        some = rows.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) if k < periods - 1 else F.lit(True)))
         some.write.mode("append").parquet(f"{base}/arrived")
-        source = spark.readStream.schema(some.schema).parquet(f"{base}/arrived")
-        out = ST.run_to_table(ST.clean_cache_skips(source), "cache-skips", base=base)
-    return out.select("request_id", "hash", "asked", "ner_status")
+        out = ST.run_to_table(stream(spark.readStream.schema(some.schema).parquet(f"{base}/arrived")), name, base=base)
+    return out
+
+
+@register("h3_edge_quota_stream", C._e5_sql("""SELECT request_id, kp_user_id AS user_id, rl_seq, rl_allowed, edge_seq,
+    CASE WHEN pre = 'edge' THEN edge_seq <= edge_lim END AS edge_allowed, FALSE AS late FROM x WHERE authorized"""))
+def h3_edge_quota_stream(spark, sf):
+    """H3 with E4: the daily and the edge counter on the request stream (= e5's edge outcomes)."""
+    wants = PO.path_before_edge(F.lit(True)) == "edge"
+    rows = C.verdicts(spark, sf).where("authorized").select("request_id", "ts", "kp_user_id", "kp_tier", "kp_edge_limit", wants.alias("wants_edge"))
+    stream = lambda s: ST.quota_stream(s, C.REPLAY_DAILY_LIMITS, C.REPLAY_EDGE_LIMITS, PO.EDGE_FALLBACK_LIMIT)
+    return in_periods(spark, rows, "quota", stream, ST._QUOTA_OUT)
 
 
 _ORIGINALS = f"SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS resp_id, text FROM ({O.PLANTED_CONVERSATIONS_SQL})"

@@ -129,3 +129,20 @@ def test_closed_part_never_cuts_a_token():
         cut = r.randrange(len(text) + 1)
         k = ST.closed_part(text[:cut])
         assert not any(m.start() < k < m.end() for m in TOKEN_RE.finditer(text))
+
+
+def test_both_quotas_in_one_state(spark, tmp_path):
+    at = lambda day, hour: datetime(2024, 5, day, hour)
+    batches = [
+        [(1, at(1, 9), "u", "free", None, True), (2, at(1, 8), "u", "free", None, False), (3, at(1, 10), "u", "free", None, True), (4, at(1, 11), "u", "free", None, True), (5, at(1, 9), "v", "odd", 1, True)],
+        [(6, at(1, 12), "v", "odd", 1, True), (7, at(2, 1), "u", "pro", None, True), (8, at(2, 2), "u", "pro", 0, True)],
+        [(9, at(5, 1), "u", "pro", None, None), (10, at(2, 3), "u", "pro", None, True)],
+        [(11, at(2, 4), "u", "pro", None, True)],
+    ]
+    s = arriving(spark, tmp_path, "request_id long, ts timestamp, kp_user_id string, kp_tier string, kp_edge_limit int, wants_edge boolean", batches)
+    out = ST.run_to_table(ST.quota_stream(s, {"free": 3, "pro": 9}, {"free": 1, "pro": 2}, 50), "both").collect()
+    got = {r.request_id: (r.rl_seq, r.rl_allowed, r.edge_seq, r.edge_allowed, r.late) for r in out}
+    assert len(out) == 11 and got == {
+        2: (1, True, None, None, False), 1: (2, True, 1, True, False), 3: (3, True, 2, False, False), 4: (4, False, None, None, False),
+        5: (1, True, 1, True, False), 6: (2, True, 2, False, False), 7: (1, True, 1, True, False), 8: (2, True, 2, False, False),
+        9: (1, True, None, None, False), 10: (3, True, 3, False, False), 11: (None, False, None, None, True)}
