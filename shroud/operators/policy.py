@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shroud.operators import ner as N
+from shroud.session import materialize
 
 # --------------------------------------------------------------------------
 # The proxy's policy constants.
@@ -86,25 +87,27 @@ def strategy_mismatch(mode: Column, body_strategy: Column) -> Column:
 
 
 # ------------------------------------------------------------------ E3/E4
-def arrival_ordinal(df: DataFrame, part: Sequence[str], ts: str, tiebreak: str, out: str,
-                    block_seconds: int = 300) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows sorted into ranges of ``keys``, with their range and their place in it; written once, so both stay."""
+    placed = df.repartitionByRange(*(F.col(k) for k in keys)).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return materialize(placed.select("*", F.spark_partition_id().alias("_range"), at.alias("_at")))
+
+
+def arrival_ordinal(df: DataFrame, part: Sequence[str], ts: str, tiebreak: str, out: str) -> DataFrame:
     """1-based arrival number within ``part`` ordered by (ts, tiebreak).
 
-    Two levels so a hot group is not one task: rows are bucketed into
-    ``block_seconds`` time blocks; block counts get a running total per group
-    (few rows), and ``row_number`` runs within (group, block).
+    Ranges of (part, ts, tiebreak) are cut by the rows' own quantiles, so one user's single
+    minute spans as many tasks as it has rows for; the number is the place in the range
+    plus the group's rows in earlier ranges. The only window sees one row for each
+    range that a group touches. ``part`` must not be null.
     """
     part = list(part)
-    blk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / F.lit(block_seconds)).cast("long")
-    d = df.withColumn("_blk", blk)
-    counts = d.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_bc"))
-    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_boff", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
-    wi = Window.partitionBy(*part, "_blk").orderBy(F.col(ts), F.col(tiebreak))
-    d = d.withColumn("_rn", F.row_number().over(wi))
-    return (d.join(counts, [*part, "_blk"])
-            .withColumn(out, (F.col("_boff") + F.col("_rn")).cast("long"))
-            .drop("_blk", "_boff", "_rn"))
+    placed = in_ranges(df, [*part, ts, tiebreak])
+    counts = placed.groupBy(*part, "_range").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*part, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low") + 1).alias("_shift"))
+    return placed.join(counts, [*part, "_range"]).withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).drop("_range", "_at", "_shift")
 
 
 def tier_limit(tier: Column, limits: Mapping[str, int]) -> Column:

@@ -149,3 +149,25 @@ def test_dev_log_holds_no_raw_values(spark, tmp_path):
     assert got[1].prompt == "write to [EMAIL_1], card [CARD_1]" and got[1].response == "to [EMAIL_1]" and got[1].log_key == "devlog:2024-05-01T09:00:00.000Z:k"
     assert got[2].log_key.endswith(":unknown") and got[3].prompt is None
     assert "text" not in got[1].asDict()
+
+
+def test_a_hot_minute_is_split(spark):
+    """One user with a third of all rows within a minute: numbers in order, from more than one task."""
+    from shroud.operators import policy as PO
+    df = spark.range(9000).selectExpr("id AS request_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('u', id % 700) END AS u", "DATE'2024-05-01' AS d",
+                                      "CASE WHEN id % 3 = 0 THEN TIMESTAMP'2024-05-01 09:00:00' + make_dt_interval(0, 0, 0, pmod(id * 37, 50)) ELSE TIMESTAMP'2024-05-01 00:00:00' + make_dt_interval(0, 0, id % 1000, 0) END AS ts")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        ranges = PO.in_ranges(df, ["u", "d", "ts", "request_id"]).where("u = 'hot'").groupBy("_range").count().collect()
+        got = {(r.u, r.n): r.request_id for r in PO.arrival_ordinal(df, ["u", "d"], "ts", "request_id", "n").collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 3000
+    rows, want = {}, {}
+    for r in df.collect():
+        rows.setdefault(r.u, []).append((r.ts, r.request_id))
+    for u, some in rows.items():
+        want |= {(u, k): i for k, (_, i) in enumerate(sorted(some), 1)}
+    assert got == want
