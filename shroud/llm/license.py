@@ -1,15 +1,20 @@
 """License scans by patience alignment (operator 9).
 
-For every template, the stretches of a text that hold it are found exactly: a stretch
-has fewer than ``2 * len(template)`` words and, in the template's order, ``COVERAGE`` of
-its words. It has that many words of the template's vocabulary, and each at most as
-often as the template; windows that pass both counts are measured one by one, from
-every word that may begin a stretch (longest common subsequence, by bits). The best
-stretch, cut to the words it needs, is aligned with the template: words unique to both
-are anchors, their longest increasing subsequence is kept, and the gaps between anchors
-are aligned in the same way; a gap without unique common words is aligned by its
-longest common subsequence, and so is the whole stretch if anchors cost words. Words
-are compared lower-cased, without punctuation.
+A stretch of a text holds a template if the patience alignment of the two covers
+``COVERAGE`` of the template's words. Words unique to both are anchors, their longest
+increasing subsequence is kept, and the gaps between anchors are aligned in the same
+way; a gap without unique common words is aligned by its longest common subsequence.
+Stretches begin at words that may be the first ones covered and have at most
+``2 * len(template)`` words. Each is aligned twice: in its first ``len(template)``
+words, where an undisturbed notice has its words to itself, and whole, which leaves
+room for inserted words; the alignment that covers more counts. Only stretches that
+can't reach the coverage are passed over unaligned: those with too few of the
+template's words, each counted at most as often as in the template. ``matched`` and
+``coverage`` are what the alignment covers, ``first_word`` and ``last_word`` its ends.
+Words are compared lower-cased, without punctuation.
+
+Patience may cover less than a longest common subsequence where words are moved or
+repeated; README has figures.
 
 Defined results: null, empty and wordless texts match nothing; every template that a
 text holds gives one row, with the best of its stretches (ties: the first, as narrow as
@@ -21,8 +26,8 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,29 +83,31 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, as index pairs."""
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    """A longest common subsequence, as index pairs; of ``a`` its pairs begin as late as they can."""
+    best = [[0] * (len(b) + 1)]
+    for x in a:
+        row, up = [0], best[-1]
+        for j, y in enumerate(b):
+            row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+        best.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
         else:
-            j += 1
-    return out
+            j -= 1
+    return out[::-1]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of equal words of ``a`` and ``b``, increasing in both, by patience."""
     if not a or not b:
         return []
-    unique = [{w: i for i, w in enumerate(s) if s.count(w) == 1} for s in (a, b)] if len(a) < 32 else [_unique(a), _unique(b)]
-    anchors = increasing(sorted((unique[0][w], unique[1][w]) for w in unique[0].keys() & unique[1].keys()))
+    mine, theirs = _unique(a), _unique(b)
+    anchors = increasing(sorted((mine[w], theirs[w]) for w in mine.keys() & theirs.keys()))
     if not anchors:
         return common(a, b)
     out, i, j = [], 0, 0
@@ -135,34 +142,33 @@ def stretches(at: list[int], length: int, need: int) -> list[tuple[int, int]]:
 
 
 def windows(run: list[tuple[int, str]], template: list[str], need: int):
-    """(start, reach, matched, end) of the windows of ``2 * len(template)`` words that hold ``need`` of the template in order.
+    """(start, reach, matched, end) of the stretches from each hit of ``run`` whose alignment covers ``need`` words of the template.
 
-    ``run``: hits (word position, word). All but ``matched`` are indices into it: a
-    window begins at ``start``, has ``need`` words at ``reach`` and all it can have at ``end``.
+    ``run``: hits (word position, word). All but ``matched`` are indices into it: the
+    first word covered, the one with which ``need`` are covered, and the last.
     """
     length = len(template)
-    places: dict[str, int] = {}
+    limit = Counter(template)
+    place: dict[str, int] = {}
     for i, w in enumerate(template):
-        places[w] = places.get(w, 0) | 1 << i
-    limit = {w: m.bit_count() for w, m in places.items()}
-    full, held, inside, stop = (1 << length) - 1, dict.fromkeys(places, 0), 0, 0
+        place.setdefault(w, i)
+    held, inside, stop, near = dict.fromkeys(limit, 0), 0, 0, 0
     for start, (low, first) in enumerate(run):
         while stop < len(run) and run[stop][0] < low + 2 * length:
             w = run[stop][1]
             held[w] += 1
             inside += held[w] <= limit[w]
             stop += 1
-        if inside >= need:
-            row, matched, reach, end = full, 0, -1, -1
-            for k in range(start, stop):
-                used = row & places[run[k][1]]
-                row = ((row + used) | (row - used)) & full
-                if (now := length - row.bit_count()) > matched:
-                    matched, end = now, k
-                    if now == need:
-                        reach = k
-            if matched >= need:
-                yield start, reach, matched, end
+        if inside >= need and place[first] <= length - need:
+            near = max(near, start)
+            while near < stop and run[near][0] < low + length:
+                near += 1
+            words = [w for _, w in run[start:stop]]
+            pairs = align(words[:near - start], template) if near - start >= need else []
+            if len(pairs) < length and near < stop:
+                pairs = max(pairs, align(words, template), key=len)
+            if len(pairs) >= need:
+                yield start + pairs[0][0], start + pairs[need - 1][0], len(pairs), start + pairs[-1][0]
         inside -= held[first] <= limit[first]
         held[first] -= 1
 
@@ -183,18 +189,14 @@ def matches(text_words: list[str], templates: dict[str, list[str]], coverage: fl
             for start, reach, _, _ in sorted(found, key=lambda f: f[1]):
                 if start >= free:
                     count, free = count + 1, reach + 1
-            top, upto = None, -1                             # of the first best window and those that overlap it the narrowest
+            top, upto = None, -1                             # of the first best stretch and those that overlap it the narrowest
             for start, _, matched, end in found:
                 if top is None or matched > top[1] or (matched == top[1] and start <= upto and run[end][0] - run[start][0] < run[top[2]][0] - run[top[0]][0]):
                     if top is None or matched > top[1]:
                         upto = end
                     top = (start, matched, end)
             if top and (best is None or top[1] > best[0]):
-                part = run[top[0]:top[2] + 1]
-                pairs = align([w for _, w in part], template)
-                if len(pairs) < top[1]:
-                    pairs = common([w for _, w in part], template)
-                best = (len(pairs), part[pairs[0][0]][0], part[pairs[-1][0]][0])
+                best = (top[1], run[top[0]][0], run[top[2]][0])
         if best:
             yield name, best[0] / len(template), *best, count
 
