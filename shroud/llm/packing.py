@@ -143,8 +143,8 @@ def reduce_instance(left: Instance, capacity: int) -> list[tuple[list[int], int]
                 times = min(left.count[n] // k for n, k in need.items())
                 if not times:
                     break
-                if others and len(set(others)) == len(others) == 2 and times > 1:
-                    times = 1                                # with three pieces the test may fail once one length is used up
+                # The test holds for every one of them: until a length runs out, the largest pieces that
+                # fit stay the same, and with fewer pieces left the sums of the smallest only grow.
                 for n, k in need.items():
                     left.take(n, k * times)
                 fixed.append(([size, *others], times))

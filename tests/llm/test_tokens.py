@@ -96,3 +96,15 @@ def test_dominance_keeps_the_optimum():
         fixed = packing.reduce_instance(left, 20)
         assert all(sum(sizes) <= 20 for sizes, _ in fixed)
         assert sum(times for _, times in fixed) + best(left.count, 20) == best(counts, 20), counts
+
+
+def test_plan_is_bounded_by_lengths():
+    """Slots don't grow with the pieces, and every piece has one place."""
+    for n in (1, 7, 50_000):
+        slots, used = packing.plan({2100: n, 1100: n, 850: n})
+        assert used == n and len(slots) <= 9
+    r = random.Random(5)
+    counts = {r.randrange(1, 4097): r.randrange(1, 2000) for _ in range(300)}
+    slots, used = packing.plan(counts)
+    many, _ = packing.plan({k: 50 * v for k, v in counts.items()})
+    assert len(many) < 4 * len(slots) and used >= -(-sum(k * v for k, v in counts.items()) // 4096)
