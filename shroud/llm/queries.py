@@ -39,15 +39,14 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN m.first <> p.page_id THEN m.first END AS refers_to, true AS verified
 FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000""")
 def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written as WARC and read back; ``verified``: whole, with the digest its header names."""
+    """Every page written as WARC and read back; ``verified``: whole, with the digest its header names, a revisit with the response it names."""
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     back = warc.reassemble(warc.read_records(spark, path))
-    response = F.col("record_type") == "response"
-    digest = F.when(response, F.sha1("payload")).otherwise(F.col("digest"))
-    return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type",
-                       F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>", 1).cast("long").alias("refers_to"),
-                       (F.col("complete") & (digest == F.col("digest"))).alias("verified"))
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("digest"))
+    back = stored(back.withColumn("payload_digest", digest).drop("payload"), "warc-records")
+    return warc.checked(back).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                     F.regexp_extract("refers_to", r"^<urn:page:(-?\d+):", 1).cast("long").alias("refers_to"), "verified")
 
 
 @register()

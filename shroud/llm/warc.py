@@ -14,12 +14,14 @@ unsegmented records need no shuffle.
 
 Defined results: null html is an empty payload; of equal payloads of ``least_bytes``
 or more the row of the largest page_id (repeated rows of it: each) is the
-response; a record that lacks a segment, has a wrong length or broken framing comes
+response, the last of those rows the one that revisits name; a page without url has its id for one; a record that lacks a segment, has a wrong length or broken framing comes
 back with ``complete`` false and no payload; an empty table gives no records.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ EMIT_BYTES = 4 << 20
 
 
 def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Adds row, payload_bytes, payload_digest, and first: the response's page_id for revisits.
+    """Adds row, payload_bytes, payload_digest, and for revisits first and first_row: the response's page_id and row.
 
+    ``row`` numbers the input's rows: give a stored table, which every reading deals out alike.
     Only payloads that occur twice are looked up, by a join whose other side Spark
     broadcasts if it measures small and else joins by sorting, splitting hot payloads.
     """
@@ -40,9 +43,14 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.monotonically_increasing_id().alias("row"),
                         F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
     groups = (rows.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("_digest"))
-              .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+              .agg(F.max(F.struct("page_id", "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    named = ~F.col("top.page_id").eqNullSafe(F.col("page_id"))
     return (rows.join(groups, F.col("payload_digest") == F.col("_digest"), "left")
-            .withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("_digest", "n"))
+            .withColumn("first", F.when(named, F.col("top.page_id"))).withColumn("first_row", F.when(named, F.col("top.row"))).drop("_digest", "n", "top"))
+
+
+def record_id(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{page_id}:{row}>"
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -75,13 +83,14 @@ def _record(kind: str, headers: list[tuple[str, object]], block: bytes) -> bytes
     return b"WARC/1.1\r\n" + head.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(page: dict, segment_bytes: int, chunk_bytes: int):
-    """The records of one page, whole."""
-    name = f"<urn:page:{page['page_id']}:{page['row']}>"
+def page_records(page: dict, segment_bytes: int, chunk_bytes: int, date: str):
+    """The records of one page, whole; ``date`` is when they were written (WARC-Date)."""
+    name = record_id(page["page_id"], page["row"])
     url = "".join(c for c in page["url"] or "" if c.isprintable() and c != " ") or None
-    headers = [("WARC-Record-ID", name), ("WARC-Target-URI", url), ("X-Page-ID", page["page_id"]), ("WARC-Payload-Digest", f"sha1:{page['payload_digest']}")]
+    headers = [("WARC-Record-ID", name), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Target-URI", url or f"urn:page:{page['page_id']}"), ("X-Page-ID", page["page_id"]),
+               ("WARC-Payload-Digest", f"sha1:{page['payload_digest']}")]
     if page["first"] is not None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{page['first']}>")]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(page["first"], page["first_row"]))]
         yield _record("revisit", headers, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % page["payload_bytes"])
         return
     body = chunked(page["html"].encode("utf-8", "surrogatepass"), chunk_bytes)
@@ -91,19 +100,20 @@ def page_records(page: dict, segment_bytes: int, chunk_bytes: int):
         return
     starts = range(0, len(block), segment_bytes)
     for n, at in enumerate(starts, 1):
-        more = headers if n == 1 else [("WARC-Record-ID", f"{name[:-1]}:{n}>"), ("WARC-Segment-Origin-ID", name)]
+        more = headers if n == 1 else [("WARC-Record-ID", f"{name[:-1]}:{n}>"), ("WARC-Date", date), ("WARC-Target-URI", url or f"urn:page:{page['page_id']}"), ("WARC-Segment-Origin-ID", name)]
         total = len(block) if n == len(starts) else None
         yield _record("response" if n == 1 else "continuation", [*more, ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total)], block[at:at + segment_bytes])
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
-    """Writes (page_id, url, html) as gzip WARC files under ``path``."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, date: str | None = None) -> None:
+    """Writes (page_id, url, html) as gzip WARC files under ``path``; every record bears ``date`` (default: now)."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         for batch in batches:
             out, size = [], 0
             for page in batch.to_pylist():
-                for record in page_records(page, segment_bytes, chunk_bytes):
+                for record in page_records(page, segment_bytes, chunk_bytes, date):
                     out.append(record[:-1])                  # the sink ends the line
                     size += len(record)
                     if size > EMIT_BYTES:
@@ -209,3 +219,18 @@ def reassemble(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*heads, "payload_bytes", "payload", "complete"])
 
     return both.mapInArrow(run, "record_id string, record_type string, page_id long, refers_to string, digest string, payload_bytes long, payload binary, complete boolean")
+
+
+def checked(back: DataFrame) -> DataFrame:
+    """Adds ``verified``: whole, and for a revisit, with a whole response of its own size and digest under the id it names.
+
+    ``back``: record_id, record_type, refers_to, payload_bytes, payload_digest, digest, complete, read more than
+    once. Only references that fail come back to the rows, so a much-revisited response is no hot key.
+    """
+    sound = F.col("complete") & F.col("payload_digest").eqNullSafe(F.col("digest"))
+    named = back.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    held = back.where(F.col("record_type") == "response").where(sound).select(F.col("record_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    wrong = named.join(held, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+    wrong = wrong.select(F.col("refers_to").alias("_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), F.lit(True).alias("_wrong"))
+    same = (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("_to")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    return back.join(wrong, same, "left").withColumn("verified", sound & F.col("_wrong").isNull()).drop("_to", "_digest", "_bytes", "_wrong")

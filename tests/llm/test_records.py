@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shroud.llm import topk, warc
 
@@ -29,6 +30,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r.complete for r in warc.reassemble(records.orderBy("segment", ascending=False)).collect())
 
 
+def test_warc_headers_and_references(spark, tmp_path):
+    """Mandatory headers on every record; a revisit names its response's record, and is only verified with it."""
+    rows = [(i, f"http://h/{i}", "p" * 5000) for i in range(6)] + [(6, None, "q" * 1200), (6, None, "q" * 1200), (None, "u", "q" * 1200), (8, "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages")
+    warc.write_archives(spark.read.parquet(f"{tmp_path}/pages"), f"{tmp_path}/w", segment_bytes=2000, date="2024-05-06T07:08:09Z")
+    text = "\n".join(r.value for r in spark.read.option("lineSep", "\n").text(f"{tmp_path}/w").collect())
+    heads = [h.split("\r\n\r\n")[0] for h in text.split("WARC/1.1\r\n")[1:]]
+    names = [line.split(": ", 1)[1] for h in heads for line in h.split("\r\n") if line.startswith("WARC-Record-ID")]
+    assert len(heads) == len(set(names)) > len(rows)
+    for h in heads:
+        fields = dict(line.split(": ", 1) for line in h.split("\r\n"))
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= set(fields) and fields["WARC-Date"] == "2024-05-06T07:08:09Z"
+        assert fields["WARC-Type"] == "continuation" or fields["Content-Type"].startswith("application/http")
+    back = warc.reassemble(warc.read_records(spark, f"{tmp_path}/w"))
+    back = back.withColumn("payload_digest", F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("digest"))).drop("payload").cache()
+    responses = {r.record_id for r in back.where("record_type = 'response'").collect()}
+    revisits = back.where("record_type = 'revisit'").collect()
+    assert len(revisits) == 6 and all(r.refers_to in responses for r in revisits) and {r.page_id for r in revisits} == {0, 1, 2, 3, 4, None}
+    assert all(r.verified for r in warc.checked(back).collect()) and warc.checked(back).count() == len(rows)
+    lost = warc.checked(back.where("NOT (record_type = 'response' AND page_id = 5)")).collect()
+    assert {r.page_id for r in lost if not r.verified} == {0, 1, 2, 3, 4}
+    other = F.when((F.col("record_type") == "response") & (F.col("page_id") == 5), F.lit("0" * 40)).otherwise(F.col("payload_digest"))
+    assert {r.page_id for r in warc.checked(back.withColumn("payload_digest", other)).collect() if not r.verified} == {0, 1, 2, 3, 4, 5}
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.reassemble(warc.read_records(spark, f"{tmp_path}/w")).count() == 0
