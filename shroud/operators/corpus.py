@@ -4,7 +4,10 @@ One labelled case per key row (e.g. ``customer.c_custkey``), so the corpus grows
 with the table. ``kind = key mod 10``: kinds 0-6 are the seven synthetic
 templates (clinical report, ER note, referral, lawsuit, contract,
 consultation, disciplinary file); 7-9 are adversarial cases (malformed
-identifiers, noisy layout, negatives).
+identifiers, noisy layout, negatives). Every fifth of kind 9 stays a negative, the
+others are templates 10-13, in the form of documents that other templates make:
+indirect references, ambiguous values, hard names, and labels said to be out of the
+detector's reach.
 
 A case is a list of fragments; labelled fragments become entities whose
 offsets are running lengths of the fragments before them (B1) - computed
@@ -52,11 +55,14 @@ class Template:
 
 _REASONS = ["mareo al levantarse", "tos seca de tres semanas", "esguince de tobillo", "migraña con aura",
             "erupción en ambos antebrazos", "control de tiroides"]
+_ROLES = ["la parte que alquila", "el tutor", "la persona acompañante", "quien firma por la empresa"]
+_STOCK = ["QT", "ZX", "LM", "KR"]
+_HARD_NAMES = ["Rosa Prado", "Ángel Mayo", "Consuelo Rey", "Cruz Romero", "Luz Blanco", "Santos Campo"]
 _SEASONS = ["primavera", "verano", "otoño", "invierno"]
 
 
 def templates(ns, only: int | None = None) -> list[Template]:
-    """The ten case templates (or just kind ``only``), built in namespace ``ns``."""
+    """The case templates (or just kind ``only``), built in namespace ``ns``."""
     k = ns.key(K)
     nl = "\n"
 
@@ -152,11 +158,41 @@ def templates(ns, only: int | None = None) -> list[Template]:
             t("El almacén abre a las "), tv(num(3, 8, 19)), t(" y media; la estantería "), tv(num(2, 1, 99)),
             t(" guarda cajas de "), tv(num(1, 100, 999)), t(" piezas a precio de saldo.\n"),
         ]),
+        lambda: Template(10, ns.lit("sanidad"), "nota-urgencias", "adversarial", "indirect-reference",
+                 "someone is meant, nobody is named", [
+            t("Quien ocupa la cama "), tv(num(3, 1, 60)), t(" pregunta por su hermana mayor; "),
+            tv(pk(5, _ROLES)), t(" prefiere esperar a que vuelva la otra parte.\n"),
+        ]),
+        lambda: Template(11, ns.lit("legal"), "contrato", "adversarial", "ambiguous",
+                 "stock numbers, bar codes and releases that look like identifiers", [
+            t("Pedido "), tv(pk(4, _STOCK)), t("-"), tv(P.pad(ns, rint(ns, k, 2, 0, 999999), 6)),
+            t(" con código de barras 84"), tv(P.pad(ns, rint(ns, k, 7, 0, 99999999999), 11)),
+            t(", lote "), tv(num(1, 10000000, 99999999)), t(", hoja revisada el "), tv(num(5, 2015, 2025)), t("-0"), tv(num(6, 1, 9)),
+            t("-1"), tv(num(8, 0, 9)), t(".\n"),
+        ]),
+        lambda: Template(12, ns.lit("legal"), "consulta", "adversarial", "hard-name",
+                 "names that are also ordinary words", [
+            e("PERSON", pk(3, _HARD_NAMES), True), t(" llegó la víspera de la fiesta del pueblo y dejó las llaves a "),
+            e("PERSON", pk(4, _HARD_NAMES), True), t(", como cada abril.\n"),
+        ]),
+        lambda: Template(13, ns.lit("legal"), "demanda", "adversarial", "malformed-format",
+                 "labelled as values without a pattern", [
+            t("Carpeta "), e("NHC_UNCOVERED", ns.concat("NHC ", num(1, 2010, 2025), " ", num(2, 1000, 9999)), expected=False),
+            t("; firma "), e("LAWYER_ID_UNCOVERED", ns.concat("ICAM nº ", num(4, 10000, 99999)), expected=False),
+            t("; identidad "), e("DNI_MALFORMED", ns.concat(num(5, 10000000, 99999999), "q"), expected=False), t(".\n"),
+        ]),
     ]
     return [thunks[only]()] if only is not None else [th() for th in thunks]
 
 
-N_KINDS = 10
+N_KINDS = 14
+
+
+def kind_sql(div: str) -> str:
+    """The case kind of a key; ``div``: the engine's operator for whole-number division."""
+    return f"CASE WHEN {K} % 10 = 9 THEN 9 + ({K} {div} 10) % 5 ELSE {K} % 10 END"
+
+
 _FRAG = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("type", T.StringType()),
@@ -208,14 +244,15 @@ def generate(keys: DataFrame, key_col: str) -> DataFrame:
 
     No shuffle: one narrow branch per template kind over the key column, each
     staged so every expression stays short, unioned, then one shared
-    projection for text and entity offsets. Expressed as one SQL statement so
+    projection for text and entity offsets (all kinds in one projection would pass the
+    64 KB limit of generated code, so each has its own). Expressed as one SQL statement so
     planning is a single parse. ``entities`` is
     ``array<struct<ord, type, value, start, end, ner_scope, expected_match>>``.
     """
     _VIEW_SEQ[0] += 1
     view = f"_shroud_keys_{_VIEW_SEQ[0]}"
     (keys.select(F.col(key_col).cast("long").alias(K))
-         .withColumn("_kind", (F.col(K) % N_KINDS).cast("int"))
+         .withColumn("_kind", F.expr(kind_sql("div")).cast("int"))
          .createOrReplaceTempView(view))
     branches = []
     for kind_id in range(N_KINDS):
@@ -250,7 +287,7 @@ def oracle_cases_sql(table: str, key_col: str) -> str:
             f"SELECT 'case-' || CAST({K} AS VARCHAR) AS case_id, {tp.domain} AS domain, "
             f"'{tp.kind}' AS kind, {cat} AS category, '{tp.source}' AS source, {notes} AS notes, {text} AS text "
             f"FROM (SELECT {K}, {cols} FROM (SELECT CAST({key_col} AS BIGINT) AS {K} FROM {table}) "
-            f"WHERE {K} % {N_KINDS} = {tp.kind_id})")
+            f"WHERE {kind_sql('//')} = {tp.kind_id})")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -272,7 +309,7 @@ def oracle_entities_sql(table: str, key_col: str) -> str:
         if sel:
             parts.append((tp.kind_id, cols, sel))
     ctes = ",\n".join(
-        f"w{kid} AS (SELECT {K}, {cols} FROM (SELECT CAST({key_col} AS BIGINT) AS {K} FROM {table}) WHERE {K} % {N_KINDS} = {kid})"
+        f"w{kid} AS (SELECT {K}, {cols} FROM (SELECT CAST({key_col} AS BIGINT) AS {K} FROM {table}) WHERE {kind_sql('//')} = {kid})"
         for kid, cols, _ in parts)
     body = "\nUNION ALL\n".join(x for _, _, sel in parts for x in sel)
     return f"WITH {ctes}\n{body}"

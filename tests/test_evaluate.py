@@ -70,3 +70,19 @@ def test_values_at_ranks_equal_a_sort(spark):
         ranks = [0, 1, len(every) // 2, len(every) - 1]
         assert evaluate.values_at(df, "v", "c", ranks) == [every[k] for k in ranks]
     assert evaluate.values_at(df.where("c < 0"), "v", "c", [0]) == [None]
+
+
+def test_hand_written_categories(spark):
+    """Each category has cases; ambiguous ones give false positives, values said to be out of reach are found."""
+    c = corpus.generate(spark.range(10_000, 10_100).withColumnRenamed("id", "k"), "k").cache()
+    cases = {r.category: r.n for r in c.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    assert {k: cases[k] for k in ("negative", "indirect-reference", "ambiguous", "hard-name")} == dict.fromkeys(("negative", "indirect-reference", "ambiguous", "hard-name"), 2)
+    assert cases["malformed-format"] == 12
+    masked = evaluate.masked_cases(c)
+    fps = {(r.category, r.type) for r in evaluate.false_positives(masked).collect()}
+    assert fps == {("ambiguous", "PASSPORT"), ("ambiguous", "DATE")}
+    gaps = [r.type for r in evaluate.gap_mismatches(evaluate.score_entities(masked)).collect()]
+    assert sorted(gaps) == ["LAWYER_ID_UNCOVERED"] * 2 + ["NHC_UNCOVERED"] * 2
+    names = c.where("category = 'hard-name'").selectExpr("text", "inline(entities)").collect()
+    assert len(names) == 4 and all(r.ner_scope and r.text[r.start:r.end] == r.value for r in names)
+    assert c.where("category IN ('negative', 'indirect-reference', 'ambiguous') AND size(entities) > 0").isEmpty()
