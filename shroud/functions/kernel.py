@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 from functools import lru_cache
+from re import _parser as parser
 
 try:  # variable-width lookbehind (ROUTING) needs the third-party engine
     import regex as _regex
@@ -75,12 +76,36 @@ def _needs(p: Pattern):
     return lambda x, lo: _DIGIT.search(x) is not None
 
 
-@lru_cache(maxsize=1)
-def compiled() -> list[tuple[Pattern, object, object]]:
-    return [(p, _compile(p), _needs(p)) for p in catalogue()]
+def literal(p: Pattern) -> str:
+    """The longest run of ASCII characters, lower-cased, that every match of the pattern holds ('' if there is none)."""
+    try:
+        parts = parser.parse(p.python, re.ASCII)
+    except re.error:                                         # the other engine's syntax
+        return ""
+    runs = [""]
+    for op, value in parts:
+        if op is parser.LITERAL and value < 128:             # others may change their length when folded
+            runs[-1] += chr(value).lower()
+        elif op is not parser.AT:
+            runs.append("")
+    return max(runs, key=len)
+
+
+def _general_need(p: Pattern):
+    word = literal(p)
+    return lambda x, lo: word in lo
+
 
+@lru_cache(maxsize=8)
+def compiled(patterns: tuple[Pattern, ...] | None = None) -> list[tuple[Pattern, object, object]]:
+    """Patterns, their compiled forms and prefilters, once a worker; ``patterns``: a catalogue of the user's."""
+    if patterns is None:
+        return [(p, _compile(p), _needs(p)) for p in catalogue()]
+    known = set(catalogue())
+    return [(p, _compile(p), _needs(p) if p in known else _general_need(p)) for p in patterns]
 
-def pii_spans(text: str | None) -> list[tuple[int, str, int, int, str]]:
+
+def pii_spans(text: str | None, patterns: tuple[Pattern, ...] | None = None) -> list[tuple[int, str, int, int, str]]:
     """Accepted spans ``(rank, type, start, end, value)`` in pattern order."""
     if not text:
         return []
@@ -88,11 +113,13 @@ def pii_spans(text: str | None) -> list[tuple[int, str, int, int, str]]:
     starts: list[int] = []   # accepted spans, disjoint, sorted by start
     ends: list[int] = []
     out = []
-    for p, rx, need in compiled():
+    for p, rx, need in compiled(patterns):
         if p.family != "pii" or not need(text, lo):
             continue
         for m in rx.finditer(text):
             s, e = m.start(), m.end()
+            if s == e:                                       # a user's pattern may match nothing
+                continue
             k = bisect.bisect_left(starts, e)  # spans starting before e
             if k and ends[k - 1] > s:
                 continue

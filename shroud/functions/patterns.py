@@ -162,11 +162,19 @@ def pii_patterns() -> list[Pattern]:
     return [p for p in catalogue() if p.family == "pii"]
 
 
+ROWS = "rank int, family string, idx int, type string, source string, ci boolean"
+
+
 def patterns_rows() -> list[tuple]:
-    """Rows of the ``patterns`` dimension (rank, family, idx, type, source, ci)."""
+    """The catalogue as rows of a table (schema :data:`ROWS`), to which a user can add patterns."""
     return [(p.rank, p.family, p.idx, p.type, p.source, p.ci) for p in catalogue()]
 
 
+def from_rows(rows) -> tuple[Pattern, ...]:
+    """Patterns of a table's rows, in order of rank."""
+    return tuple(sorted((Pattern(r["rank"], r["family"], r["idx"], r["type"], r["source"], r["ci"]) for r in rows), key=lambda p: (p.rank, p.idx, p.type, p.source)))
+
+
 # ---------------------------------------------------------------- RE2 forms
 # Lookaround-free forms for DuckDB. ``group`` is the capture group holding the
 # match (0 = whole match); ``exclude`` is a filter applied to extracted values.

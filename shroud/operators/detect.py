@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 from shroud.functions import kernel
 from shroud.operators import mask as MK
 from shroud.operators import ner as NR
-from shroud.functions.patterns import secret_patterns
+from shroud.functions.patterns import from_rows, secret_patterns
+
+#: Every text is searched for every pattern, so a catalogue is small; more rows than this are an error.
+MOST_PATTERNS = 1000
 
 SPAN_FIELDS = [
     T.StructField("rank", T.IntegerType()),
@@ -37,20 +40,29 @@ VERDICT = T.StructType([
 ])
 
 
-def pii_spans(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+def pii_spans(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id",), patterns: DataFrame | None = None) -> DataFrame:
     """Accepted C1 spans, one row per span: ``keys + (rank, type, start, end, value)``.
 
+    ``patterns``: a catalogue as a table (``functions.patterns.ROWS``), at most ``MOST_PATTERNS``
+    rows; a rule that can't be compiled is an error here, not in a task. Default: the library's.
+
     Runs as ``mapInArrow`` over the input partitions: no shuffle, text never
     leaves its partition, only spans (small) come out.
     """
     keys = list(keys)
     src = df.select(*keys, text_col)
+    rules = None
+    if patterns is not None:
+        rules = from_rows(patterns.limit(MOST_PATTERNS + 1).collect())
+        if len(rules) > MOST_PATTERNS:
+            raise ValueError(f"more than {MOST_PATTERNS} patterns")
+        kernel.compiled(rules)
     out_schema = T.StructType([src.schema[k] for k in keys] + SPAN_FIELDS)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            spans = [(i, *span) for i, text in enumerate(texts) for span in kernel.pii_spans(text)]
+            spans = [(i, *span) for i, text in enumerate(texts) for span in kernel.pii_spans(text, rules)]
             # Typed arrays, so that a batch without a finding has the same schema as any other.
             row, rank, kind, start, end, value = zip(*spans, strict=True) if spans else ((),) * 6
             held = [batch.column(k).take(pa.array(row, pa.int32())) for k in keys]

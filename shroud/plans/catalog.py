@@ -906,4 +906,4 @@ def a11_regex_only_baseline(spark, sf):
 
 
 # The remaining proxy steps register themselves.
-from shroud.plans import dialogue, steps  # noqa: E402,F401
+from shroud.plans import dialogue, planted, steps  # noqa: E402,F401
