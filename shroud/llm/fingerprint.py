@@ -1,7 +1,10 @@
 """Order MinHash fingerprints in DataFrame functions only (operator 3).
 
-The symbols are the text's runs of up to 16 characters without white space; a k-mer is
-``K`` consecutive symbols, numbered by occurrence. Every numbered k-mer falls into one
+The symbols are the text's runs without white space. Runs of more than 16 characters
+(unspaced scripts, encoded data) are cut by their content, before every UTF-16 unit
+that divides by 4 and after 16 units without one, so that an inserted character moves
+the cuts only up to the next such unit. A k-mer is ``K`` consecutive symbols, numbered
+by occurrence. Every numbered k-mer falls into one
 of ``SKETCHES`` sketches by its hash; of each sketch the ``TUPLE`` smallest are kept,
 put back into text order and hashed together. Two texts agree in a sketch if they have
 the same smallest numbered k-mers in the same order, which small edits leave alone and
@@ -28,6 +31,9 @@ POS_BITS = 27
 HASH_BITS = 36
 RANK_BITS = 31
 SPARE = 6               # smallest k-mers looked at first, times what is needed
+LONG = 16               # characters of a run that is one symbol
+#: A unit and up to 15 that don't divide by 4, in hexadecimal digits
+PIECE = rf"[0-9A-F]{{4}}(?:[0-9A-F]{{3}}[^048C]){{0,{LONG - 1}}}"
 
 
 def let(value: Column, body) -> Column:
@@ -47,9 +53,18 @@ def _position(x: Column) -> Column:
     return x.bitwiseAND(F.lit((1 << POS_BITS) - 1))
 
 
+def _symbols(text: Column) -> Column:
+    """Hashes of a text's symbols."""
+    every = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    hashes = lambda parts: F.transform(parts, lambda t: F.xxhash64(t))
+    cut = lambda run: F.when(F.char_length(run) <= LONG, F.array(F.xxhash64(run))).otherwise(hashes(every(F.hex(F.encode(run, "UTF-16BE")), PIECE)))
+    # No run of at most 16 bytes has more characters: most texts need no second look
+    return let(every(text, r"\S+"), lambda runs: F.when(F.exists(runs, lambda t: F.octet_length(t) > LONG), F.flatten(F.transform(runs, cut))).otherwise(hashes(runs)))
+
+
 def _grams(text: Column, k: int) -> Column:
     """Sorted (k-mer hash, position) of a text."""
-    symbols = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)), lambda t: F.xxhash64(t))
+    symbols = _symbols(F.coalesce(text, F.lit("")))
     return F.sort_array(let(symbols, lambda h: F.when(
         F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: _pack(F.xxhash64(*(F.get(h, i + j) for j in range(k))), i)),
     ).when(F.size(h) > 0, F.array(_pack(F.xxhash64(h), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))))

@@ -2,9 +2,11 @@
 import hashlib
 import math
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 
 from shroud.llm import fingerprint, kneser, langid, license, partenum, substring
 
@@ -126,6 +128,66 @@ def test_fingerprints(docs, nothing):
     assert fingerprint.with_edit(unique.where("doc_id = 9")).collect()[0].near_next == 1
 
 
+def xx(values, seed=42):
+    """xxhash64 of longs (8 bytes), ints given as (value,) (4 bytes) and strings, each seeded by the one before."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+        seed -= (seed >> 63) << 64
+    return seed
+
+
+def plain_sketches(text):
+    """Order MinHash by its definition: all numbered k-mers, the two smallest of each sketch in text order."""
+    symbols = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        if len(run) <= 16:
+            symbols.append(run)
+            continue
+        raw, piece = run.encode("utf-16-be"), ""
+        for i in range(0, len(raw), 2):
+            if piece and (raw[i + 1] % 4 == 0 or len(piece) == 64):
+                symbols.append(piece)
+                piece = ""
+            piece += raw[i:i + 2].hex().upper()
+        symbols.append(piece)
+    h = [xx([s]) for s in symbols]
+    grams = [xx(h[i:i + 3]) for i in range(len(h) - 2)] if len(h) > 2 else [xx(h)] if h else []
+    seen, found = {}, [[] for _ in range(32)]
+    for at, g in enumerate(g % (1 << 36) for g in grams):
+        p = xx([g, (seen.get(g, 0),)])
+        seen[g] = seen.get(g, 0) + 1
+        found[p % 32].append(((p % (1 << 64)) >> 33, at))
+    least = [sorted(sorted(f)[:2], key=lambda x: x[1]) for f in found]
+    return [xx([rank for rank, _ in some]) % (1 << 32) if some else None for some in least]
+
+
+def test_sketches_against_the_definition(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    han = "".join(map(chr, range(0x4E00, 0x5200)))
+    texts = [t or "" for _, t in {(0, None), (1, "one"), (2, "one two"), (3, "x" * 16), (4, "x" * 17), (5, "y" * 500), (6, "ab " * 300), (7, "\U0001F600" * 40)}]
+    texts += [draw("abc d", n) for n in range(0, 900, 90)] + [draw(han, n) for n in (16, 17, 300, 3000)] + [draw(han + "  ", 200), draw("0123456789abcdefGHIJ+/", 4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    got = {r.id: r.s for r in df.select("id", fingerprint.sketches(F.col("text")).alias("s")).collect()}
+    assert got == {i: plain_sketches(t) for i, t in enumerate(texts)}
+
+
+def test_small_edits_of_unspaced_text_stay_near(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0x0E01, 0x0E2F))), "0123456789abcdefGHIJ+/"):
+        text = "".join(rng.choice(list(letters), 3000))
+        other = "".join(rng.choice(list(letters), 3000))
+        versions = {"front": letters[0] + text, "middle": text[:1500] + letters[1] + text[1500:], "less": text[:700] + text[701:], "moved": text[1500:] + text[:1500], "other": other}
+        df = spark.createDataFrame([(text, *versions.values())], ["text", *versions])
+        r = df.select(*(fingerprint.likeness(fingerprint.sketches(F.col("text")), fingerprint.sketches(F.col(v))).alias(v) for v in versions)).first()
+        assert min(r.front, r.middle, r.less) > 0.85 and 0.2 < r.moved < 0.9 and r.other < 0.1, (letters[:3], r)
+
+
 def test_next_document_without_doc_id(spark):
     rows = [(3, "c", [1]), (2, "b", [1]), (None, "y", [1]), (None, "x", [1])]
     schema = "doc_id long, text string, sketches array<long>"
