@@ -12,7 +12,8 @@ Probes travel as compact keys (see ``exchange``); only windows near hits travel
 full, one per block and window, with the smallest doc_id. A passage that thousands of
 documents share is one row per block of documents, never a pair of documents.
 
-Equality of windows is that of 96-bit hashes. Defined results: null text has no words;
+Equality of windows is that of 96 bits of two hashes over their words' 64-bit hashes, so
+no better than 64 bits for a single word. Defined results: null text has no words;
 rows that share a doc_id don't remove each other's words; a null doc_id counts as
 larger than all others; texts shorter than a window keep all words; an empty table
 gives an empty table.

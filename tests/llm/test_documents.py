@@ -1,8 +1,11 @@
 """Operators on documents against brute force, and their results at the edges."""
+import collections
 import hashlib
+import itertools
 import math
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -219,6 +222,56 @@ def test_language_id(docs, nothing, spark):
     assert len({tuple(w) for w in words.tolist()}) == 20 and (words.max(0) == 1).all() and (words.min(0) == -1).all()
 
 
+def plain_language(rows, texts):
+    """Decoding by its definition: every bit's log-odds letter by letter, its loss, and the nearest codeword."""
+    def grams(text):
+        letters = [c if c.isalpha() else "" for c in text]
+        low = [c.lower() if len(c.lower()) == 1 else c for c in letters]
+        for i, c in enumerate(low):
+            if c:
+                yield c, (c, low[i + 1] if i + 1 < len(low) else ""), (low[i - 1] if i else "", c, low[i + 1] if i + 1 < len(low) else "")
+
+    langs = sorted({lang for lang, _ in rows})
+    counts = {lang: collections.Counter(g for own, t in rows if own == lang for gs in grams(t) for g in gs) for lang in langs}
+    buckets = langid.BUCKETS
+    share = lambda lang, g: (counts[lang][g] + 0.5) / (counts[lang].total() + 0.5 * buckets)
+    words = [(1, *rest) for rest in itertools.product((1, -1), repeat=len(langs) - 1) if -1 in rest]
+    mean = lambda g, word, side: sum(share(x, g) for x, w in zip(langs, word, strict=True) if w == side) / word.count(side)
+    odds = lambda g, word: math.log(mean(g, word, 1) / mean(g, word, -1))
+    every = set().union(*counts.values())
+    apart = [sum((mean(g, w, 1) - mean(g, w, -1)) * odds(g, w) for g in every) for w in words]
+    out = []
+    for t in texts:
+        seen = list(grams(t))
+        shrink = min(len(seen), langid.MOST_LETTERS) / len(seen)
+        evidence = [shrink * sum(odds(g, w) for gs in seen for g in gs) for w in words]
+        loss = [sum(a * math.log1p(math.exp(-e * w[k])) for e, w, a in zip(evidence, words, apart, strict=True)) * len(words) / sum(apart) for k in range(len(langs))]
+        near = [math.exp(min(loss) - x) for x in loss]
+        out.append((langs[loss.index(min(loss))], max(near) / sum(near)))
+    return out
+
+
+def test_language_decoding_against_its_definition(spark):
+    """Few letters, so that hardly any two n-grams share a bucket; that alone sets the two apart."""
+    rng = np.random.default_rng(8)
+    draw = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    kinds = {"aa": "abcd", "bb": "abde", "cc": "acde"}
+    rows = [(lang, draw(letters, 8)) for lang, letters in kinds.items() for _ in range(20)]
+    texts = [draw(letters, n) for letters in [*kinds.values(), "abcde"] for n in (1, 2, 3, 9)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, plain_language(rows, texts), strict=True):
+        assert r.lang_pred == lang and abs(r.score - score) < 0.02, (r, lang, score)
+
+
+def test_language_of_held_out_documents(spark):
+    from shroud.llm.queries import QUERIES
+
+    rows = QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    assert len(rows) > 200 and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
+
+
 def test_kneser_ney(spark, docs, nothing):
     r = np.random.default_rng(3)
     rows = [(i, "".join(r.choice(list("aab c"), 60)), "en" if i % 2 else "fr") for i in range(200)] + [(900, "ZZ##!!QQ" * 20, "en"), (901, "", "en"), (902, None, None), (903, "abc abc a", None)]
