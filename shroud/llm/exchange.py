@@ -1,7 +1,7 @@
 """Documents in blocks, and compact exchanges of hash keys between blocks.
 
-Documents are dealt into blocks of bounded size by a hash of their id and travel as
-compressed Arrow messages. A block's task can then tell the others which keys it has:
+Documents are dealt into blocks of bounded size by a hash of their id (of their text, if
+they have none) and travel as compressed Arrow messages. A block's task can then tell the others which keys it has:
 sorted keys, cut by shard and delta-coded, take about three bytes each. The shards'
 tasks answer each block; the answers meet the block's documents again.
 """
@@ -40,8 +40,8 @@ def block_of(doc_id: Column, blocks: int) -> Column:
 
 
 def deal(docs: DataFrame, blocks: int, hold: int = 16 << 20) -> DataFrame:
-    """(block, docs): the rows of ``docs`` as messages to the block of their doc_id."""
-    rows = docs.withColumn("_block", block_of(F.col("doc_id"), blocks))
+    """(block, docs): the rows of ``docs`` as messages to the block of their doc_id; rows without one are dealt by text."""
+    rows = docs.withColumn("_block", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text", F.lit(19)), F.lit(blocks)).cast("int")).otherwise(block_of(F.col("doc_id"), blocks)))
     names = docs.columns
 
     def messages(held):

@@ -202,6 +202,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
 
     ``nodes``: (node, h1), the doc_id that stands for each distinct set, and its hash.
     """
+    docs = docs.where("doc_id IS NOT NULL")                  # the others are no nodes
     blocks, shards = X.sizes(docs)
     placed = X.deal(docs, blocks)
     info = nodes.select(X.block_of(F.col("node"), blocks).alias("block"), F.lit(0).alias("kind"), "node", "h1", F.lit(None).cast("binary").alias("keys"))

@@ -8,8 +8,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shroud.llm import fingerprint, kneser, langid, license, partenum, substring
 
@@ -36,6 +38,26 @@ def test_substring_dedup(docs, nothing):
         substring.remove_repeats(docs, anchor=8)
 
 
+def test_rows_without_doc_id_are_dealt_out(spark):
+    """A third of all rows has no doc_id: they spread over the blocks, lose what documents with one have, and link with nothing."""
+    from shroud.llm import exchange
+
+    shared = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"own{i} {shared} end{i}") for i in range(400)] + [(None, f"none{i} {shared} last{i}") for i in range(199)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [exchange.dealt(pa.table({"docs": [bytes(m) for m in r.m]})).num_rows for r in exchange.deal(df.where("doc_id IS NULL"), 10).groupBy("block").agg(F.collect_list("docs").alias("m")).collect()]
+    assert sum(sizes) == 200 and len(sizes) == 10 and max(sizes) < 50
+    got = substring.remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in got) == sorted((-1 if d is None else d, 22 if t else 0, 20 if t and d != 0 else 0) for d, t in rows)
+    linked = partenum.similar_components(df).collect()
+    assert len(linked) == len(rows) and all(r.component_id is None for r in linked if r.doc_id is None)
+    assert {r.component_id for r in linked if r.doc_id is not None} == {0}   # 16 of 20 shingles are common
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    judged = kneser.judge(df.withColumn("lang", F.lit("en")), labels).collect()
+    assert len(judged) == len(rows) and sum(r.doc_id is None for r in judged) == 200 and all(r.perplexity > 0 for r in judged if r.n_chars)
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset([tuple(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else [])
@@ -166,8 +188,6 @@ def plain_sketches(text):
 
 
 def test_sketches_against_the_definition(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(5)
     draw = lambda letters, n: "".join(rng.choice(list(letters), n))
     han = "".join(map(chr, range(0x4E00, 0x5200)))
@@ -179,8 +199,6 @@ def test_sketches_against_the_definition(spark):
 
 
 def test_small_edits_of_unspaced_text_stay_near(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(6)
     for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0x0E01, 0x0E2F))), "0123456789abcdefGHIJ+/"):
         text = "".join(rng.choice(list(letters), 3000))
@@ -200,8 +218,6 @@ def test_next_document_without_doc_id(spark):
 
 
 def test_fingerprints_feel_order(spark):
-    from pyspark.sql import functions as F
-
     words = [f"w{i}" for i in range(400)]
     df = spark.createDataFrame([(" ".join(words), " ".join(words[200:] + words[:200]), " ".join(words[::-1]))], "a string, b string, c string")
     r = df.select(*(fingerprint.likeness(fingerprint.sketches(F.col("a")), fingerprint.sketches(F.col(x))).alias(x) for x in "abc")).first()
@@ -281,8 +297,6 @@ def test_kneser_ney(spark, docs, nothing):
     assert not got[900].keep and got[901].keep and got[902].keep and got[901].perplexity is None
     assert sum(got[i].keep for i in range(200)) >= 196
     # Brute force: interpolated modified Kneser-Ney from the same training texts
-    from pyspark.sql import functions as F
-
     held = {x.doc_id for x in df.where(kneser._held_out(F.col("doc_id"))).collect()}
     train = [t for i, t, _ in rows if i < 150 and i not in held]
     tables = {4: {}}
