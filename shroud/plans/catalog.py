@@ -452,6 +452,11 @@ def h5_usage_windows(spark, sf):
     return ST.run_to_table(ST.usage_windows(ST.table_stream(spark, sf, "events")), _sink("h5"), ["window_start", "event_type"])
 
 
+def seven_characters(text):
+    """A text cut into chunks of seven characters, an empty one into one; in one pass, as ``substr`` counts from the start for each chunk."""
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit("(?s).{1,7}"), F.lit(0)))
+
+
 @register("h6_chunked_restore", """
 SELECT count(*) AS messages, count(*) AS restored_exactly FROM conversations""")
 def h6_chunked_restore(spark, sf):
@@ -461,9 +466,8 @@ def h6_chunked_restore(spark, sf):
     m = MK.anonymize(src)
     tm = MK.token_map(m, ["conv_id"])
     resp = m.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("resp_id"), F.col("masked").alias("text"))
-    chunks = resp.select("resp_id", "conv_id", F.posexplode(F.expr(
-        "transform(sequence(0, CAST(greatest(ceil(length(text) / 7.0) - 1, 0) AS INT)), i -> substr(text, i * 7 + 1, 7))"))
-        .alias("chunk_no", "text"), F.greatest(F.ceil(F.length("text") / 7.0), F.lit(1)).alias("chunks"))
+    chunks = resp.select("resp_id", "conv_id", F.posexplode(seven_characters("text")).alias("chunk_no", "text"),
+                         F.greatest(F.ceil(F.length("text") / 7.0), F.lit(1)).alias("chunks"))
     # Hashed to files by chunk, so a response's chunks arrive over several micro-batches in no order.
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_sink('h6')}-{uuid.uuid4().hex}"
     (chunks.withColumn("is_last", F.col("chunk_no") == F.col("chunks") - 1).repartition("resp_id", "chunk_no")

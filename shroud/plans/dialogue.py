@@ -142,9 +142,8 @@ def d9_restored_texts(spark, sf):
 def h6_restored_pieces(spark, sf):
     """H6 row by row: replies arrive in chunks of seven characters, in no order; each piece given out is restored by itself."""
     known, replies = _masked_replies(spark, sf)
-    cut = "transform(sequence(0, CAST(greatest(ceil(length(text) / 7.0) - 1, 0) AS INT)), i -> substr(text, i * 7 + 1, 7))"
     last = F.greatest(F.ceil(F.length("text") / 7.0), F.lit(1)) - 1
-    chunks = replies.select("resp_id", "conv_id", last.alias("_last"), F.posexplode(F.expr(cut)).alias("chunk_no", "text")).withColumn("is_last", F.col("chunk_no") == F.col("_last")).drop("_last")
+    chunks = replies.select("resp_id", "conv_id", last.alias("_last"), F.posexplode(C.seven_characters("text")).alias("chunk_no", "text")).withColumn("is_last", F.col("chunk_no") == F.col("_last")).drop("_last")
     base = ST.new_run(spark, "pieces")
     chunks.repartition("resp_id", "chunk_no").write.parquet(f"{base}/arrived")
     arrived = spark.read.parquet(f"{base}/arrived")

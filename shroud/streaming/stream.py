@@ -84,6 +84,49 @@ def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None, ba
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*").select(*stream.columns)
 
 
+# ------------------------------------------------------------------ many keys with little state
+BUCKETS = 2048               # groups that the keys of a stream share
+_BUCKET_STATE = T.StructType([T.StructField("held", T.StringType())])
+
+
+def _bucket_factory(key: str, take, gone, idle_ms: int):
+    def run(_, frames, state):
+        now = state.getCurrentProcessingTimeMs()
+        entries = json.loads(state.get[0]) if state.exists else []
+        held, seen = {k: v for k, _, v in entries}, {k: t for k, t, _ in entries}
+        if not state.hasTimedOut:
+            frame = pd.concat(list(frames), ignore_index=True)
+            yield from take(frame, held)
+            seen.update(dict.fromkeys(frame[key].tolist(), now))
+        for k in [k for k, t in seen.items() if t + idle_ms <= now]:
+            del seen[k]
+            yield from gone(k, held.pop(k))
+        if not held:
+            state.remove()
+            return
+        state.update((json.dumps([[k, seen[k], v] for k, v in held.items()]),))
+        state.setTimeoutDuration(max(min(seen.values()) + idle_ms - now, 1))
+    return run
+
+
+def by_bucket(rows: DataFrame, key: str, schema: T.StructType, take, gone, idle_ms: int) -> DataFrame:
+    """State by ``key`` where keys are many and their states small.
+
+    A call of ``applyInPandasWithState`` costs milliseconds, however few rows its group has,
+    so keys share ``BUCKETS`` groups by their hash. ``take(frame, held)`` gets a micro-batch's rows
+    of one group and what is held of each key (plain lists and dicts), brings that up to date
+    and gives frames out; it must leave an entry for each of the frame's keys. A key without rows
+    for ``idle_ms`` is left out of ``held``; ``gone(key, entry)`` gives out what it still owes.
+    """
+    return (rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket")
+            .applyInPandasWithState(_bucket_factory(key, take, gone, idle_ms), schema, _BUCKET_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
+
+
+def _whole(values) -> pd.Series:
+    """Whole numbers or None, without a detour over floats."""
+    return pd.array(values, "Int64")
+
+
 # ------------------------------------------------------------------ H1
 def detect_stream(messages: DataFrame, keys=("conv_id", "turn"), text_col: str = "text") -> DataFrame:
     """H1: per-row masking on a stream (numbering per row)."""
@@ -184,7 +227,6 @@ _QUOTA_OUT = T.StructType([
     T.StructField("rl_seq", T.LongType()), T.StructField("rl_allowed", T.BooleanType()),
     T.StructField("edge_seq", T.LongType()), T.StructField("edge_allowed", T.BooleanType()), T.StructField("late", T.BooleanType()),
 ])
-_QUOTA_STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("days", "requests", "edge")])
 DAY_MICROS = 86_400_000_000
 
 
@@ -211,26 +253,28 @@ def count_quota(at, limit, wants, edge_limit, counts: dict[int, list[int]], grac
 
 
 def _quota_factory(grace: int):
-    names = ["request_id", "at", "daily_limit", "edge_limit", "wants_edge"]
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counts = {d: [n, e] for d, n, e in zip(*state.get, strict=True)} if state.exists else {}
-        ids, at, limit, edge_limit, wants = (np.concatenate(p) for p in zip(*([f[c].to_numpy() for c in names] for f in frames), strict=True))
-        order = np.lexsort((ids, at))
-        ids, at, limit, edge_limit, wants = ids[order], at[order], limit[order], edge_limit[order], wants[order].astype(bool)
-        seq, edge, late = count_quota(at, limit, wants, edge_limit, counts, grace)
-        state.update(([*counts], [n for n, _ in counts.values()], [e for _, e in counts.values()]))
-        state.setTimeoutDuration(IDLE_MS)
+    names = ["request_id", "no_id", "at", "daily_limit", "edge_limit", "wants_edge"]
+
+    def take(frame, held):
+        who, users = pd.factorize(frame["user_id"], use_na_sentinel=False)
+        users = np.array([None if pd.isna(u) else u for u in users], object)
+        ids, no_id, at, limit, edge_limit, wants = (frame[c].to_numpy() for c in names)
+        order = np.lexsort((ids, at, who))
+        who, ids, no_id, at, limit, edge_limit, wants = (x[order] for x in (who, ids, no_id, at, limit, edge_limit, wants.astype(bool)))
+        ends = np.searchsorted(who, np.arange(len(users)), "right")
+        parts = []
+        for user, a, b in zip(users, [0, *ends[:-1]], ends, strict=True):
+            counts = {d: [n, e] for d, n, e in held.get(user, [])}
+            parts.append(count_quota(at[a:b], limit[a:b], wants[a:b], edge_limit[a:b], counts, grace))
+            held[user] = [[d, n, e] for d, (n, e) in counts.items()]
+        seq, edge, late = (np.concatenate(p) for p in zip(*parts, strict=True))
         for a in range(0, len(ids), 10_000):
             b = slice(a, a + 10_000)
             on_edge = edge[b] > 0
-            yield pd.DataFrame({"request_id": ids[b], "user_id": key[0], "rl_seq": pd.array(seq[b], "Int64"), "rl_allowed": ~late[b] & (seq[b] <= limit[b]),
+            yield pd.DataFrame({"request_id": pd.Series(ids[b], dtype="Int64").mask(no_id[b].astype(bool)), "user_id": users[who[b]], "rl_seq": pd.array(seq[b], "Int64"), "rl_allowed": ~late[b] & (seq[b] <= limit[b]),
                                 "edge_seq": pd.array(edge[b], "Int64"), "edge_allowed": pd.array(edge[b] <= edge_limit[b], "boolean"), "late": late[b]}).assign(
                 rl_seq=lambda x: x["rl_seq"].mask(x["late"]), edge_seq=lambda x: x["edge_seq"].mask(~on_edge), edge_allowed=lambda x: x["edge_allowed"].mask(~on_edge))
-    return run
+    return take
 
 
 def quota_stream(requests: DataFrame, daily: dict, edge: dict, edge_fallback: int, grace: int = 1) -> DataFrame:
@@ -239,15 +283,17 @@ def quota_stream(requests: DataFrame, daily: dict, edge: dict, edge_fallback: in
     ``requests``: request_id, ts, kp_user_id, kp_tier, kp_edge_limit, wants_edge (whether the
     request takes the edge path if the quota lets it pass). ``edge_seq`` and
     ``edge_allowed`` are null for requests that don't reach the edge. Late rows as in
-    ``rate_limit_stream``. Limits are looked up before the shuffle, so a task holds five
-    numbers a request for one user and micro-batch, and gives rows out in slices.
+    ``rate_limit_stream``. Limits are looked up before the shuffle, so a call holds five
+    numbers a request of one bucket of users (see ``by_bucket``) and micro-batch, and gives
+    rows out in slices.
     """
     tier = F.col("kp_tier")
     table = lambda limits: F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
-    s = requests.select(F.col("request_id").cast("long"), F.col("kp_user_id").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    rid = F.col("request_id").cast("long")
+    s = requests.select(F.coalesce(rid, F.lit((1 << 63) - 1)).alias("request_id"), rid.isNull().alias("no_id"), F.col("kp_user_id").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
                         F.coalesce(table(daily)[tier], F.lit(daily["free"])).cast("long").alias("daily_limit"),
                         F.coalesce("kp_edge_limit", table(edge)[tier], F.lit(edge_fallback)).cast("long").alias("edge_limit"), F.coalesce("wants_edge", F.lit(False)).alias("wants_edge"))
-    return s.groupBy("user_id").applyInPandasWithState(_quota_factory(grace), _QUOTA_OUT, _QUOTA_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return by_bucket(s, "user_id", _QUOTA_OUT, _quota_factory(grace), lambda user, counts: (), IDLE_MS)
 
 
 # ------------------------------------------------------------------ H4
@@ -346,34 +392,52 @@ def reassemble_chunks(chunks: DataFrame) -> DataFrame:
 
 _H6_OUT = T.StructType([T.StructField("resp_id", T.StringType()), T.StructField("conv_id", T.LongType()),
                         T.StructField("text", T.StringType()), T.StructField("complete", T.BooleanType())])
-_H6_STATE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("last", T.LongType()),
-                          T.StructField("emitted", T.BooleanType()), T.StructField("numbers", T.ArrayType(T.LongType())),
-                          T.StructField("texts", T.ArrayType(T.StringType()))])
 WAIT_MS = 3_600_000          # an incomplete response is given up after so long without a chunk
 
 
-def _h6(key, pdfs, state):
-    conv, last, emitted, numbers, texts = state.get if state.exists else (None, None, False, [], [])
-    parts = dict(zip(numbers, texts, strict=True))
-    joined = lambda complete: pd.DataFrame([{"resp_id": key[0], "conv_id": conv, "text": "".join(parts[i] for i in sorted(parts)), "complete": complete}])
-    if state.hasTimedOut:
-        state.remove()
-        if not emitted:
-            yield joined(False)
-        return
-    for pdf in pdfs:
-        for no, text, end, c in zip(pdf["chunk_no"].tolist(), pdf["text"].tolist(), pdf["is_last"].tolist(), pdf["conv_id"].tolist(), strict=True):
-            parts[int(no)] = text or ""
-            conv = int(c)
-            if end:
-                last = int(no)
-    if not emitted and last is not None and all(i in parts for i in range(last + 1)):
-        yield joined(True)
-        emitted = True
-    if emitted:                                              # chunks that are sent again are known until the timeout
-        parts = {}
-    state.update((conv, last, emitted, list(parts), list(parts.values())))
-    state.setTimeoutDuration(WAIT_MS)
+_CHUNK = ["resp_id", "conv_id", "chunk_no", "text", "is_last"]
+
+
+def _chunks(chunks: DataFrame) -> DataFrame:
+    """``conv_id`` goes as text: next to a null, pandas would make a float of it."""
+    return chunks.select("resp_id", F.col("conv_id").cast("string").alias("conv_id"), "chunk_no", "text", "is_last")
+
+
+def _arrived(frame):
+    """(resp_id, conv_id, chunk_no, text, is_last) of a frame's chunks; the number is text, as in the state."""
+    for resp, conv, no, text, end in zip(*(frame[c].tolist() for c in _CHUNK), strict=True):
+        yield resp, None if conv is None else int(conv), str(int(no)), text or "", bool(end)
+
+
+def _joined(rows, complete: bool) -> pd.DataFrame:
+    texts = ["".join(parts[i] for i in sorted(parts, key=int)) for _, (_, _, _, parts) in rows]
+    return pd.DataFrame({"resp_id": [k for k, _ in rows], "conv_id": _whole([v[0] for _, v in rows]), "text": texts, "complete": complete})
+
+
+def _h6(frame, held):
+    """Entry of a response: conv_id, number of the last chunk, whether it was given out, chunks by number."""
+    touched = {}
+    for resp, conv, no, text, end in _arrived(frame):
+        v = touched.get(resp)
+        if v is None:
+            v = touched[resp] = held.setdefault(resp, [None, None, False, {}])
+        v[0] = conv
+        v[3][no] = text
+        if end:
+            v[1] = int(no)
+    whole = [(k, v) for k, v in touched.items() if not v[2] and v[1] is not None and len(v[3]) > v[1] and all(str(i) in v[3] for i in range(v[1] + 1))]
+    if whole:
+        yield _joined(whole, True)
+    for _, v in whole:
+        v[2] = True
+    for v in touched.values():
+        if v[2]:                                             # chunks that are sent again are known until the timeout
+            v[3] = {}
+
+
+def _h6_gone(resp, entry):
+    if not entry[2]:
+        yield _joined([(resp, entry)], False)
 
 
 def reassemble_stream(chunks: DataFrame) -> DataFrame:
@@ -381,16 +445,13 @@ def reassemble_stream(chunks: DataFrame) -> DataFrame:
 
     ``chunks``: resp_id, conv_id, chunk_no (from 0), text, is_last. A response is emitted
     once; one that stays incomplete for an hour is emitted as far as it came, with
-    ``complete`` false.
+    ``complete`` false. Responses share groups, see ``by_bucket``.
     """
-    return (chunks.select("resp_id", "conv_id", "chunk_no", "text", "is_last").groupBy("resp_id")
-            .applyInPandasWithState(_h6, _H6_OUT, _H6_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
+    return by_bucket(_chunks(chunks), "resp_id", _H6_OUT, _h6, _h6_gone, WAIT_MS)
 
 
 _PIECE_OUT = T.StructType([T.StructField("resp_id", T.StringType()), T.StructField("conv_id", T.LongType()), T.StructField("piece_no", T.LongType()),
                            T.StructField("text", T.StringType()), T.StructField("end", T.StringType())])
-_PIECE_STATE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("next", T.LongType()), T.StructField("last", T.LongType()), T.StructField("pieces", T.LongType()),
-                             T.StructField("open", T.StringType()), T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
 #: What can still become a token: the longest names have 16 letters, numbers fit 19 digits.
 _OPEN = re.compile(r"\[(?:[A-Z_]{0,32}|[A-Z_]{1,32}_[0-9]{1,19})\Z")
 
@@ -401,41 +462,48 @@ def closed_part(text: str) -> int:
     return m.start() if m else len(text)
 
 
-def _pieces(key, pdfs, state):
-    conv, following, last, pieces, held, numbers, texts = state.get if state.exists else (None, 0, None, 0, "", [], [])
-    waiting = dict(zip(numbers, texts, strict=True))
-    done = last is not None and following > last
+def _piece_rows(rows) -> pd.DataFrame:
+    resp, conv, no, text, end = zip(*rows, strict=True)
+    return pd.DataFrame({"resp_id": resp, "conv_id": _whole(conv), "piece_no": no, "text": text, "end": end})
+
+
+def _pieces(frame, held):
+    """Entry of a response: conv_id, next chunk, number of the last one, pieces given out, open token, chunks by number."""
+    touched, out = {}, []
+    for resp, conv, no, text, end in _arrived(frame):
+        v = touched.get(resp)
+        if v is None:
+            v = touched[resp] = held.setdefault(resp, [None, 0, None, 0, "", {}])
+            done = v[2] is not None and v[1] > v[2]
+            touched[resp] = v = [*v, done]
+        v[0] = conv
+        if int(no) >= v[1]:                                  # else it was sent again
+            v[5][no] = text
+        if end:
+            v[2] = int(no)
+    for resp, (conv, following, last, pieces, open_, waiting, done) in touched.items():
+        if done:
+            waiting = {}
+        parts = [open_]
+        while str(following) in waiting and (last is None or following <= last):
+            parts.append(waiting.pop(str(following)))
+            following += 1
+        now = "".join(parts)
+        if not done and last is not None and following > last:
+            out.append((resp, conv, pieces, now, "last"))
+            now, waiting = "", {}
+        elif not done and (cut := closed_part(now)):
+            out.append((resp, conv, pieces, now[:cut], "more"))
+            now, pieces = now[cut:], pieces + 1
+        held[resp] = [conv, following, last, pieces, now, waiting]
+    if out:
+        yield _piece_rows(out)
 
-    def piece(text, end):
-        return pd.DataFrame([{"resp_id": key[0], "conv_id": conv, "piece_no": pieces, "text": text, "end": end}])
 
-    if state.hasTimedOut:
-        state.remove()
-        if not done:
-            yield piece(held + "".join(waiting[i] for i in sorted(waiting)), "cut")
-        return
-    for pdf in pdfs:
-        for no, text, end, c in zip(pdf["chunk_no"].tolist(), pdf["text"].tolist(), pdf["is_last"].tolist(), pdf["conv_id"].tolist(), strict=True):
-            conv = int(c)
-            if int(no) >= following:                             # else it was sent again
-                waiting[int(no)] = text or ""
-            if end:
-                last = int(no)
-    if done:
-        waiting = {}
-    parts = [held]
-    while following in waiting and (last is None or following <= last):
-        parts.append(waiting.pop(following))
-        following += 1
-    now = "".join(parts)
-    if not done and last is not None and following > last:
-        yield piece(now, "last")
-        now, waiting = "", {}
-    elif not done and (cut := closed_part(now)):
-        yield piece(now[:cut], "more")
-        now, pieces = now[cut:], pieces + 1
-    state.update((conv, following, last, pieces, now, list(waiting), list(waiting.values())))
-    state.setTimeoutDuration(WAIT_MS)
+def _pieces_gone(resp, entry):
+    conv, following, last, pieces, open_, waiting = entry
+    if last is None or following <= last:
+        yield _piece_rows([(resp, conv, pieces, open_ + "".join(waiting[i] for i in sorted(waiting, key=int)), "cut")])
 
 
 def piece_stream(chunks: DataFrame) -> DataFrame:
@@ -448,5 +516,4 @@ def piece_stream(chunks: DataFrame) -> DataFrame:
     characters) and the chunks that came before their turn. Chunks sent again are left
     out; null texts count as empty; chunks after the last one don't count.
     """
-    return (chunks.select("resp_id", "conv_id", "chunk_no", "text", "is_last").groupBy("resp_id")
-            .applyInPandasWithState(_pieces, _PIECE_OUT, _PIECE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
+    return by_bucket(_chunks(chunks), "resp_id", _PIECE_OUT, _pieces, _pieces_gone, WAIT_MS)

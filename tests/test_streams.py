@@ -146,3 +146,69 @@ def test_both_quotas_in_one_state(spark, tmp_path):
         2: (1, True, None, None, False), 1: (2, True, 1, True, False), 3: (3, True, 2, False, False), 4: (4, False, None, None, False),
         5: (1, True, 1, True, False), 6: (2, True, 2, False, False), 7: (1, True, 1, True, False), 8: (2, True, 2, False, False),
         9: (1, True, None, None, False), 10: (3, True, 3, False, False), 11: (None, False, None, None, True)}
+
+
+class Held:
+    """A group's state as ``applyInPandasWithState`` gives it."""
+    def __init__(self, now=0, value=None, timed_out=False):
+        self.now, self.value, self.hasTimedOut, self.exists, self.wait = now, value, timed_out, value is not None, None
+
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_responses_that_share_a_group_end_by_themselves():
+    """One call serves all responses of a bucket; each is given up after its own hour, whether others go on or not."""
+    import pandas as pd
+
+    cols = ["resp_id", "conv_id", "chunk_no", "text", "is_last"]
+    for take, gone, first, cut in [(ST._h6, ST._h6_gone, [("b", 2, "whole", True)], [("a", 1, "xz", False)]),
+                                   (ST._pieces, ST._pieces_gone, [("a", 1, 0, "x", "more"), ("b", 2, 0, "whole", "last")], [("a", 1, 1, "z", "cut")])]:
+        run = ST._bucket_factory("resp_id", take, gone, 1000)
+        state = Held(now=5)
+        rows = [("a", "1", 0, "x", False), ("b", "2", 0, "whole", True), ("a", "1", 2, "z", False)]
+        out = list(run((0,), iter([pd.DataFrame(rows, columns=cols)]), state))
+        assert [tuple(r) for f in out for r in f.itertuples(index=False)] == first and state.wait == 1000
+        state = Held(now=505, value=state.value)
+        assert list(run((0,), iter([pd.DataFrame([("c", "3", 1, "y", False)], columns=cols)]), state)) == [] and state.wait == 500
+        state = Held(now=1005, value=state.value, timed_out=True)
+        out = list(run((0,), iter([]), state))
+        assert [tuple(r) for f in out for r in f.itertuples(index=False)] == cut and state.wait == 500
+        state = Held(now=1505, value=state.value, timed_out=True)
+        assert len(list(run((0,), iter([]), state))) == 1 and state.value is None
+
+
+def test_users_that_share_a_group_count_by_themselves():
+    import pandas as pd
+
+    run = ST._bucket_factory("user_id", ST._quota_factory(1), lambda user, counts: (), 1000)
+    day = ST.DAY_MICROS
+    cols = ["request_id", "no_id", "user_id", "at", "daily_limit", "edge_limit", "wants_edge"]
+    rows = [(i, i == 7, f"u{i % 500}" if i else None, 3 * day + i, 2, 1, i % 2 == 0) for i in range(2000)]
+    state = Held()
+    out = pd.concat(run((0,), iter([pd.DataFrame(rows, columns=cols)]), state))
+    assert len(out) == 2000 and out["request_id"].isna().sum() == 1 and out["user_id"].isna().sum() == 1
+    got = {r.request_id: (r.rl_seq, r.rl_allowed) for r in out.dropna(subset=["request_id"]).itertuples()}
+    assert got[0] == (1, True) and got[4] == (1, True) and got[504] == (2, True) and got[1004] == (3, False) and got[500] == (1, True)
+    state = Held(now=10, value=state.value)
+    out = pd.concat(run((0,), iter([pd.DataFrame([(1, False, "u4", day, 2, 1, True), (2, False, "u4", 3 * day, 2, 1, True)], columns=cols)]), state))
+    assert out["late"].tolist() == [True, False] and out["rl_seq"].tolist()[1] == 5
+
+
+def test_chunks_of_seven_characters(spark):
+    from shroud.plans import catalog as C
+
+    texts = ["", "a", "1234567", "12345678", "líneas\n😀😀 y más\r\n de 7", "😀" * 15]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.seven_characters("t").alias("c")).collect()
+    assert {r.t: r.c for r in got} == {t: [t[i:i + 7] for i in range(0, max(len(t), 1), 7)] for t in texts}
