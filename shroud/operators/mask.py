@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,48 +39,59 @@ TOKENS = T.ArrayType(TOKEN)
 TOKEN_REGEX = r"\[([A-Z_]+)_(\d+)\]"
 
 
+_TOKEN_ARROW = [pa.field("ord", pa.int32()), pa.field("type", pa.string()), pa.field("n", pa.int32()), pa.field("token", pa.string()), pa.field("value", pa.string())]
+ROWS_AT_ONCE = 1000          # of a batch, so that a task's Python memory doesn't grow with the batches
+
+
 def _mask_batches(keys: list[str], text_col: str, ner_col: str | None, verdict: bool = False):
+    """Key columns stay Arrow; only texts (and model entities) become Python values, so many rows at once."""
+    def columns(part):
+        masked, coll, offsets, tokens = [], [], [0], []
+        texts = part.column(text_col).to_pylist()
+        ners = part.column(ner_col).to_pylist() if ner_col else [None] * len(texts)
+        for text, ner in zip(texts, ners, strict=True):
+            ents = [(e["type"], e["value"]) for e in ner] if ner is not None else None
+            m, found = kernel.mask_text(text, ents)
+            masked.append(m)
+            tokens += [(i + 1, t, n, f"[{t}_{n}]", v) for i, (t, n, v) in enumerate(found)]
+            offsets.append(len(tokens))
+            coll.append(bool(text) and kernel.TOKEN_RE.search(text) is not None)
+        fields = zip(*tokens, strict=True) if tokens else ((),) * len(_TOKEN_ARROW)
+        rows = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, _TOKEN_ARROW, strict=True)], fields=_TOKEN_ARROW)
+        yield from (part.column(k) for k in keys)
+        yield from (pa.array(masked, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows), pa.array(coll, pa.bool_()))
+        if verdict:
+            spans = [kernel.pii_spans(text) for text in texts]
+            yield pa.array([len(s) for s in spans], pa.int64())
+            yield pa.array([list(dict.fromkeys(t for _, t, *_ in s)) for s in spans], pa.list_(pa.string()))
+
+    names = [*keys, "masked", "tokens", "token_collision", *(["matches", "types"] if verdict else [])]
+
     def run(batches):
-        for pdf in batches:
-            masked, toks, coll = [], [], []
-            texts = pdf[text_col].tolist()
-            ners = pdf[ner_col].tolist() if ner_col else [None] * len(texts)
-            for text, ner in zip(texts, ners):
-                ents = [(e["type"], e["value"]) for e in ner] if ner is not None else None
-                m, tokens = kernel.mask_text(text, ents)
-                masked.append(m)
-                toks.append([{"ord": i + 1, "type": t, "n": n, "token": f"[{t}_{n}]", "value": v}
-                             for i, (t, n, v) in enumerate(tokens)])
-                coll.append(bool(text) and kernel.TOKEN_RE.search(text) is not None)
-            out = pdf[keys].copy()
-            out["masked"] = masked
-            out["tokens"] = toks
-            out["token_collision"] = coll
-            if verdict:
-                spans = [kernel.pii_spans(text) for text in texts]
-                out["matches"] = [len(s) for s in spans]
-                out["types"] = [list(dict.fromkeys(t for _, t, *_ in s)) for s in spans]
-            yield out
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays(list(columns(batch.slice(at, ROWS_AT_ONCE))), names=names)
     return run
 
 
 def mask_texts(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id",),
-               ner_col: str | None = None, verdict: bool = False) -> DataFrame:
+               ner_col: str | None = None, verdict: bool = False, dealt: bool = False) -> DataFrame:
     """D1 on independent texts (documents): ``keys, masked, tokens, token_collision``.
 
     Each row is its own request, so local numbering is final. No shuffle except
-    :func:`spread` when the scan has fewer partitions than cores. With ``verdict``
+    :func:`spread` when the scan has fewer partitions than cores; ``dealt``: the caller has
+    dealt the rows out already (counting the partitions of a join would run it). With ``verdict``
     the same pass also gives the C1 ``matches`` and distinct ``types``.
     """
     keys = list(keys)
     cols = keys + [text_col] + ([ner_col] if ner_col else [])
-    src = spread(df.select(*cols))
+    src = df.select(*cols) if dealt else spread(df.select(*cols))
     schema = T.StructType([src.schema[k] for k in keys] + [
         T.StructField("masked", T.StringType()),
         T.StructField("tokens", TOKENS),
         T.StructField("token_collision", T.BooleanType()),
     ] + ([T.StructField("matches", T.LongType()), T.StructField("types", T.ArrayType(T.StringType()))] if verdict else []))
-    return src.mapInPandas(_mask_batches(keys, text_col, ner_col, verdict), schema)
+    return src.mapInArrow(_mask_batches(keys, text_col, ner_col, verdict), schema)
 
 
 def _renumber_batches(keys: list[str]):
