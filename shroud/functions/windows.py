@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work at least one partition per core.
 
     A cluster scan over many files already yields thousands of splits and is
     left alone; a small single-file table (one parquet row group) would
-    otherwise run its Python kernel on one core.
+    otherwise run its Python kernel on one core. ``partitions`` deals the rows out to so
+    many whatever the scan yields: a split or a merged shuffle partition of 64 MB can hold
+    millions of short rows, which is hours of a slow kernel in one task.
     """
     if df.isStreaming:   # micro-batches are sized by the source options instead
         return df
+    if partitions:
+        return df.repartition(partitions)
     spark = SparkSession.getActiveSession()
-    want = min_partitions or (spark.sparkContext.defaultParallelism if spark else 8)
+    want = spark.sparkContext.defaultParallelism if spark else 8
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = 50_000) -> int:
+    """How many tasks a slow kernel over so many rows should have: enough for the cores, none with very many rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
+
 def exclusive_running_total(df: DataFrame, part: Sequence[str], order: str, value: str,
                             out: str, block: int = 4096) -> DataFrame:
     """``sum(value)`` over earlier rows of the same ``part`` ordered by ``order``.

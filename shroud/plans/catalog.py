@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.functions.windows import spread
+from shroud.functions.windows import spread, tasks_for
 from shroud.session import ensure_checkpoint_dir, materialize
 from shroud.operators import corpus, detect
 from shroud.plans import oracle as O
@@ -81,11 +81,16 @@ def requests(spark, sf):
     return D.requests(spark, table(spark, sf, "events"))
 
 
+def request_tasks(spark, sf) -> int:
+    """Tasks for a kernel over the requests' texts (the count comes from the files' footers)."""
+    return tasks_for(spark, table(spark, sf, "events").count())
+
+
 def verdicts(spark, sf):
     """Policy, verdict and reply of every request. Texts are scanned and left behind before the
     policy join, which carries verdict columns only; what the row or its key already rejects
     has no verdict. The result is stored, as it feeds several branches."""
-    r = D.with_request_ner(spark, spread(requests(spark, sf)))
+    r = D.with_request_ner(spark, spread(requests(spark, sf), request_tasks(spark, sf)))
     live = F.col("body_ok") & F.coalesce(F.col("api_key").startswith(PO.KEY_PREFIX), F.lit(False))
     r = r.withColumn("text", F.when(live, F.col("text")))
     r = r.select("*", detect.detect_pii("text").alias("_v"), detect.secret_types("text").alias("_s")).drop("text")
@@ -523,8 +528,8 @@ def c2_secret_types(spark, sf):
 @register("c9_detect_report")
 def c9_detect_report(spark, sf):
     """C9 (/v1/detect): per authorized request types, counts, secrets, masked text, NER flags."""
-    r = PO.authorize(D.with_request_ner(spark, spread(requests(spark, sf))), key_policy(spark, sf))
-    return detect.detect_report(r.where("authorized"))
+    r = PO.authorize(D.with_request_ner(spark, requests(spark, sf)), key_policy(spark, sf)).where("authorized")
+    return detect.detect_report(spread(r, request_tasks(spark, sf)), dealt=True)
 
 
 # ------------------------------------------------------------------ NER oracles (DuckDB)
