@@ -175,51 +175,16 @@ def conversation_mask_stream(messages: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ H3
-_H3_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("user_id", T.StringType()),
-    T.StructField("rl_seq", T.LongType()), T.StructField("rl_allowed", T.BooleanType()),
-    T.StructField("late", T.BooleanType()),
-])
-_H3_STATE = T.StructType([T.StructField("days", T.StringType())])
-
-
-def _h3_factory(limits: dict, grace: int):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counts = {int(d): n for d, n in json.loads(state.get[0]).items()} if state.exists else {}
-        oldest = max(counts) - grace if counts else None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "request_id"])
-        day = rows["ts"].to_numpy().astype("datetime64[D]").astype("int64")      # days since 1970
-        late = pd.Series(day, rows.index) < oldest if oldest is not None else pd.Series(False, rows.index)
-        before = pd.Series(day, rows.index).map(lambda d: counts.get(d, 0))
-        seq = (rows[~late].groupby(day[~late.to_numpy()]).cumcount() + 1 + before[~late]).reindex(rows.index).astype("Int64")
-        limit = rows["tier"].map(lambda t: limits.get(t, limits["free"]))
-        for d in set(day[~late.to_numpy()].tolist()):
-            counts[d] = int(seq[(day == d) & ~late.to_numpy()].max())
-        newest = max(counts)
-        state.update((json.dumps({d: n for d, n in counts.items() if d >= newest - grace}),))
-        state.setTimeoutDuration(IDLE_MS)
-        yield pd.DataFrame({"request_id": rows["request_id"], "user_id": key[0], "rl_seq": seq, "rl_allowed": (seq <= limit).fillna(False).astype(bool), "late": late})
-    return fn
-
-
 def rate_limit_stream(authorized: DataFrame, limits: dict, grace: int = 1) -> DataFrame:
     """H3: E3 on a stream of authorized requests (``request_id, ts, kp_user_id, kp_tier``).
 
     A request counts for its user's UTC day, whatever the tier; the tier it came with
     sets the limit. Days more than ``grace`` before the user's newest day in an earlier
     micro-batch are closed: their requests are ``late``, without a number and not
-    allowed. A task holds one user's narrow rows of one micro-batch, which the
-    source's files per trigger bound. Rows without a user or time are not authorized
-    requests and must be filtered before.
+    allowed. Rows without a user or time are not authorized requests and must be filtered before.
     """
-    s = authorized.select("request_id", F.col("ts").cast("timestamp").alias("ts"),
-                          F.col("kp_user_id").alias("user_id"), F.col("kp_tier").alias("tier"))
-    return (s.groupBy("user_id")
-            .applyInPandasWithState(_h3_factory(dict(limits), grace), _H3_OUT, _H3_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
+    rows = authorized.select("request_id", "ts", "kp_user_id", "kp_tier", F.lit(None).cast("int").alias("kp_edge_limit"), F.lit(False).alias("wants_edge"))
+    return quota_stream(rows, limits, {"free": 0}, 0, grace).select("request_id", "user_id", "rl_seq", "rl_allowed", "late")
 
 
 _QUOTA_OUT = T.StructType([
@@ -309,7 +274,6 @@ _H4_OUT = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("hash", T.StringType()),
     T.StructField("asked", T.BooleanType()), T.StructField("ner_status", T.StringType()),
 ])
-_H4_STATE = T.StructType([T.StructField("until", T.LongType())])
 CACHE_SECONDS = 3600         # fixed value: a clean verdict holds for an hour
 
 
@@ -332,23 +296,20 @@ def cached_until(ts, clean, until: int, ttl: int):
 
 
 def _h4_factory(ttl: int):
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until = state.get[0] if state.exists else -(1 << 62)
-        parts = [(f["request_id"].to_numpy(), f["at"].to_numpy(), f["ner_status"].to_numpy()) for f in frames]
-        ids, ts, status = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.lexsort((ids, ts))
-        ids, ts, status = ids[order], ts[order], status[order]
-        asked, until = cached_until(ts, status == "clean", until, ttl)
-        state.update((until,))
-        state.setTimeoutDuration(max(2 * ttl // 1000, 1000))
+    def take(frame, held):
+        which, hashes = pd.factorize(frame["hash"])
+        ids, ts, status = (frame[c].to_numpy() for c in ("request_id", "at", "ner_status"))
+        order = np.lexsort((ids, ts, which))
+        which, ids, ts, status = which[order], ids[order], ts[order], status[order]
+        asked, clean = np.zeros(len(ts), bool), status == "clean"
+        ends = np.searchsorted(which, np.arange(len(hashes)), "right")
+        for h, a, b in zip(hashes, [0, *ends[:-1]], ends, strict=True):
+            asked[a:b], held[h] = cached_until(ts[a:b], clean[a:b], held.get(h, -(1 << 62)), ttl)
         for a in range(0, len(ids), 10_000):
             b = slice(a, a + 10_000)
-            yield pd.DataFrame({"request_id": ids[b], "ts": pd.to_datetime(ts[b], unit="us"), "hash": key[0], "asked": asked[b],
+            yield pd.DataFrame({"request_id": ids[b], "ts": pd.to_datetime(ts[b], unit="us"), "hash": np.asarray(hashes, object)[which[b]], "asked": asked[b],
                                 "ner_status": np.where(asked[b], status[b], "clean")})
-    return run
+    return take
 
 
 def clean_cache_skips(requests: DataFrame, ttl_seconds: int = CACHE_SECONDS, text_col: str = "text") -> DataFrame:
@@ -365,7 +326,7 @@ def clean_cache_skips(requests: DataFrame, ttl_seconds: int = CACHE_SECONDS, tex
     rows = requests.where(F.col("ts").isNotNull() & F.col("request_id").isNotNull())
     small = rows.select(N.text_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col("request_id").cast("long").alias("request_id"),
                         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("ner_status", F.lit("error")).alias("ner_status"))
-    return small.groupBy("hash").applyInPandasWithState(_h4_factory(ttl_seconds * 1_000_000), _H4_OUT, _H4_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return by_bucket(small, "hash", _H4_OUT, _h4_factory(ttl_seconds * 1_000_000), lambda text, until: (), max(2000 * ttl_seconds, 1000))
 
 
 # ------------------------------------------------------------------ H5
