@@ -193,6 +193,7 @@ _QUOTA_OUT = T.StructType([
     T.StructField("edge_seq", T.LongType()), T.StructField("edge_allowed", T.BooleanType()), T.StructField("late", T.BooleanType()),
 ])
 DAY_MICROS = 86_400_000_000
+NO_TIME = -(1 << 62)          # rows without a time are a day of their own, before all others
 
 
 def count_quota(at, limit, wants, edge_limit, counts: dict[int, list[int]], grace: int):
@@ -255,7 +256,7 @@ def quota_stream(requests: DataFrame, daily: dict, edge: dict, edge_fallback: in
     tier = F.col("kp_tier")
     table = lambda limits: F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
     rid = F.col("request_id").cast("long")
-    s = requests.select(F.coalesce(rid, F.lit((1 << 63) - 1)).alias("request_id"), rid.isNull().alias("no_id"), F.col("kp_user_id").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    s = requests.select(F.coalesce(rid, F.lit((1 << 63) - 1)).alias("request_id"), rid.isNull().alias("no_id"), F.col("kp_user_id").alias("user_id"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME)).alias("at"),
                         F.coalesce(table(daily)[tier], F.lit(daily["free"])).cast("long").alias("daily_limit"),
                         F.coalesce("kp_edge_limit", table(edge)[tier], F.lit(edge_fallback)).cast("long").alias("edge_limit"), F.coalesce("wants_edge", F.lit(False)).alias("wants_edge"))
     return by_bucket(s, "user_id", _QUOTA_OUT, _quota_factory(grace), lambda user, counts: (), IDLE_MS)

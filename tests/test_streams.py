@@ -212,3 +212,10 @@ def test_chunks_of_seven_characters(spark):
     texts = ["", "a", "1234567", "12345678", "líneas\n😀😀 y más\r\n de 7", "😀" * 15]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.seven_characters("t").alias("c")).collect()
     assert {r.t: r.c for r in got} == {t: [t[i:i + 7] for i in range(0, max(len(t), 1), 7)] for t in texts}
+
+
+def test_requests_without_a_time_count_as_a_day_of_their_own(spark, tmp_path):
+    at = datetime(2024, 5, 1, 9)
+    s = arriving(spark, tmp_path, "request_id long, ts timestamp, kp_user_id string, kp_tier string", [[(1, at, "u", "free"), (2, None, "u", "free"), (4, None, "v", "free"), (3, None, "u", "free"), (5, at, "v", "free")]])
+    out = ST.run_to_table(ST.rate_limit_stream(s, {"free": 1}), "quota").collect()
+    assert {r.request_id: (r.rl_seq, r.rl_allowed, r.late) for r in out} == {1: (1, True, False), 2: (1, True, False), 3: (2, False, False), 4: (1, True, False), 5: (1, True, False)}
